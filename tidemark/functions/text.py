@@ -106,24 +106,25 @@ def word_pieces(text: Column, pieces=tokens) -> Column:
     """
     found = F.regexp_extract_all(text, F.lit(WORD_WITH_BLANKS), F.lit(0))
 
-    def expand(chunk, position):
+    def take_apart(chunk, position):
         word = F.rtrim(chunk)
-        parts = pieces(word)
-        at = position.cast("int")
+        return F.struct(
+            position.cast("int").alias("at"), word.alias("word"), pieces(word).alias("parts"),
+            F.greatest(F.length(chunk) - F.length(word) - 1, F.lit(0)).alias("extra"),
+        )
+
+    def expand(w):
         own = F.transform(
-            parts,
+            w["parts"],
             lambda part, i: F.struct(
-                at.alias("word_pos"), (i == 0).alias("first"), F.size(parts).alias("span"),
-                word.alias("word"), part.alias("token"),
+                w["at"].alias("word_pos"), (i == 0).alias("first"), F.size(w["parts"]).alias("span"),
+                w["word"].alias("word"), part.alias("token"),
             ),
         )
-        extra = F.array_repeat(
-            F.struct(
-                at.alias("word_pos"), F.lit(False).alias("first"), F.lit(0).alias("span"),
-                F.lit(None).cast("string").alias("word"), F.lit(" ").alias("token"),
-            ),
-            F.greatest(F.length(chunk) - F.length(word) - 1, F.lit(0)),
+        blank = F.struct(
+            w["at"].alias("word_pos"), F.lit(False).alias("first"), F.lit(0).alias("span"),
+            F.lit(None).cast("string").alias("word"), F.lit(" ").alias("token"),
         )
-        return F.concat(own, extra)
+        return F.concat(own, F.array_repeat(blank, w["extra"]))
 
-    return F.flatten(F.transform(found, expand))
+    return F.flatten(F.transform(F.transform(found, take_apart), expand))
