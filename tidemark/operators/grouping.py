@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.ordinals import with_position
 from tidemark.operators.skew import BROADCAST_ROWS, lookup_join
+from tidemark.session import materialize
 
 
 def grouped(df: DataFrame, index: str, key: Column, order: str = "first_seen") -> DataFrame:
@@ -42,7 +43,7 @@ def once_per_key(
     ``work`` gets a table with the distinct ``group_key`` and returns it with more columns.
     """
     rows = df.withColumn("group_key", key)
-    results = work(rows.select("group_key").distinct())
+    results = materialize(work(rows.select("group_key").distinct()), "per-key")
     return lookup_join(rows, results, ["group_key"], broadcast_rows=broadcast_rows)
 
 

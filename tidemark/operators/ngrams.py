@@ -123,7 +123,8 @@ def complete(
         "_last", F.col("_last").alias("_tail"), F.array().cast("array<string>").alias("_path"),
         F.lit(0.0).alias("nll"), F.lit(False).alias("_done"),
     )
-    steps_rank = W.partitionBy("_last").orderBy("nll", "_text")
+    # Rounded, so that two orders of adding the same losses still tie.
+    steps_rank = W.partitionBy("_last").orderBy(F.round("nll", 9), "_text")
     for _ in range(steps):
         open_beams = state.filter(~F.col("_done"))
         grown = open_beams.join(nexts, open_beams["_tail"] == nexts["prev"], "left").select(
@@ -143,7 +144,7 @@ def complete(
         # Each step reads the state twice; writing it down keeps the plan from doubling with every step.
         state = materialize(state, "beams")
     best = state.select("_last", F.array_join("_path", " ").alias("completion"), "nll")
-    best = best.withColumn("rank", F.row_number().over(W.partitionBy("_last").orderBy("nll", "completion")))
+    best = best.withColumn("rank", F.row_number().over(W.partitionBy("_last").orderBy(F.round("nll", 9), "completion")))
     # One row per last token, so that the lookup holds when one of them ends most prompts.
     listed = best.groupBy("_last").agg(F.sort_array(F.collect_list(F.struct("rank", "completion", "nll"))).alias("_best"))
     found = lookup_join(asked, materialize(listed, "completions"), ["_last"], broadcast_rows=broadcast_rows)
