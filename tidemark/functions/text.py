@@ -90,7 +90,7 @@ def tokens(text: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Trimmed, non-empty sentences in order."""
     found = F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0))
-    return F.filter(F.transform(found, F.trim), lambda s: s != "")
+    return F.filter(F.transform(found, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def words(text: Column) -> Column:

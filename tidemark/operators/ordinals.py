@@ -28,24 +28,24 @@ def with_position(df: DataFrame, order: list[str], group: list[str] = (), name:
     # The slot holds the partition in its upper bits and the row number in its lower 33 bits.
     placed = (
         df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-        .withColumn("_slot", F.monotonically_increasing_id())
-        .withColumn("_part", F.shiftright("_slot", 33))
+        .withColumn("_pos_slot", F.monotonically_increasing_id())
+        .withColumn("_pos_part", F.shiftright("_pos_slot", 33))
     )
     placed = materialize(placed, "positions")
-    runs = placed.groupBy("_part", *group).agg(F.count("*").alias("_rows"), F.min("_slot").alias("_first"))
-    before = _before(W.partitionBy(*group).orderBy("_part"))
+    runs = placed.groupBy("_pos_part", *group).agg(F.count("*").alias("_pos_rows"), F.min("_pos_slot").alias("_pos_first"))
+    before = _before(W.partitionBy(*group).orderBy("_pos_part"))
     starts = runs.select(
-        "_part", *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], "_first",
-        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"),
+        "_pos_part", *[F.col(g).alias(f"_pos_g{i}") for i, g in enumerate(group)], "_pos_first",
+        F.coalesce(F.sum("_pos_rows").over(before), F.lit(0)).alias("_pos_start"),
     )
     if not group:
         starts = F.broadcast(starts)  # one row per partition
-    match = placed["_part"] == starts["_part"]
+    match = placed["_pos_part"] == starts["_pos_part"]
     for i, g in enumerate(group):
-        match = match & placed[g].eqNullSafe(starts[f"_g{i}"])
+        match = match & placed[g].eqNullSafe(starts[f"_pos_g{i}"])
     return placed.join(starts, match).select(
         *[placed[c] for c in df.columns],
-        (F.col("_start") + F.col("_slot") - F.col("_first")).alias(name),
+        (F.col("_pos_start") + F.col("_pos_slot") - F.col("_pos_first")).alias(name),
     )
 
 
