@@ -84,7 +84,7 @@ VIEWS = {
         FROM {orders}""",
 }
 
-_NAME = re.compile(r"\{(\w+)\}")
+_NAME = re.compile(r"\{([a-z_]{3,})\}")  # not the classes of a pattern, such as {Lu}
 
 
 class Tables:

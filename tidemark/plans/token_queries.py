@@ -124,7 +124,7 @@ def token_classes(t):
 
 @query(
     f"""WITH {WORDS} SELECT doc_id, word_pos, span AS tokens FROM spans WHERE span > 0
-        UNION ALL SELECT doc_id, NULL, sum(extra) FROM pieces GROUP BY doc_id HAVING sum(extra) > 0"""
+        UNION ALL SELECT doc_id, NULL, CAST(sum(extra) AS BIGINT) FROM pieces GROUP BY doc_id HAVING sum(extra) > 0"""
 )
 def attached_spans(t):
     tokens = wordclass.word_tokens(t.documents, ["doc_id"]).select("doc_id", "pos")
