@@ -38,9 +38,8 @@ def lexicon(spark: SparkSession, entries: dict[str, str] = LEXICON) -> DataFrame
     return spark.createDataFrame(rows, "word string, tag string")
 
 
-def tag_by_shape(word: Column, word_pos: Column) -> Column:
-    """Tag of a word outside the lexicon from its characters and place."""
-    bare = F.regexp_replace(word, r"[^\p{L}\p{N}]", "")
+def tag_by_shape(bare: Column, word_pos: Column) -> Column:
+    """Tag of a word outside the lexicon from its letters and digits and its place."""
     return (
         F.when(bare == "", F.lit("SYM"))
         .when(bare.rlike(r"^[0-9]"), F.lit("CD"))
@@ -78,13 +77,15 @@ def word_spans(rows: DataFrame, ids: list[str], text: str = "text") -> DataFrame
 def tag_words(
     rows: DataFrame, lexicon: DataFrame, by_shape: Callable[[Column, Column], Column] = tag_by_shape
 ) -> DataFrame:
-    """Add ``tag`` to rows with ``word, word_pos``: the lexicon's, else ``by_shape`` (may be a Pandas UDF)."""
-    key = F.lower(F.regexp_replace("word", r"[^\p{L}\p{N}]", ""))
-    found = lookup_join(
-        rows.withColumn("_key", key), lexicon.select(F.col("word").alias("_key"), F.col("tag").alias("_tag")), ["_key"]
-    )
-    shape = F.when(F.col("word").isNotNull(), by_shape(F.col("word"), F.col("word_pos")))
-    return found.withColumn("tag", F.coalesce("_tag", shape)).drop("_key", "_tag")
+    """Add ``tag`` to rows with ``word, word_pos``: the lexicon's, else that of ``by_shape``.
+
+    Both see the letters and digits of the word only; ``by_shape`` may be a Pandas UDF.
+    """
+    rows = rows.withColumn("_bare", F.regexp_replace("word", r"[^\p{L}\p{N}]+", ""))
+    entries = lexicon.select(F.col("word").alias("_key"), F.col("tag").alias("_tag"))
+    found = lookup_join(rows.withColumn("_key", F.lower("_bare")), entries, ["_key"])
+    shape = F.when(F.col("_bare").isNotNull(), by_shape(F.col("_bare"), F.col("word_pos")))
+    return found.withColumn("tag", F.coalesce("_tag", shape)).drop("_key", "_tag", "_bare")
 
 
 def classed_tokens(rows: DataFrame, ids: list[str], lexicon: DataFrame, text: str = "text") -> DataFrame:

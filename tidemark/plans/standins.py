@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.sources.tables import read_corpus
+
 VIEWS = {
     # Pages labelled low quality are new in the later snapshot, toxic ones are gone from it, and those
     # labelled good got a passage added; all others are unchanged.
@@ -84,6 +86,7 @@ VIEWS = {
         FROM {orders}""",
 }
 
+CORPORA = {"documents": "doc_id"}  # tables of long texts and their keys
 _NAME = re.compile(r"\{([a-z_]{3,})\}")  # not the classes of a pattern, such as {Lu}
 
 
@@ -97,7 +100,10 @@ class Tables:
         if name in VIEWS:
             sql = VIEWS[name]
             return self.spark.sql(sql, **{n: getattr(self, n) for n in set(_NAME.findall(sql))})
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        path = f"{self.folder}/{name}.parquet"
+        if name in CORPORA:
+            return read_corpus(self.spark, path, CORPORA[name])
+        return self.spark.read.parquet(path)
 
 
 def oracle(body: str) -> str:
