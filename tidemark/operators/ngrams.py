@@ -13,8 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
-from tidemark.operators.ordinals import with_position
-from tidemark.operators.skew import BROADCAST_ROWS, lookup_join
+from tidemark.operators.ordinals import batch_of
+from tidemark.operators.skew import BROADCAST_ROWS, HOT_SAMPLE, fits_broadcast, hot_keys, lookup_join
 from tidemark.session import materialize
 
 START = "<s>"
@@ -77,23 +77,55 @@ def scorer(model: DataFrame, backoff: float = BACKOFF, broadcast_rows: int = BRO
     )
 
 
-def score_tokens(rows: DataFrame, model: Scorer, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Add ``nll`` to rows with ``prev, token``."""
-    paired = lookup_join(rows, model.pairs.select("prev", "token", "pair_nll"), ["prev", "token"], broadcast_rows=broadcast_rows)
-    full = lookup_join(paired, model.singles.select("token", "single_nll"), ["token"], broadcast_rows=broadcast_rows)
-    return full.withColumn("nll", F.coalesce("pair_nll", "single_nll", model.unknown.scalar())).drop(
-        "pair_nll", "single_nll"
+def score_tokens(
+    rows: DataFrame, model: Scorer, sample: DataFrame | None = None, broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """Add ``nll`` to rows with ``prev, token``.
+
+    Small loss tables are broadcast. Beyond that the frequent pairs and the frequent tokens of a sample
+    are scored first, known to the model or not, and meet the rows by broadcast. Only rows with other
+    pairs are shuffled by pair, and only those that are still without a loss by token.
+    """
+    pairs, singles = model.pairs.select("prev", "token", "pair_nll"), model.singles.select("token", "single_nll")
+    unknown = model.unknown.scalar()
+    if fits_broadcast(pairs, broadcast_rows) and fits_broadcast(singles, broadcast_rows):
+        known = rows.join(F.broadcast(pairs), ["prev", "token"], "left").join(F.broadcast(singles), ["token"], "left")
+        return known.withColumn("nll", F.coalesce("pair_nll", "single_nll", unknown)).drop("pair_nll", "single_nll")
+
+    sample = materialize((rows.sample(HOT_SAMPLE, 17) if sample is None else sample).select("prev", "token"), "sample")
+    hot_tokens = F.broadcast(hot_keys(sample, ["token"])).join(singles, ["token"], "left")
+    hot_tokens = materialize(hot_tokens.select("token", F.coalesce("single_nll", unknown).alias("_token_nll")), "hot-tokens")
+    hot_pairs = (
+        F.broadcast(hot_keys(sample, ["prev", "token"])).join(pairs, ["prev", "token"], "left").join(singles, ["token"], "left")
+    )
+    hot_pairs = materialize(
+        hot_pairs.select("prev", "token", F.coalesce("pair_nll", "single_nll", unknown).alias("nll")), "hot-pairs"
     )
+    quick = rows.join(F.broadcast(hot_pairs), ["prev", "token"])
+    rest = rows.join(F.broadcast(hot_pairs.select("prev", "token")), ["prev", "token"], "left_anti")
+    rest = (
+        rest.join(F.broadcast(hot_tokens), ["token"], "left").join(pairs, ["prev", "token"], "left")
+        .withColumn("nll", F.coalesce("pair_nll", "_token_nll")).drop("pair_nll", "_token_nll")
+    )
+    done = rest.filter(F.col("nll").isNotNull())
+    rare = rest.filter(F.col("nll").isNull()).drop("nll").join(singles, ["token"], "left")
+    rare = rare.withColumn("nll", F.coalesce("single_nll", unknown)).drop("single_nll")
+    return quick.unionByName(done).unionByName(rare)
 
 
 def score_corpus(
-    corpus: DataFrame, example: str, model: Scorer, batch_size: int, text: str = "text", broadcast_rows: int = BROADCAST_ROWS
+    corpus: DataFrame, position: str, model: Scorer, batch_size: int, text: str = "text", by: list[str] = (),
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Token losses of every text with the batch its text falls in, in ``example`` order."""
-    batches = with_position(corpus.select(example, text), [example])
-    batches = batches.withColumn("batch_id", F.floor(F.col("position") / batch_size)).drop("position")
-    rows = bigram_rows(batches, [example, "batch_id"], text)
-    return score_tokens(rows, model, broadcast_rows)
+    """Token losses of every text with the batch its text falls in.
+
+    ``position`` counts the texts from zero, within ``by`` when given; the batch follows without a shuffle.
+    """
+    ids = [*by, "batch_id", position]
+    placed = corpus.withColumn("batch_id", batch_of(F.col(position), batch_size)).select(*ids, text)
+    # Sampling whole texts costs a hundredth of sampling their tokens.
+    sample = bigram_rows(placed.sample(HOT_SAMPLE, 17), ids, text)
+    return score_tokens(bigram_rows(placed, ids, text), model, sample, broadcast_rows)
 
 
 def continuations(model: Scorer, top: int) -> DataFrame:

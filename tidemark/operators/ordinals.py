@@ -49,6 +49,20 @@ def with_position(df: DataFrame, order: list[str], group: list[str] = (), name:
     )
 
 
+def with_file_position(table: DataFrame, name: str = "position") -> DataFrame:
+    """Add the zero-based position of each row of a Parquet table in the order of file names and rows.
+
+    ``table`` is a plain scan. The row number inside a file comes with the scan; one row per file
+    tells how many rows lie before it. Nothing is shuffled or written.
+    """
+    rows = table.select("*", F.col("_metadata.file_path").alias("_pos_file"), F.col("_metadata.row_index").alias("_pos_row"))
+    files = rows.groupBy("_pos_file").agg(F.count("*").alias("_pos_rows"))
+    before = _before(W.orderBy("_pos_file"))  # one row per file
+    starts = files.select("_pos_file", F.coalesce(F.sum("_pos_rows").over(before), F.lit(0)).alias("_pos_start"))
+    placed = rows.join(F.broadcast(starts), "_pos_file")
+    return placed.select(*table.columns, (F.col("_pos_start") + F.col("_pos_row")).alias(name))
+
+
 def with_hash_position(
     df: DataFrame, hash_column: str, ties: list[str], group: list[str] = (),
     name: str = "position", digits: int = PREFIX_DIGITS,

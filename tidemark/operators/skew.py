@@ -2,19 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.session import materialize
 
-BROADCAST_ROWS = 200_000
-HOT_KEYS = 1_000
+BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 128 * 1024 * 1024
+HOT_KEYS = 10_000
 HOT_SAMPLE = 0.01
 
 
-def has_at_most(df: DataFrame, rows: int) -> bool:
-    """True when ``df`` has no more than ``rows`` rows; reads at most one row more."""
-    return df.limit(rows + 1).count() <= rows
+def _width(field: T.StructField) -> Column:
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(field.name), F.lit(0))
+    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(field.name))), F.lit(0))
+    return F.lit(8)
+
+
+def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """True when ``df`` is within both bounds. Counts rows and bytes in one small aggregation."""
+    if rows <= 0:
+        return False
+    width = F.lit(0)
+    for field in df.schema.fields:
+        width = width + _width(field)
+    found = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(width.cast("long")), F.lit(0)).alias("b")).first()
+    return found["n"] <= rows and found["b"] <= size
+
+
+def hot_keys(sample: DataFrame, keys: list[str], limit: int = HOT_KEYS) -> DataFrame:
+    """The most frequent keys of a sample, at most ``limit`` of them."""
+    counted = sample.select(*keys).dropna().groupBy(*keys).agg(F.count("*").alias("_n"))
+    return counted.orderBy(F.desc("_n"), *keys).limit(limit).drop("_n")
 
 
 def lookup_join(
@@ -22,30 +44,25 @@ def lookup_join(
     lookup: DataFrame,
     keys: list[str],
     *,
+    sample: DataFrame | None = None,
     broadcast_rows: int = BROADCAST_ROWS,
-    hot_keys: int = HOT_KEYS,
-    hot_sample: float = HOT_SAMPLE,
 ) -> DataFrame:
-    """Left join of ``facts`` to ``lookup``, which has one row per key.
+    """Left join of ``facts`` to ``lookup``, which has one row per key and is a table or cheap to compute.
 
-    A lookup of checked size is broadcast. Beyond that the most frequent keys of a small sample of
-    the facts (at most ``hot_keys``) are looked up first and written down; facts with those keys
-    meet them by broadcast and are never shuffled, so no task gets a hot key. All other facts take an
-    ordinary shuffle join. The sample only decides which way a row takes; every row takes one.
-    Facts without a key keep null lookup columns.
+    A lookup of checked size is broadcast. Beyond that the most frequent keys of a sample of the facts are
+    looked up first and written down. Facts with those keys, and facts without a key, meet them by broadcast
+    and are never shuffled, so no task gets a hot key; all others take an ordinary shuffle join. The
+    sample only decides which way a row takes, and every row takes one. ``sample`` may be given where
+    a cheaper one than that of the finished facts is at hand.
     """
-    if has_at_most(lookup, broadcast_rows):
+    if fits_broadcast(lookup, broadcast_rows):
         return facts.join(F.broadcast(lookup), keys, "left")
-    hot = (
-        facts.select(*keys).dropna().sample(hot_sample, 17).groupBy(*keys).count()
-        .orderBy(F.desc("count"), *keys).limit(hot_keys).drop("count")
-    )
-    hot = materialize(F.broadcast(hot).join(lookup, keys, "left"), "hot-keys")
-    quick = facts.join(F.broadcast(hot), keys, "inner")
-    no_key = F.lit(False)
+    wanted = hot_keys(facts.sample(HOT_SAMPLE, 17) if sample is None else sample, keys)
+    hot = materialize(F.broadcast(wanted).join(lookup, keys, "left").withColumn("_hot", F.lit(True)), "hot-keys")
+    without_key = F.lit(False)
     for key in keys:
-        no_key = no_key | F.col(key).isNull()
-    rest = facts.filter(~no_key).join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(lookup, keys, "left")
-    value_types = [(f.name, f.dataType) for f in lookup.schema.fields if f.name not in keys]
-    blank = facts.filter(no_key).withColumns({n: F.lit(None).cast(t) for n, t in value_types})
-    return quick.unionByName(rest).unionByName(blank)
+        without_key = without_key | F.col(key).isNull()
+    # A broadcast of at most HOT_KEYS rows.
+    quick = facts.join(F.broadcast(hot), keys, "left").filter(F.col("_hot") | without_key).drop("_hot")
+    rest = facts.filter(~without_key).join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(lookup, keys, "left")
+    return quick.unionByName(rest)

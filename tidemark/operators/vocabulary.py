@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import arrays as A
 from tidemark.functions import text as T
 from tidemark.operators.ordinals import with_position
-from tidemark.operators.skew import BROADCAST_ROWS, lookup_join
+from tidemark.operators.skew import BROADCAST_ROWS, HOT_SAMPLE, lookup_join
 
 # Reserved tokens; their ids are their positions here.
 RESERVED = ["</s>", "<s>", "<unk>", "<pad>", "<mask>"]
@@ -38,9 +38,14 @@ def encode(
 
     Texts are cut to ``length`` before the lookup, so an example never has more rows than that.
     """
-    cut = rows.select(*ids, F.slice(T.tokens(F.col(text)), 1, length).alias("_tokens"))
-    flat = cut.select(*ids, F.posexplode_outer("_tokens").alias("pos", "token"))
-    found = lookup_join(flat, vocabulary.select("token", "id"), ["token"], broadcast_rows=broadcast_rows)
+    def flat(part: DataFrame) -> DataFrame:
+        cut = part.select(*ids, F.slice(T.tokens(F.col(text)), 1, length).alias("_tokens"))
+        return cut.select(*ids, F.posexplode_outer("_tokens").alias("pos", "token"))
+
+    found = lookup_join(
+        flat(rows), vocabulary.select("token", "id"), ["token"], sample=flat(rows.sample(HOT_SAMPLE, 17)),
+        broadcast_rows=broadcast_rows,
+    )
     known = F.coalesce(F.col("id"), F.lit(UNKNOWN)).cast("int")
     # collect_list leaves out nulls, so a text without tokens becomes an empty array.
     cell = F.when(F.col("pos").isNotNull(), F.struct(F.col("pos"), known.alias("id")))

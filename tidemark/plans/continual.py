@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import ngrams
+from tidemark.operators.ordinals import with_position
 from tidemark.operators.perplexity import perplexity
 from tidemark.operators.sampling import replay_mix
-from tidemark.session import materialize
 
 
 def initial(prev: DataFrame) -> DataFrame:
@@ -36,16 +36,12 @@ def perplexity_grid(
 ) -> DataFrame:
     """``method, split, ppl`` of every model on every split of ``texts``.
 
-    The texts are numbered and written down once; each model then scores them in a job of its own.
+    Numbering the texts writes them down once, in the order of their batches; each model then reads them there.
     """
-    from tidemark.operators.ordinals import with_position
-
     placed = with_position(texts.select(split, example, "text"), [example], [split])
-    placed = materialize(placed.withColumn("batch_id", F.floor(F.col("position") / batch_size)), "grid-texts")
-    rows = ngrams.bigram_rows(placed, [split, "batch_id", example])
     result = None
     for method, model in models.items():
-        losses = ngrams.score_tokens(rows, ngrams.scorer(model))
+        losses = ngrams.score_corpus(placed, "position", ngrams.scorer(model), batch_size, by=[split])
         part = perplexity(losses, [split]).withColumn("method", F.lit(method))
         result = part if result is None else result.unionByName(part)
     return result

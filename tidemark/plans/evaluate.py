@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
+from tidemark.functions.predicates import word_class
 from tidemark.operators import ngrams, perplexity, prompts, scores, wordclass
-from tidemark.operators.ordinals import with_position
+from tidemark.operators.ordinals import batch_of, with_position
+from tidemark.operators.skew import HOT_SAMPLE
 
 
 def answer_scores(probes: DataFrame, predictions: DataFrame, keys: list[str], by: list[str] = ()) -> DataFrame:
@@ -28,8 +30,7 @@ def probe_losses(probes: DataFrame, order: list[str], model: ngrams.Scorer, batc
     by = [split] if split else []
     whole = prompts.fact_prompts(probes, "evaluate_ppl").select(*by, *order, "input")
     placed = with_position(whole, order, by)
-    placed = placed.withColumn("batch_id", F.floor(F.col("position") / batch_size))
-    return ngrams.score_tokens(ngrams.bigram_rows(placed, [*by, "batch_id", "position"], "input"), model)
+    return ngrams.score_corpus(placed, "position", model, batch_size, "input", by)
 
 
 def probe_perplexity(
@@ -40,18 +41,18 @@ def probe_perplexity(
 
 
 def corpus_class_losses(
-    corpus: DataFrame, example: str, model: ngrams.Scorer, lexicon: DataFrame, batch_size: int, text: str = "text"
+    corpus: DataFrame, position: str, model: ngrams.Scorer, lexicon: DataFrame, batch_size: int, text: str = "text"
 ) -> DataFrame:
-    """Token losses of a corpus with batch and word class."""
-    placed = with_position(corpus.select(example, text), [example])
-    placed = placed.withColumn("batch_id", F.floor(F.col("position") / batch_size))
-    words = wordclass.word_bigrams(placed, [example, "batch_id"], text)
-    tagged = wordclass.tag_words(words, lexicon).withColumn("word_class", wordclass.word_class(F.col("tag")))
-    return ngrams.score_tokens(tagged, model)
+    """Token losses of a corpus with batch and word class; ``position`` counts the texts from zero."""
+    placed = corpus.withColumn("batch_id", batch_of(F.col(position), batch_size)).select("batch_id", position, text)
+    words = lambda part: wordclass.word_bigrams(part, ["batch_id", position], text)
+    tagged = wordclass.tag_words(words(placed), lexicon).withColumn("word_class", word_class(F.col("tag")))
+    tagged = tagged.drop("word", "word_pos", "tag")
+    return ngrams.score_tokens(tagged, model, words(placed.sample(HOT_SAMPLE, 17)))
 
 
 def corpus_perplexity(
-    corpus: DataFrame, example: str, model: ngrams.Scorer, lexicon: DataFrame, batch_size: int, text: str = "text"
+    corpus: DataFrame, position: str, model: ngrams.Scorer, lexicon: DataFrame, batch_size: int, text: str = "text"
 ) -> DataFrame:
     """One row: perplexity of all tokens and of names, nouns, verbs and numbers."""
-    return perplexity.class_perplexity(corpus_class_losses(corpus, example, model, lexicon, batch_size, text))
+    return perplexity.class_perplexity(corpus_class_losses(corpus, position, model, lexicon, batch_size, text))

@@ -119,6 +119,15 @@ def running_perplexity_per_pass(t):
 # --- positions and batches ---
 
 
+@query(
+    """SELECT file_row_number AS position, file_row_number // 32 AS batch_id, doc_id
+       FROM (SELECT doc_id, doc_id AS file_row_number FROM documents)"""
+)
+def batch_ids_in_file_order(t):
+    placed = t.positioned("documents")
+    return placed.select("position", ordinals.batch_of(F.col("position"), 32).alias("batch_id"), "doc_id")
+
+
 @query("SELECT doc_id, lang, (row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) // 32 AS batch_id FROM documents")
 def batch_ids(t):
     placed = ordinals.with_position(t.documents.select("doc_id", "lang"), ["doc_id"], ["lang"])

@@ -10,7 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.sources.tables import read_corpus
+from tidemark.operators.ordinals import with_file_position
+from tidemark.sources.tables import spread
 
 VIEWS = {
     # Pages labelled low quality are new in the later snapshot, toxic ones are gone from it, and those
@@ -96,13 +97,20 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
+    def path(self, name: str) -> str:
+        return f"{self.folder}/{name}.parquet"
+
+    def positioned(self, name: str) -> DataFrame:
+        """A table with the position of each row in its file."""
+        return spread(with_file_position(self.spark.read.parquet(self.path(name))), CORPORA.get(name))
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEWS:
             sql = VIEWS[name]
             return self.spark.sql(sql, **{n: getattr(self, n) for n in set(_NAME.findall(sql))})
-        path = f"{self.folder}/{name}.parquet"
+        path = self.path(name)
         if name in CORPORA:
-            return read_corpus(self.spark, path, CORPORA[name])
+            return spread(self.spark.read.parquet(path), CORPORA[name])
         return self.spark.read.parquet(path)
 
 

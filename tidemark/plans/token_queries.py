@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
+from tidemark.functions.predicates import WORD_CLASSES
 from tidemark.operators import hooks, ngrams, perplexity, vocabulary, wordclass
 from tidemark.plans import continual, evaluate
 from tidemark.plans.registry import query
@@ -214,15 +215,31 @@ def score_tokens(t):
 )
 def corpus_perplexity(t):
     model = ngrams.scorer(continual.initial(t.snap_prev))
-    scored = ngrams.score_corpus(t.benchmark, "item_id", model, 4)
+    scored = ngrams.score_corpus(t.positioned("benchmark"), "position", model, 4)
     return perplexity.perplexity(scored).select(F.round("ppl", 4).alias("ppl"))
 
 
-@query()
+BY_CLASS = ", ".join(f"avg(CASE WHEN word_class = '{c}' THEN nll END) AS {c}" for c in WORD_CLASSES)
+
+
+@query(
+    f"""WITH {counts('{snap_prev}', 'model')}, {TAGGED},
+    parts AS (SELECT doc_id, word_pos, word_class, {TOKENS.replace('{}', 'word')} AS x FROM classed),
+    pieces0 AS (SELECT doc_id, word_pos, word_class, unnest(x) AS token, generate_subscripts(x, 1) AS k FROM parts),
+    row_asked AS (SELECT doc_id // 4 AS batch_id, word_class, token,
+                         lag(token, 1, '<s>') OVER (PARTITION BY doc_id ORDER BY word_pos, k) AS prev FROM pieces0),
+    ctx AS (SELECT prev, sum(n) AS n_prev FROM model GROUP BY prev),
+    uni AS (SELECT token, sum(n) AS n FROM model GROUP BY token),
+    size AS (SELECT sum(n) + count(*) + 1 AS size FROM uni),
+    losses AS (SELECT batch_id, word_class, coalesce(-ln(b.n / n_prev), -ln(0.4 * (coalesce(u.n, 0) + 1) / size)) AS nll
+               FROM row_asked a CROSS JOIN size LEFT JOIN model b ON b.prev = a.prev AND b.token = a.token
+               LEFT JOIN ctx ON ctx.prev = a.prev LEFT JOIN uni u ON u.token = a.token)
+    SELECT {", ".join(f'round(exp(avg("{c}")), 4) AS "{c}"' for c in ["all", *WORD_CLASSES])}
+    FROM (SELECT batch_id, avg(nll) AS "all", {BY_CLASS} FROM losses GROUP BY batch_id)"""
+)
 def corpus_perplexity_by_class(t):
-    # Tagging whole texts and scoring them at once; the parts are checked by token_classes and score_tokens.
     model = ngrams.scorer(continual.initial(t.snap_prev))
-    result = evaluate.corpus_perplexity(t.documents, "doc_id", model, wordclass.lexicon(t.spark), 4)
+    result = evaluate.corpus_perplexity(t.positioned("documents"), "position", model, wordclass.lexicon(t.spark), 4)
     return result.select(*[F.round(c, 4).alias(c) for c in result.columns])
 
 

@@ -31,14 +31,13 @@ def csv_to_parquet(spark: SparkSession, source: str, target: str, schema: str, p
     return spark.read.parquet(target)
 
 
-def read_corpus(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
-    """Parquet texts, spread over the cores when they lie in fewer splits than that.
+def spread(corpus: DataFrame, key: str | None = None) -> DataFrame:
+    """Texts spread over the cores when they lie in fewer splits than that.
 
     Work on text is heavy, and a small file is one split and so one task. A large corpus has more splits
-    than cores and is read as it lies, without a shuffle.
+    than cores and stays as it lies, without a shuffle.
     """
-    corpus = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
+    cores = corpus.sparkSession.sparkContext.defaultParallelism
     if corpus.rdd.getNumPartitions() >= cores:
         return corpus
     return corpus.repartition(cores, key) if key else corpus.repartition(cores)
