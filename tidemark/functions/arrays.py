@@ -57,7 +57,7 @@ def rolling_windows(ids: Column, prefix, max_length: int, context: int) -> Colum
     first = F.least(n, F.lit(max_length))
     opening = F.array(
         F.struct(
-            F.concat(F.array(F.lit(prefix)), F.slice(ids, F.lit(1), first - 1)).alias("input"),
+            F.concat(F.array(F.lit(prefix)), F.slice(ids, F.lit(1), F.greatest(first - 1, F.lit(0)))).alias("input"),
             F.slice(ids, F.lit(1), first).alias("predicted"),
         )
     )
@@ -65,11 +65,11 @@ def rolling_windows(ids: Column, prefix, max_length: int, context: int) -> Colum
     def later(done):
         end = F.least(done + step, n)
         return F.struct(
-            F.slice(ids, end - max_length, F.lit(max_length)).alias("input"),
-            F.slice(ids, done + 1, end - done).alias("predicted"),
+            F.slice(ids, F.greatest(end - max_length, F.lit(1)), F.lit(max_length)).alias("input"),
+            F.slice(ids, done + 1, F.greatest(end - done, F.lit(0))).alias("predicted"),
         )
 
-    following = F.transform(F.sequence(F.lit(max_length), n - 1, F.lit(step)), later)
+    following = F.transform(F.sequence(F.lit(max_length), F.greatest(n - 1, F.lit(max_length)), F.lit(step)), later)
     return (
         F.when(n == 0, F.slice(opening, 1, 0))
         .when(n <= max_length, opening)
