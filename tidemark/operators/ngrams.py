@@ -148,7 +148,7 @@ def complete(
     token and its result is looked up by the prompts. A full stop, or a token without a known continuation,
     ends a beam.
     """
-    last = F.coalesce(F.element_at(F.filter(T.tokens(F.col(prompt)), lambda t: t != ""), -1), F.lit(START))
+    last = F.coalesce(F.try_element_at(T.tokens(F.col(prompt)), F.lit(-1)), F.lit(START))
     asked = prompts.select(*ids, last.alias("_last"))
     nexts = materialize(continuations(model, beams), "continuations")
     state = asked.select("_last").distinct().select(

@@ -21,11 +21,11 @@ def token_counts(corpus: DataFrame, text: str = "text") -> DataFrame:
 
 
 def build_vocabulary(corpus: DataFrame, text: str = "text") -> DataFrame:
-    """``token, id, n``: reserved tokens first, then by falling count and token."""
-    ranked = with_position(token_counts(corpus, text).withColumn("_rare", -F.col("n")), ["_rare", "token"], name="id")
-    found = ranked.select("token", (F.col("id") + len(RESERVED)).alias("id"), "n")
+    """``token, token_id, n``: reserved tokens first, then by falling count and token."""
+    ranked = with_position(token_counts(corpus, text).withColumn("_rare", -F.col("n")), ["_rare", "token"], name="token_id")
+    found = ranked.select("token", (F.col("token_id") + len(RESERVED)).alias("token_id"), "n")
     reserved = corpus.sparkSession.createDataFrame(
-        [(token, i, 0) for i, token in enumerate(RESERVED)], "token string, id long, n long"
+        [(token, i, 0) for i, token in enumerate(RESERVED)], "token string, token_id long, n long"
     )
     return reserved.unionByName(found)
 
@@ -43,10 +43,10 @@ def encode(
         return cut.select(*ids, F.posexplode_outer("_tokens").alias("pos", "token"))
 
     found = lookup_join(
-        flat(rows), vocabulary.select("token", "id"), ["token"], sample=flat(rows.sample(HOT_SAMPLE, 17)),
+        flat(rows), vocabulary.select("token", "token_id"), ["token"], sample=flat(rows.sample(HOT_SAMPLE, 17)),
         broadcast_rows=broadcast_rows,
     )
-    known = F.coalesce(F.col("id"), F.lit(UNKNOWN)).cast("int")
+    known = F.coalesce(F.col("token_id"), F.lit(UNKNOWN)).cast("int")
     # collect_list leaves out nulls, so a text without tokens becomes an empty array.
     cell = F.when(F.col("pos").isNotNull(), F.struct(F.col("pos"), known.alias("id")))
     sequences = found.groupBy(*ids).agg(F.array_sort(F.collect_list(cell)).alias("_cells"))
@@ -63,9 +63,10 @@ def decode(
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """``ids`` and the trimmed text of each sequence without reserved tokens."""
-    flat = rows.select(*ids, F.posexplode_outer(sequence).alias("pos", "id")).withColumn("id", F.col("id").cast("long"))
-    found = lookup_join(flat, vocabulary.select("id", "token"), ["id"], broadcast_rows=broadcast_rows)
-    cell = F.when(F.col("id") >= len(RESERVED), F.struct("pos", "token"))
+    flat = rows.select(*ids, F.posexplode_outer(sequence).alias("pos", "token_id"))
+    flat = flat.withColumn("token_id", F.col("token_id").cast("long"))
+    found = lookup_join(flat, vocabulary.select("token_id", "token"), ["token_id"], broadcast_rows=broadcast_rows)
+    cell = F.when(F.col("token_id") >= len(RESERVED), F.struct("pos", "token"))
     texts = found.groupBy(*ids).agg(F.array_sort(F.collect_list(cell)).alias("_cells"))
     return texts.select(*ids, F.trim(F.array_join(F.col("_cells.token"), " ")).alias(name))
 
@@ -86,9 +87,9 @@ def encode_examples(
     ]
     fields = prompts.select(*ids, F.explode(F.array(*parts)).alias("f")).filter("f.tokens is not null")
     flat = fields.select(*ids, F.col("f.field").alias("field"), F.posexplode_outer("f.tokens").alias("pos", "token"))
-    found = lookup_join(flat, vocabulary.select("token", "id"), ["token"])
+    found = lookup_join(flat, vocabulary.select("token", "token_id"), ["token"])
     cell = F.when(
-        F.col("pos").isNotNull(), F.struct("pos", F.coalesce(F.col("id"), F.lit(UNKNOWN)).cast("int").alias("id"))
+        F.col("pos").isNotNull(), F.struct("pos", F.coalesce(F.col("token_id"), F.lit(UNKNOWN)).cast("int").alias("id"))
     )
     by_field = found.groupBy(*ids).agg(*[
         F.when(

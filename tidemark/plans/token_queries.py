@@ -19,11 +19,11 @@ DOC_TOKENS = TOKENS.replace("{}", "text")
 VOCABULARY = f"""
     counts AS (SELECT token, count(*) AS n FROM (SELECT unnest({DOC_TOKENS}) AS token FROM documents) GROUP BY token),
     vocabulary AS (
-        SELECT token, row_number() OVER (ORDER BY n DESC, token) + 4 AS id, n FROM counts
+        SELECT token, row_number() OVER (ORDER BY n DESC, token) + 4 AS token_id, n FROM counts
         UNION ALL SELECT * FROM (VALUES ('</s>', 0, 0), ('<s>', 1, 0), ('<unk>', 2, 0), ('<pad>', 3, 0), ('<mask>', 4, 0)))"""
 
 
-@query(f"WITH {VOCABULARY} SELECT token, id, n FROM vocabulary")
+@query(f"WITH {VOCABULARY} SELECT token, token_id, n FROM vocabulary")
 def build_vocabulary(t):
     return vocabulary.build_vocabulary(t.documents)
 
@@ -34,7 +34,7 @@ ENCODED = f"""
     {VOCABULARY},
     cut AS (SELECT {{{{id}}}} AS id0, list_slice({DOC_TOKENS}, 1, {LENGTH}) AS tokens FROM {{{{table}}}}),
     flat AS (SELECT id0, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM cut),
-    ids AS (SELECT id0, list(CAST(coalesce(v.id, 2) AS INTEGER) ORDER BY pos) AS ids
+    ids AS (SELECT id0, list(CAST(coalesce(v.token_id, 2) AS INTEGER) ORDER BY pos) AS ids
             FROM flat LEFT JOIN vocabulary v ON v.token = flat.token GROUP BY id0),
     real AS (SELECT cut.id0, coalesce(ids, []) AS ids FROM cut LEFT JOIN ids ON ids.id0 = cut.id0)"""
 

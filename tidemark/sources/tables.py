@@ -22,7 +22,9 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: str, columns: l
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """CSV that ``read_csv`` reads back unchanged; missing folders are created."""
-    df.write.mode(mode).options(header=True, quote='"', escape='"', escapeQuotes=True, quoteAll=True).csv(path)
+    df.write.mode(mode).options(
+        header=True, quote='"', escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    ).csv(path)
 
 
 def csv_to_parquet(spark: SparkSession, source: str, target: str, schema: str, partition_by: list[str] = ()) -> DataFrame:
