@@ -19,21 +19,14 @@ def test_every_query_has_sql():
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_query(spark, duck, name):
-    assert check_oracles.compare(QUERIES[name](spark, FOLDER), duck.execute(ORACLES[name]).to_arrow_table()) is None
+def test_query(spark, duck, capsys, name):
+    df = QUERIES[name](spark, FOLDER)
+    df.explain()
+    plan = capsys.readouterr().out
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    assert "BatchEvalPython" not in plan, "no row-at-a-time Python"
+    assert check_oracles.compare(df, duck.execute(ORACLES[name]).to_arrow_table()) is None
 
 
 def test_entry(spark):
     assert entry_file.entry(spark).count() == 1
-
-
-# Windows without a key, each over one row per month, hash prefix, partition or file.
-BOUNDED = {"month_pairs", "dataset_paths", "sample_exact", "shuffled", "training_batches", "replay_mix", "replay_batches", "hold_out"}
-
-
-@pytest.mark.parametrize("name", sorted(QUERIES))
-def test_plan(spark, capsys, name):
-    QUERIES[name](spark, FOLDER).explain()
-    plan = capsys.readouterr().out
-    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    assert "BatchEvalPython" not in plan, "no row-at-a-time Python"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from tidemark.operators import snapshots as S
+from tidemark.sources.tables import write_snapshot
 
 
 @pytest.fixture(scope="module")
@@ -27,6 +28,26 @@ def test_novel_sentences(pages):
     assert rows(S.diff_corpus(*pages)) == [(2, "Brand new. Brand new."), (4, "Fresh page. Two")]
 
 
+def test_changed_pages(pages):
+    assert rows(S.changed_pages(*pages), "page_id") == [(2,), (4,), (5,)]
+
+
+def test_bucketed_snapshots_are_not_shuffled(spark, pages, tmp_path, capsys):
+    prev, curr = (
+        write_snapshot(p, f"snapshot_{name}", str(tmp_path / name), "page_id", 4) for p, name in zip(pages, ("prev", "curr"))
+    )
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = S.diff_corpus(prev, curr)
+        found.explain()
+        assert "Exchange" not in capsys.readouterr().out
+        assert rows(found) == rows(S.diff_corpus(*pages))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE snapshot_prev")
+        spark.sql("DROP TABLE snapshot_curr")
+
+
 FACTS = "subject string, relation string, object string"
 
 

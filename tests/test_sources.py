@@ -128,13 +128,17 @@ def test_stream_training_restarts(spark, tmp_path):
     texts = ["a b a", "b c", "a b"]
     for i, text in enumerate(texts[:2]):
         (tmp_path / "in" / f"{i}.csv").write_text(f"text\n{text}\n")
-    run = feed.train_on_stream(feed.chunk_stream(spark, folder, tables.TEXT), models, checkpoint)
-    assert feed.latest_version(run) == 1
+    stream = lambda: feed.chunk_stream(spark, folder, tables.TEXT)
+    feed.train_on_stream(stream(), models, checkpoint)
+    whole = lambda n: ngrams.train(spark.createDataFrame([(t,) for t in texts[:n]], "text string"))
+    assert rows(feed.streamed_model(spark, models)) == rows(whole(2))
     (tmp_path / "in" / "2.csv").write_text(f"text\n{texts[2]}\n")
-    run = feed.train_on_stream(feed.chunk_stream(spark, folder, tables.TEXT), models, checkpoint)
-    assert feed.latest_version(run) == 2
-    whole = ngrams.train(spark.createDataFrame([(t,) for t in texts], "text string"))
-    assert rows(spark.read.parquet(feed.model_version(models, 2))) == rows(whole)
+    feed.train_on_stream(stream(), models, checkpoint)
+    assert rows(feed.streamed_model(spark, models)) == rows(whole(3))
+    assert rows(feed.streamed_model(spark, models, upto=1)) == rows(whole(2))
+    # a micro-batch that is run again writes the same step again
+    ngrams.train(spark.createDataFrame([(texts[2],)], "text string")).write.mode("overwrite").parquet(f"{models}/step=2")
+    assert rows(feed.streamed_model(spark, models)) == rows(whole(3))
 
 
 def test_live_perplexity(spark, tmp_path):

@@ -44,9 +44,3 @@ def word_class(tag: Column) -> Column:
         .when(tag.contains(NUMBER_MARK), F.lit("num"))
     )
 
-
-def scored_tokens(label: Column) -> Column:
-    """Labels that take part in a loss."""
-    from tidemark.functions.arrays import IGNORED_LABEL
-
-    return label != IGNORED_LABEL

@@ -13,16 +13,18 @@ from tidemark.session import materialize
 
 
 def grouped(df: DataFrame, index: str, key: Column, order: str = "first_seen") -> DataFrame:
-    """Add ``group_key``, ``group_pos`` and ``member_pos``.
+    """``index, group_key, group_pos, member_pos`` of every row.
 
     Groups are numbered by their first row, or by key with ``order='key'``; members by ``index``. A
-    group is never gathered: its members stay rows, and a large group is numbered by many tasks.
+    group is never gathered: its members stay rows, a large group is numbered by many tasks, and only
+    index and key are shuffled. Use a hash as the key of long texts.
     """
-    rows = df.withColumn("group_key", key)
+    rows = df.select(index, key.alias("group_key"))
     firsts = rows.groupBy("group_key").agg(F.min(index).alias("_first"))
     numbered = with_position(firsts, ["_first" if order == "first_seen" else "group_key"], name="group_pos")
     members = with_position(rows, [index], ["group_key"], name="member_pos")
-    return lookup_join(members, numbered.select("group_key", "group_pos"), ["group_key"])
+    found = lookup_join(members, numbered.select("group_key", "group_pos"), ["group_key"])
+    return found.select(index, "group_key", "group_pos", "member_pos")
 
 
 def chunks(df: DataFrame, position: str, size: int, value: str, by: list[str] = ()) -> DataFrame:

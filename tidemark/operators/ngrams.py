@@ -150,7 +150,8 @@ def complete(
     """
     last = F.coalesce(F.try_element_at(T.tokens(F.col(prompt)), F.lit(-1)), F.lit(START))
     asked = prompts.select(*ids, last.alias("_last"))
-    nexts = materialize(continuations(model, beams), "continuations")
+    options = continuations(model, beams).groupBy("prev").agg(F.collect_list(F.struct("token", "pair_nll")).alias("_next"))
+    options = materialize(options.withColumnRenamed("prev", "_tail"), "continuations")  # at most ``beams`` a context
     state = asked.select("_last").distinct().select(
         "_last", F.col("_last").alias("_tail"), F.array().cast("array<string>").alias("_path"),
         F.lit(0.0).alias("nll"), F.lit(False).alias("_done"),
@@ -159,7 +160,10 @@ def complete(
     steps_rank = W.partitionBy("_last").orderBy(F.round("nll", 9), "_text")
     for _ in range(steps):
         open_beams = state.filter(~F.col("_done"))
-        grown = open_beams.join(nexts, open_beams["_tail"] == nexts["prev"], "left").select(
+        # Many beams end in the same frequent token, hence a lookup and not a plain join.
+        found = lookup_join(open_beams, options, ["_tail"], broadcast_rows=broadcast_rows)
+        found = found.select("_last", "_tail", "_path", "nll", F.explode_outer("_next").alias("_n"))
+        grown = found.select("_last", "_tail", "_path", "nll", "_n.*").select(
             "_last",
             F.coalesce("token", "_tail").alias("_tail"),
             F.when(F.col("token").isNull(), F.col("_path")).otherwise(F.concat("_path", F.array("token"))).alias("_path"),

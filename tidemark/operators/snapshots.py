@@ -31,22 +31,30 @@ def page_diff(prev: DataFrame, curr: DataFrame, key: str = "page_id", text: str
     return old.join(new, key, "full_outer").select(key, status.alias("status"))
 
 
-def pages_with_status(pages: DataFrame, diff: DataFrame, *status: str, key: str = "page_id") -> DataFrame:
-    """Pages whose status is one of ``status``."""
-    return pages.join(diff.filter(F.col("status").isin(*status)).select(key), key, "left_semi")
+def changed_pages(prev: DataFrame, curr: DataFrame, key: str = "page_id", text: str = "text") -> DataFrame:
+    """New and updated pages of ``curr``. Of ``prev`` only keys and hashes are shuffled."""
+    old = prev.select(key, F.sha2(text, 256).alias("_hash"))
+    return curr.withColumn("_hash", F.sha2(text, 256)).join(old, [key, "_hash"], "left_anti").select(curr.columns)
 
 
 def novel_sentences(prev: DataFrame, curr: DataFrame, key: str = "page_id", text: str = "text") -> DataFrame:
     """``key, pos, sentence`` of all sentences that the page did not have before.
 
-    Unchanged pages leave before any sentence is split.
+    One join by page; unchanged pages leave right after it, before any sentence is split. The sentences are compared
+    within the partitioning of that join, so nothing else is shuffled, and nothing at all when both snapshots are
+    bucketed by page (``write_snapshot``).
     """
-    diff = page_diff(prev, curr, key, text)
-    fresh = pages_with_status(curr, diff, "new", "updated", key=key)
-    old = pages_with_status(prev, diff, "updated", key=key)
-    now = fresh.select(key, F.posexplode(T.sentences(F.col(text))).alias("pos", "sentence"))
-    before = old.select(key, F.explode(T.sentences(F.col(text))).alias("sentence")).distinct()
-    return now.join(before, [key, "sentence"], "left_anti").select(key, "pos", "sentence")
+    both = curr.select(key, text).join(prev.select(key, F.col(text).alias("_old")), key, "left")
+    changed = both.filter(F.col("_old").isNull() | (F.col("_old") != F.col(text)))
+    cell = lambda s, pos: F.struct(s.alias("sentence"), pos.cast("int").alias("pos"))
+    now = F.transform(T.sentences(F.col(text)), lambda s, i: cell(s, i))
+    before = F.transform(T.sentences(F.coalesce("_old", F.lit(""))), lambda s: cell(s, F.lit(None)))
+    sentences = changed.select(key, F.explode(F.concat(now, before)).alias("_s")).select(key, "_s.sentence", "_s.pos")
+    # All cells of one sentence lie within one page. collect_list leaves the earlier ones out, they have no position.
+    found = sentences.groupBy(key, "sentence").agg(
+        F.max(F.col("pos").isNull()).alias("_known"), F.collect_list("pos").alias("_at")
+    )
+    return found.filter(~F.col("_known")).select(key, F.explode("_at").alias("pos"), "sentence")
 
 
 def diff_corpus(prev: DataFrame, curr: DataFrame, key: str = "page_id", text: str = "text") -> DataFrame:

@@ -209,8 +209,7 @@ CHANGED = """
 def changed_pages(t):
     from tidemark.operators import snapshots
 
-    prev, curr = t.snap_prev, t.snap_curr
-    return snapshots.pages_with_status(curr, snapshots.page_diff(prev, curr), "new", "updated")
+    return snapshots.changed_pages(t.snap_prev, t.snap_curr)
 
 
 @query(

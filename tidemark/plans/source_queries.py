@@ -143,12 +143,11 @@ def model_families(t):
 
 @query(f"WITH {counts('documents', 'model')} SELECT prev, token, n FROM model")
 def stream_training(t):
-    """One chunk per language, merged into the model micro-batch by micro-batch."""
-    chunks, models, checkpoint = (new_path(t.spark, x) for x in ("chunks", "models", "stream"))
+    """One chunk per language, one step of the model each."""
+    chunks, model, checkpoint = (new_path(t.spark, x) for x in ("chunks", "model", "stream"))
     _write_chunks(t, chunks, F.col("text"))
-    stream = feed.chunk_stream(t.spark, f"{chunks}/*", tables.TEXT)
-    run = feed.train_on_stream(stream, models, checkpoint)
-    return t.spark.read.parquet(feed.model_version(models, feed.latest_version(run)))
+    feed.train_on_stream(feed.chunk_stream(t.spark, f"{chunks}/*", tables.TEXT), model, checkpoint)
+    return feed.streamed_model(t.spark, model)
 
 
 @query(
@@ -156,11 +155,10 @@ def stream_training(t):
     + MERGED.format("SELECT * FROM first UNION ALL SELECT * FROM more")
 )
 def stream_training_on_model(t):
-    chunks, models, checkpoint = (new_path(t.spark, x) for x in ("chunks", "models", "stream"))
+    chunks, model, checkpoint = (new_path(t.spark, x) for x in ("chunks", "model", "stream"))
     tables.write_csv(t.benchmark.select("text"), chunks)
-    stream = feed.chunk_stream(t.spark, chunks, tables.TEXT)
-    run = feed.train_on_stream(stream, models, checkpoint, start=ngrams.train(t.snap_prev))
-    return t.spark.read.parquet(feed.model_version(models, feed.latest_version(run)))
+    feed.train_on_stream(feed.chunk_stream(t.spark, chunks, tables.TEXT), model, checkpoint)
+    return ngrams.merge(ngrams.train(t.snap_prev), feed.streamed_model(t.spark, model))
 
 
 @query(

@@ -299,7 +299,7 @@ def perplexity_grid(t):
     kind = F.when(F.col("status") == "unchanged", "unchanged").otherwise("changed").alias("split")
     texts = curr.join(diff.select("page_id", kind), "page_id")
     first = continual.initial(prev)
-    changed = snapshots.pages_with_status(curr, diff, "new", "updated")
+    changed = snapshots.changed_pages(prev, curr)
     models = {"initial": first, "brute_force": continual.brute_force(curr), "subset": continual.subset(first, changed)}
     grid = continual.perplexity_grid(models, texts, "page_id", 4)
     return grid.select("method", "split", F.round("ppl", 4).alias("ppl"))

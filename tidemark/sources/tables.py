@@ -45,6 +45,16 @@ def spread(corpus: DataFrame, key: str | None = None) -> DataFrame:
     return corpus.repartition(cores, key) if key else corpus.repartition(cores)
 
 
+def write_snapshot(pages: DataFrame, table: str, path: str, key: str, buckets: int) -> DataFrame:
+    """Save a snapshot as a table bucketed by ``key``.
+
+    Snapshots with the same number of buckets are compared page by page without shuffling their texts. Take enough
+    buckets for one to fit a task: 100 TB in 200,000 buckets are 0.5 GB each.
+    """
+    pages.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+    return pages.sparkSession.table(table)
+
+
 def chunk_schema(family: str) -> str:
     """Schema of a training chunk for a model family."""
     return TEXT if family == "GPT2" else PAIR

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators import ngrams
@@ -28,31 +28,22 @@ def run_available(stream: DataFrame, step: Callable[[DataFrame, int], None], che
     return query
 
 
-def model_version(folder: str, step: int) -> str:
-    return f"{folder}/version={step}"
+def train_on_stream(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Write the counts of each micro-batch as one step of the model in ``folder``.
 
-
-def train_on_stream(stream: DataFrame, folder: str, checkpoint: str, start: DataFrame | None = None) -> StreamingQuery:
-    """Merge the counts of each micro-batch into the model and write it as the next version.
-
-    Version ``k`` is built from version ``k - 1`` and micro-batch ``k`` only and overwrites itself, so a
-    micro-batch that is run again after a failure leaves the same model.
+    A step costs as much as its chunk, however large the model is. It depends on its micro-batch only and
+    overwrites itself, so a micro-batch that is run again after a failure changes nothing.
     """
 
     def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        counts = ngrams.train(batch)
-        if number > 0:
-            counts = ngrams.merge(spark.read.parquet(model_version(folder, number - 1)), counts)
-        elif start is not None:
-            counts = ngrams.merge(start, counts)
-        counts.write.mode("overwrite").parquet(model_version(folder, number))
+        ngrams.train(batch).write.mode("overwrite").parquet(f"{folder}/step={number}")
 
     return run_available(stream, step, checkpoint)
 
 
-def latest_version(query: StreamingQuery) -> int:
-    """Number of the last micro-batch of a finished query."""
-    progress = query.lastProgress
-    progress = json.loads(progress) if isinstance(progress, str) else progress
-    return int(progress["batchId"])
+def streamed_model(spark: SparkSession, folder: str, upto: int | None = None) -> DataFrame:
+    """The model after all steps, or after step ``upto``."""
+    steps = spark.read.schema("prev string, token string, n long, step int").parquet(folder)
+    if upto is not None:
+        steps = steps.filter(F.col("step") <= upto)
+    return ngrams.merge(steps.drop("step"))
