@@ -103,6 +103,22 @@ def test_lookup_join(spark, skewed, broadcast_rows):
     assert rows(found, "id", "k", "v") == rows(facts.join(lookup, "k", "left"), "id", "k", "v")
 
 
+def test_no_task_gets_a_hot_key(spark, skewed):
+    """Half of the facts carry one key. The plain join puts them in one task, the lookup join does not."""
+    facts = skewed.select("id", F.col("g").alias("k")).unionByName(skewed.select("id", F.lit("unknown").alias("k")))
+    lookup = materialize(skewed.select(F.col("g").alias("k")).distinct().withColumn("v", F.length("k")), "lookup")
+    share = lambda df: df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] / facts.count()
+    off = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for key, value in off.items():
+        spark.conf.set(key, value)
+    try:
+        assert share(facts.join(lookup, "k", "left")) >= 0.5
+        assert share(skew.lookup_join(facts, lookup, ["k"], broadcast_rows=0, sample=facts.sample(0.2, 3))) < 0.15
+    finally:
+        for key in off:
+            spark.conf.unset(key)
+
+
 def test_fits_broadcast_checks_bytes(spark):
     df = spark.range(100).select(F.repeat(F.lit("x"), 1000).alias("t"))
     assert skew.fits_broadcast(df) and not skew.fits_broadcast(df, size=50_000) and not skew.fits_broadcast(df, rows=99)

@@ -21,9 +21,10 @@ START = "<s>"
 BACKOFF = 0.4  # weight of the single-token estimate for an unseen pair
 
 
-def bigram_rows(rows: DataFrame, ids: list[str], text: str = "text") -> DataFrame:
-    """``ids, pos, prev, token`` for every token."""
-    split = rows.select(*ids, T.tokens(F.col(text)).alias("_tokens"))
+def bigram_rows(rows: DataFrame, ids: list[str], text: str = "text", length: int | None = None) -> DataFrame:
+    """``ids, pos, prev, token`` for every token, or for the first ``length`` tokens of fixed-length sequences."""
+    tokens = T.tokens(F.col(text))
+    split = rows.select(*ids, (F.slice(tokens, 1, length) if length else tokens).alias("_tokens"))
     shifted = F.concat(F.array(F.lit(START)), F.col("_tokens")).alias("prev")
     pairs = F.arrays_zip(shifted, F.col("_tokens").alias("token"))
     flat = split.select(*ids, F.posexplode(pairs).alias("pos", "_p"))
@@ -32,9 +33,9 @@ def bigram_rows(rows: DataFrame, ids: list[str], text: str = "text") -> DataFram
     )
 
 
-def train(corpus: DataFrame, text: str = "text") -> DataFrame:
+def train(corpus: DataFrame, text: str = "text", length: int | None = None) -> DataFrame:
     """Bigram counts of a corpus."""
-    return bigram_rows(corpus, [], text).groupBy("prev", "token").agg(F.count("*").alias("n"))
+    return bigram_rows(corpus, [], text, length).groupBy("prev", "token").agg(F.count("*").alias("n"))
 
 
 def merge(*models: DataFrame) -> DataFrame:
@@ -115,7 +116,7 @@ def score_tokens(
 
 def score_corpus(
     corpus: DataFrame, position: str, model: Scorer, batch_size: int, text: str = "text", by: list[str] = (),
-    broadcast_rows: int = BROADCAST_ROWS,
+    length: int | None = None, broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Token losses of every text with the batch its text falls in.
 
@@ -124,8 +125,8 @@ def score_corpus(
     ids = [*by, "batch_id", position]
     placed = corpus.withColumn("batch_id", batch_of(F.col(position), batch_size)).select(*ids, text)
     # Sampling whole texts costs a hundredth of sampling their tokens.
-    sample = bigram_rows(placed.sample(HOT_SAMPLE, 17), ids, text)
-    return score_tokens(bigram_rows(placed, ids, text), model, sample, broadcast_rows)
+    sample = bigram_rows(placed.sample(HOT_SAMPLE, 17), ids, text, length)
+    return score_tokens(bigram_rows(placed, ids, text, length), model, sample, broadcast_rows)
 
 
 def continuations(model: Scorer, top: int) -> DataFrame:
@@ -156,29 +157,32 @@ def complete(
         "_last", F.col("_last").alias("_tail"), F.array().cast("array<string>").alias("_path"),
         F.lit(0.0).alias("nll"), F.lit(False).alias("_done"),
     )
+    small = fits_broadcast(options, broadcast_rows)
     # Rounded, so that two orders of adding the same losses still tie.
-    steps_rank = W.partitionBy("_last").orderBy(F.round("nll", 9), "_text")
+    best_first = W.partitionBy("_last").orderBy(F.round("nll", 9), "_text")
     for _ in range(steps):
-        open_beams = state.filter(~F.col("_done"))
-        # Many beams end in the same frequent token, hence a lookup and not a plain join.
-        found = lookup_join(open_beams, options, ["_tail"], broadcast_rows=broadcast_rows)
-        found = found.select("_last", "_tail", "_path", "nll", F.explode_outer("_next").alias("_n"))
-        grown = found.select("_last", "_tail", "_path", "nll", "_n.*").select(
-            "_last",
-            F.coalesce("token", "_tail").alias("_tail"),
-            F.when(F.col("token").isNull(), F.col("_path")).otherwise(F.concat("_path", F.array("token"))).alias("_path"),
-            (F.col("nll") + F.coalesce("pair_nll", F.lit(0.0))).alias("nll"),
-            (F.col("token").isNull() | (F.col("token") == ".")).alias("_done"),
-        )
+        # A finished beam has no key and stays as it is.
+        asking = state.withColumn("_tail", F.when(~F.col("_done"), F.col("_tail")))
+        if small:
+            found = asking.join(F.broadcast(options), "_tail", "left")
+        else:
+            # Many beams end in the same frequent token, hence a lookup and not a plain join. It reads the
+            # state twice, so each state is written down.
+            found = lookup_join(materialize(asking, "beams"), options, ["_tail"], broadcast_rows=broadcast_rows)
+        grown = found.select("_last", "_path", "nll", F.explode_outer("_next").alias("_n")).select("_last", "_path", "nll", "_n.*")
         state = (
-            grown.unionByName(state.filter("_done"))
+            grown.select(
+                "_last",
+                F.col("token").alias("_tail"),
+                F.when(F.col("token").isNull(), F.col("_path")).otherwise(F.concat("_path", F.array("token"))).alias("_path"),
+                (F.col("nll") + F.coalesce("pair_nll", F.lit(0.0))).alias("nll"),
+                (F.col("token").isNull() | (F.col("token") == ".")).alias("_done"),
+            )
             .withColumn("_text", F.array_join("_path", " "))
-            .withColumn("_rank", F.row_number().over(steps_rank))
+            .withColumn("_rank", F.row_number().over(best_first))
             .filter(F.col("_rank") <= beams)
             .drop("_rank", "_text")
         )
-        # Each step reads the state twice; writing it down keeps the plan from doubling with every step.
-        state = materialize(state, "beams")
     best = state.select("_last", F.array_join("_path", " ").alias("completion"), "nll")
     best = best.withColumn("rank", F.row_number().over(W.partitionBy("_last").orderBy(F.round("nll", 9), "completion")))
     # One row per last token, so that the lookup holds when one of them ends most prompts.

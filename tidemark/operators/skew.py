@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from tidemark.session import materialize
 
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 4_000_000
 BROADCAST_BYTES = 128 * 1024 * 1024
 HOT_KEYS = 10_000
 HOT_SAMPLE = 0.01

@@ -57,10 +57,10 @@ def word_tokens(rows: DataFrame, ids: list[str], text: str = "text") -> DataFram
     return rows.select(*ids, F.posexplode(T.word_pieces(F.col(text))).alias("pos", "_w")).select(*ids, "pos", "_w.*")
 
 
-def word_bigrams(rows: DataFrame, ids: list[str], text: str = "text") -> DataFrame:
+def word_bigrams(rows: DataFrame, ids: list[str], text: str = "text", length: int | None = None) -> DataFrame:
     """``word_tokens`` without blank tokens and with the token in front of each as ``prev``."""
     visible = F.filter(T.word_pieces(F.col(text)), lambda w: w["word"].isNotNull())
-    pieces = rows.select(*ids, visible.alias("_w"))
+    pieces = rows.select(*ids, (F.slice(visible, 1, length) if length else visible).alias("_w"))
     prev = F.concat(F.array(F.lit(START)), F.col("_w.token")).alias("prev")
     flat = pieces.select(*ids, F.posexplode(F.arrays_zip(prev, F.col("_w").alias("w"))).alias("pos", "_p"))
     return flat.filter(F.col("_p.w").isNotNull()).select(*ids, "pos", "_p.prev", "_p.w.word_pos", "_p.w.word", "_p.w.token")

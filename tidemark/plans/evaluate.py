@@ -41,18 +41,20 @@ def probe_perplexity(
 
 
 def corpus_class_losses(
-    corpus: DataFrame, position: str, model: ngrams.Scorer, lexicon: DataFrame, batch_size: int, text: str = "text"
+    corpus: DataFrame, position: str, model: ngrams.Scorer, lexicon: DataFrame, batch_size: int, text: str = "text",
+    length: int | None = None,
 ) -> DataFrame:
     """Token losses of a corpus with batch and word class; ``position`` counts the texts from zero."""
     placed = corpus.withColumn("batch_id", batch_of(F.col(position), batch_size)).select("batch_id", position, text)
-    words = lambda part: wordclass.word_bigrams(part, ["batch_id", position], text)
+    words = lambda part: wordclass.word_bigrams(part, ["batch_id", position], text, length)
     tagged = wordclass.tag_words(words(placed), lexicon).withColumn("word_class", word_class(F.col("tag")))
     tagged = tagged.drop("word", "word_pos", "tag")
     return ngrams.score_tokens(tagged, model, words(placed.sample(HOT_SAMPLE, 17)))
 
 
 def corpus_perplexity(
-    corpus: DataFrame, position: str, model: ngrams.Scorer, lexicon: DataFrame, batch_size: int, text: str = "text"
+    corpus: DataFrame, position: str, model: ngrams.Scorer, lexicon: DataFrame, batch_size: int, text: str = "text",
+    length: int | None = None,
 ) -> DataFrame:
     """One row: perplexity of all tokens and of names, nouns, verbs and numbers."""
-    return perplexity.class_perplexity(corpus_class_losses(corpus, position, model, lexicon, batch_size, text))
+    return perplexity.class_perplexity(corpus_class_losses(corpus, position, model, lexicon, batch_size, text, length))
