@@ -119,6 +119,17 @@ def test_no_task_gets_a_hot_key(spark, skewed):
             spark.conf.unset(key)
 
 
+def test_lookup_few_does_not_shuffle_the_lookup(spark, capsys):
+    few = materialize(spark.createDataFrame([("a", 1), ("b", 1), ("x", 2)], "k string, n int"), "few")
+    lookup = materialize(spark.range(1000).select(F.chr(F.col("id") % 26 + 97).alias("k"), "id").dropDuplicates(["k"]), "lookup")
+    found = skew.lookup_few(few.filter("n = 1"), lookup, ["k"])
+    found.explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
+    assert rows(found, "k", "n") == [("a", 1), ("b", 1)]
+    assert rows(skew.lookup_few(spark.createDataFrame([("?",)], "k string"), lookup, ["k"])) == [("?", None)]
+
+
 def test_fits_broadcast_checks_bytes(spark):
     df = spark.range(100).select(F.repeat(F.lit("x"), 1000).alias("t"))
     assert skew.fits_broadcast(df) and not skew.fits_broadcast(df, size=50_000) and not skew.fits_broadcast(df, rows=99)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators.ordinals import batch_of
-from tidemark.operators.skew import BROADCAST_ROWS, HOT_SAMPLE, fits_broadcast, hot_keys, lookup_join
+from tidemark.operators.skew import BROADCAST_ROWS, HOT_SAMPLE, fits_broadcast, hot_keys, lookup_few, lookup_join
 from tidemark.session import materialize
 
 START = "<s>"
@@ -94,11 +94,10 @@ def score_tokens(
         return known.withColumn("nll", F.coalesce("pair_nll", "single_nll", unknown)).drop("pair_nll", "single_nll")
 
     sample = materialize((rows.sample(HOT_SAMPLE, 17) if sample is None else sample).select("prev", "token"), "sample")
-    hot_tokens = F.broadcast(hot_keys(sample, ["token"])).join(singles, ["token"], "left")
+    hot_tokens = lookup_few(materialize(hot_keys(sample, ["token"]), "hot-keys"), singles, ["token"])
     hot_tokens = materialize(hot_tokens.select("token", F.coalesce("single_nll", unknown).alias("_token_nll")), "hot-tokens")
-    hot_pairs = (
-        F.broadcast(hot_keys(sample, ["prev", "token"])).join(pairs, ["prev", "token"], "left").join(singles, ["token"], "left")
-    )
+    hot_pairs = lookup_few(materialize(hot_keys(sample, ["prev", "token"]), "hot-keys"), pairs, ["prev", "token"])
+    hot_pairs = lookup_few(hot_pairs, singles, ["token"])
     hot_pairs = materialize(
         hot_pairs.select("prev", "token", F.coalesce("pair_nll", "single_nll", unknown).alias("nll")), "hot-pairs"
     )

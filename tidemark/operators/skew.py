@@ -39,6 +39,15 @@ def hot_keys(sample: DataFrame, keys: list[str], limit: int = HOT_KEYS) -> DataF
     return counted.orderBy(F.desc("_n"), *keys).limit(limit).drop("_n")
 
 
+def lookup_few(few: DataFrame, lookup: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join of a table of at most HOT_KEYS rows to ``lookup``, which is scanned and not shuffled.
+
+    An outer join cannot broadcast the side it keeps, so the matches are found by an inner join first.
+    """
+    matches = lookup.join(F.broadcast(few.select(*keys).distinct()), keys)
+    return few.join(F.broadcast(matches), keys, "left")
+
+
 def lookup_join(
     facts: DataFrame,
     lookup: DataFrame,
@@ -57,8 +66,8 @@ def lookup_join(
     """
     if fits_broadcast(lookup, broadcast_rows):
         return facts.join(F.broadcast(lookup), keys, "left")
-    wanted = hot_keys(facts.sample(HOT_SAMPLE, 17) if sample is None else sample, keys)
-    hot = materialize(F.broadcast(wanted).join(lookup, keys, "left").withColumn("_hot", F.lit(True)), "hot-keys")
+    wanted = materialize(hot_keys(facts.sample(HOT_SAMPLE, 17) if sample is None else sample, keys), "hot-keys")
+    hot = materialize(lookup_few(wanted, lookup, keys).withColumn("_hot", F.lit(True)), "hot-rows")
     without_key = F.lit(False)
     for key in keys:
         without_key = without_key | F.col(key).isNull()

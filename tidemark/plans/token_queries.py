@@ -305,6 +305,8 @@ def perplexity_grid(t):
     return grid.select("method", "split", F.round("ppl", 4).alias("ppl"))
 
 
+PASSAGES = "SELECT item_id, rtrim(text, '.') AS text FROM benchmark"
+QUESTIONS = "SELECT subject, relation, subject || ' ' || relation AS text FROM {fact_curr}"
 BEAM_STEP = """
     s{i} AS (
         SELECT last, tail, path, nll, done FROM (
@@ -316,26 +318,42 @@ BEAM_STEP = """
         QUALIFY row_number() OVER (PARTITION BY last ORDER BY round(nll, 9), array_to_string(path, ' ')) <= 2)"""
 
 
-@query(
-    f"""WITH {counts('{snap_prev}', 'model')},
+def beams_sql(asked: str, key: str) -> str:
+    """The two best completions of four steps for the prompts of ``asked`` under the counts named model."""
+    return f"""
     ctx AS (SELECT prev, sum(n) AS n_prev FROM model GROUP BY prev),
     best AS (SELECT m.prev, m.token, -ln(m.n / n_prev) AS loss FROM model m JOIN ctx USING (prev)
              QUALIFY row_number() OVER (PARTITION BY m.prev ORDER BY m.n DESC, m.token) <= 2),
-    asked AS (SELECT item_id, coalesce(list_last({DOC_TOKENS}), '<s>') AS last FROM (
-                  SELECT item_id, string_split(text, ' ')[1] AS text FROM benchmark)),
+    asked AS (SELECT {key}, coalesce(list_last({DOC_TOKENS}), '<s>') AS last FROM ({asked})),
     s0 AS (SELECT DISTINCT last, last AS tail, CAST([] AS VARCHAR[]) AS path, CAST(0 AS DOUBLE) AS nll, false AS done FROM asked),
     {",".join(BEAM_STEP.format(i=i, p=i - 1) for i in range(1, 5))},
     ranked AS (SELECT last, array_to_string(path, ' ') AS completion, nll,
                       row_number() OVER (PARTITION BY last ORDER BY round(nll, 9), array_to_string(path, ' ')) AS rank FROM s4)
-    SELECT item_id, CAST(rank AS INTEGER) AS rank, completion, round(nll, 4) AS nll FROM asked JOIN ranked USING (last)"""
-)
-def complete_prompts(t):
-    # The first word of each passage is the prompt.
+    SELECT {key}, CAST(rank AS INTEGER) AS rank, completion, round(nll, 4) AS nll FROM asked JOIN ranked USING (last)"""
+
+
+@query(f"WITH {counts('{snap_prev}', 'model')}, {beams_sql(PASSAGES, 'item_id')}")
+def complete_passages(t):
+    # Each whole passage without its closing full stop is a prompt.
     model = ngrams.scorer(continual.initial(t.snap_prev))
-    asked = t.benchmark.select("item_id", F.split_part("text", F.lit(" "), F.lit(1)).alias("input"))
+    asked = t.benchmark.select("item_id", F.rtrim("text", F.lit(".")).alias("input"))
     return ngrams.complete(asked, ["item_id"], model, steps=4).withColumn("nll", F.round("nll", 4))
 
 
+@query(
+    f"""WITH known AS (SELECT subject || ' ' || relation || ' ' || object AS text FROM {{fact_prev}}),
+    {counts('known', 'model')}, {beams_sql(QUESTIONS, 'subject, relation')}"""
+)
+def complete_probes(t):
+    # A third of all prompts and more end in the same word.
+    from tidemark.operators import prompts
+
+    known = prompts.fact_prompts(t.fact_prev, "evaluate_ppl").select(F.col("input").alias("text"))
+    model = ngrams.scorer(continual.initial(known))
+    asked = prompts.fact_prompts(t.fact_curr, "evaluate")
+    return ngrams.complete(asked, ["subject", "relation"], model, steps=4).withColumn("nll", F.round("nll", 4))
+
+
 # --- a model of one's own ---
 
 
