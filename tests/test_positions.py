@@ -54,7 +54,9 @@ def test_drop_short_batch(spark):
 @pytest.mark.parametrize("size", [0, 1, 137, 2999, 3000, 5000])
 def test_sample_exact(skewed, size):
     order = sorted((r["id"] for r in skewed.collect()), key=lambda i: hashlib.md5(f"42:{i}".encode()).hexdigest())
-    assert rows(sampling.sample_exact(skewed, ["id"], size, digits=2), "id") == sorted(((i,) for i in order[:size]), key=repr)
+    taken, rest = sampling.split_exact(skewed, ["id"], size, digits=2)
+    assert rows(taken, "id") == sorted(((i,) for i in order[:size]), key=repr)
+    assert rows(rest, "id") == sorted(((i,) for i in order[size:]), key=repr)
 
 
 def test_replay_and_batches(spark):

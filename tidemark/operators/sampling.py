@@ -16,10 +16,10 @@ def order_hash(*parts: Column | str) -> Column:
     return F.md5(F.concat_ws(":", *[F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts]))
 
 
-def sample_exact(
+def split_exact(
     df: DataFrame, ids: list[str], size: Column | int, seed: int = 42, digits: int = PREFIX_DIGITS
-) -> DataFrame:
-    """Exactly ``size`` rows (all when there are fewer), the first in hash order of ``ids``.
+) -> tuple[DataFrame, DataFrame]:
+    """Exactly ``size`` rows (all when there are fewer), the first in hash order of ``ids``, and the rest.
 
     A histogram of hash prefixes finds the bucket where the ``size``-th row lies; that one bucket is
     ranked to find the last hash taken. Only ids are read for this. The rows themselves are
@@ -40,7 +40,15 @@ def sample_exact(
         .withColumn("_rank", F.row_number().over(W.partitionBy("_bucket").orderBy("_hash", *ids)))
     )
     last = ranked.filter(F.col("_start") + F.col("_rank") <= size).agg(F.max(F.struct("_hash", *ids))).scalar()
-    return rows.filter(F.struct("_hash", *ids) <= last).drop("_hash")
+    taken = F.coalesce(F.struct("_hash", *ids) <= last, F.lit(False))  # no last row: nothing is taken
+    return rows.filter(taken).drop("_hash"), rows.filter(~taken).drop("_hash")
+
+
+def sample_exact(
+    df: DataFrame, ids: list[str], size: Column | int, seed: int = 42, digits: int = PREFIX_DIGITS
+) -> DataFrame:
+    """The sample of ``split_exact``."""
+    return split_exact(df, ids, size, seed, digits)[0]
 
 
 def shuffled(df: DataFrame, ids: list[str], seed: int = 42, epoch: int = 0, digits: int = PREFIX_DIGITS) -> DataFrame:
@@ -77,8 +85,7 @@ def training_batches(
 
 def hold_out(df: DataFrame, ids: list[str], size: int = 500, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """A fixed-size tuning set and the rest for evaluation; they share no row."""
-    tuning = sample_exact(df, ids, size, seed)
-    return tuning, df.join(tuning.select(*ids), ids, "left_anti")
+    return split_exact(df, ids, size, seed)
 
 
 def tagged_union(parts: dict[str, DataFrame], tag: str = "split") -> DataFrame:
