@@ -18,12 +18,29 @@ DEFAULTS = {
 }
 
 
-def build_session(app: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
-    """Session with the engine's defaults; keyword names use ``__`` for dots."""
+TASK_BYTES = 256 * 1024 * 1024  # what one task should read
+
+
+def sizing(input_bytes: int) -> dict[str, str]:
+    """Partition settings for an input of this size: 100 TB shuffle as about 400,000 partitions.
+
+    The count is an upper bound; adaptive execution joins partitions that turn out small.
+    """
+    return {
+        "spark.sql.shuffle.partitions": str(max(200, -(-input_bytes // TASK_BYTES))),
+        "spark.sql.files.maxPartitionBytes": str(TASK_BYTES),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(TASK_BYTES),
+    }
+
+
+def build_session(
+    app: str = "tidemark", master: str | None = None, input_bytes: int | None = None, **conf: str
+) -> SparkSession:
+    """Session with the engine's defaults, sized for ``input_bytes``; keyword names use ``__`` for dots."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in DEFAULTS.items():
+    for key, value in {**DEFAULTS, **(sizing(input_bytes) if input_bytes else {})}.items():
         builder = builder.config(key, value)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
