@@ -40,5 +40,5 @@ def test_local_session_gets_one_folder():
 def test_materialize(spark):
     df = spark.range(5)
     copy = session.materialize(df, "copy")
-    assert copy.schema == df.schema and copy.count() == 5
+    assert copy.dtypes == df.dtypes and copy.count() == 5
     assert session.new_path(spark, "x") != session.new_path(spark, "x")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators import ngrams
-from tidemark.sources.tables import CSV_OPTIONS
+from tidemark.sources.tables import CSV_OPTIONS, spread
 
 
 def chunk_stream(spark: SparkSession, folder: str, schema: str, files_per_step: int = 1) -> DataFrame:
@@ -36,7 +36,7 @@ def train_on_stream(stream: DataFrame, folder: str, checkpoint: str) -> Streamin
     """
 
     def step(batch: DataFrame, number: int) -> None:
-        ngrams.train(batch).write.mode("overwrite").parquet(f"{folder}/step={number}")
+        ngrams.train(spread(batch)).write.mode("overwrite").parquet(f"{folder}/step={number}")
 
     return run_available(stream, step, checkpoint)
 
