@@ -79,6 +79,8 @@ def test_tokens_and_sentences(one):
 def test_word_pieces_cost_of_blanks(one):
     pieces = one(T.word_pieces(F.col("t")), t="  it's   so ")
     assert [(p["word_pos"], p["token"], p["first"], p["span"]) for p in pieces] == [
-        (0, "it", True, 3), (0, "'", False, 3), (0, "s", False, 3), (0, " ", False, 0), (0, " ", False, 0), (1, "so", True, 1),
+        (0, "it", True, 3), (0, "'", False, 3), (0, "s", False, 3), (0, " ", False, 0), (0, " ", False, 0), (1, "so", True, 1), (1, " ", False, 0),
     ]
+    assert [p["token"] for p in one(T.word_pieces(F.col("t")), t="a b")] == ["a", "b"]
+    assert one(T.word_pieces(F.col("t")), t="  ") == []
     assert one(T.word_pieces(F.col("t")), t="") == []

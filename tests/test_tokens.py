@@ -130,6 +130,27 @@ def test_score_tokens(corpus, broadcast_rows):
     assert sorted((r["id"], r["pos"], r["token"], round(r["nll"], 9)) for r in found.collect()) == expected
 
 
+def test_saved_scorer_is_not_shuffled_again(spark, corpus, tmp_path, capsys):
+    model = ngrams.scorer(ngrams.train(corpus.filter("id < 5")))
+    saved = ngrams.save_scorer(model, "kept", str(tmp_path / "kept"), 8)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        asked = ngrams.bigram_rows(corpus, ["id"])
+        found = ngrams.score_tokens(asked, saved, sample=asked.sample(0.3, 5), broadcast_rows=0)
+        found.explain()
+        lines = capsys.readouterr().out.splitlines()
+        scans = [i for i, line in enumerate(lines) if "FileScan" in line and "Bucketed: true" in line]
+        assert scans
+        for i in scans:  # up to the join above it the table is sorted at most
+            above = lines[max(j for j in range(i) if "Join" in lines[j]):i]
+            assert not any("Exchange" in line and line.index("Exchange") >= lines[i].index("FileScan") - 12 for line in above[-3:])
+        assert rows(found, "id", "pos", "nll") == rows(ngrams.score_tokens(asked, model), "id", "pos", "nll")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE kept_pairs")
+        spark.sql("DROP TABLE kept_tokens")
+
+
 def test_merge_is_training_on_both(corpus):
     first, more = corpus.filter("id < 3"), corpus.filter("id >= 3")
     assert rows(continual.subset(ngrams.train(first), more)) == rows(ngrams.train(corpus))

@@ -102,9 +102,11 @@ def word_pieces(text: Column, pieces=tokens) -> Column:
     """One struct per token: ``word_pos``, ``first``, ``span``, ``word``, ``token``.
 
     ``span`` is the number of tokens of the word. Every blank beyond the separating one costs one
-    token (``token`` is a single blank, ``word`` is null); blanks before the first word cost nothing.
+    token (``token`` is a single blank, ``word`` is null), and so does every blank behind the last word; blanks
+    before the first word cost nothing.
     """
-    found = F.regexp_extract_all(text, F.lit(WORD_WITH_BLANKS), F.lit(0))
+    # One more blank at the end, so that the last word has its separating blank too.
+    found = F.regexp_extract_all(F.concat(text, F.lit(" ")), F.lit(WORD_WITH_BLANKS), F.lit(0))
 
     def take_apart(chunk, position):
         word = F.rtrim(chunk)

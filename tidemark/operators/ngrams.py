@@ -16,6 +16,7 @@ from tidemark.functions import text as T
 from tidemark.operators.ordinals import batch_of
 from tidemark.operators.skew import BROADCAST_ROWS, HOT_SAMPLE, fits_broadcast, hot_keys, lookup_few, lookup_join
 from tidemark.session import materialize
+from tidemark.sources.tables import write_bucketed
 
 START = "<s>"
 BACKOFF = 0.4  # weight of the single-token estimate for an unseen pair
@@ -78,6 +79,15 @@ def scorer(model: DataFrame, backoff: float = BACKOFF, broadcast_rows: int = BRO
     )
 
 
+def save_scorer(model: Scorer, name: str, path: str, buckets: int) -> Scorer:
+    """Keep loss tables bucketed by their keys, for a model that scores many texts: only the texts are shuffled then."""
+    return Scorer(
+        write_bucketed(model.pairs, f"{name}_pairs", f"{path}/pairs", ["prev", "token"], buckets),
+        write_bucketed(model.singles, f"{name}_tokens", f"{path}/tokens", ["token"], buckets),
+        materialize(model.unknown, "unknown-loss"),
+    )
+
+
 def score_tokens(
     rows: DataFrame, model: Scorer, sample: DataFrame | None = None, broadcast_rows: int = BROADCAST_ROWS
 ) -> DataFrame:

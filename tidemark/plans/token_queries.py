@@ -79,7 +79,7 @@ def decode_encoded(t):
 # --- word spans and classes ---
 
 WORDS = f"""
-    chunks AS (SELECT doc_id, regexp_extract_all(text, '[^ ]+ *') AS c FROM documents),
+    chunks AS (SELECT doc_id, regexp_extract_all(text || ' ', '[^ ]+ *') AS c FROM documents),
     words AS (SELECT doc_id, unnest(c) AS chunk, CAST(generate_subscripts(c, 1) - 1 AS INTEGER) AS word_pos FROM chunks),
     pieces AS (SELECT doc_id, word_pos, rtrim(chunk, ' ') AS word,
                       len({TOKENS.replace('{}', "rtrim(chunk, ' ')")}) AS span,

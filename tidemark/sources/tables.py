@@ -45,14 +45,18 @@ def spread(corpus: DataFrame, key: str | None = None) -> DataFrame:
     return corpus.repartition(cores, key) if key else corpus.repartition(cores)
 
 
-def write_snapshot(pages: DataFrame, table: str, path: str, key: str, buckets: int) -> DataFrame:
-    """Save a snapshot as a table bucketed by ``key``.
+def write_bucketed(df: DataFrame, table: str, path: str, keys: list[str], buckets: int) -> DataFrame:
+    """Save ``df`` as a table bucketed and sorted by ``keys``, so that joins on them do not shuffle it again.
 
-    Snapshots with the same number of buckets are compared page by page without shuffling their texts. Take enough
-    buckets for one to fit a task: 100 TB in 200,000 buckets are 0.5 GB each.
+    Take enough buckets for one to fit a task: 100 TB in 200,000 buckets are 0.5 GB each.
     """
-    pages.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
-    return pages.sparkSession.table(table)
+    df.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
+def write_snapshot(pages: DataFrame, table: str, path: str, key: str, buckets: int) -> DataFrame:
+    """Save a snapshot bucketed by page: two of them with the same buckets are compared without a shuffle."""
+    return write_bucketed(pages, table, path, [key], buckets)
 
 
 def chunk_schema(family: str) -> str:
@@ -67,7 +71,7 @@ def read_chunks(spark: SparkSession, folder: str, family: str) -> DataFrame:
     """
     schema = chunk_schema(family)
     files = (
-        spark.read.format("binaryFile").load(folder).select(F.col("path").alias("_path"))
+        spark.read.format("binaryFile").load(folder).select(F.col("_metadata.file_path").alias("_path"))
         .withColumn("chunk_no", F.row_number().over(W.orderBy("_path")) - 1)
     )
     rows = read_csv(spark, folder, schema).withColumn("_path", F.col("_metadata.file_path"))
