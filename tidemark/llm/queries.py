@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import licenses, quality, urls, warc
+from tidemark.llm import bpe, licenses, packing, quality, urls, warc
 from tidemark.session import new_path
 
 URL_RULES = [
@@ -42,10 +43,27 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document encoded to ids and decoded again."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = bpe.encode_documents(_table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
+    return bpe.decode_documents(encoded, path, public_tokenizers.PATTERN).select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document packed into sequences of 2048 tokens."""
+    return packing.pack_documents(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op4_quality_rules": op4_quality_rules,
+    "op6_byte_bpe": op6_byte_bpe,
     "op7_license_scans": op7_license_scans,
+    "op9_packing": op9_packing,
     "op10_warc": op10_warc,
 }
 
