@@ -22,9 +22,9 @@ from tidemark.session import materialize
 
 LENGTH = 2048  # tokens in a sequence
 END = 1  # id after every document
-UNIT = 8  # the linear program counts lengths in units of so many tokens, rounded up
-GAP = 5e-4  # the program stops this close (as a share) to the bounds from dual prices and from total length
-STEPS = 20_000  # and after so many pivots at the latest
+UNIT = 2  # the linear program counts lengths in units of so many tokens, rounded up
+GAP = 2e-4  # the program stops this close (as a share) to the bounds from dual prices and from total length
+STEPS = 1_000  # and after so many pivots at the latest
 MAX_WORDS = 150_000  # words whose ids are remembered, and as many from before
 LONG_WORD = 64  # longer words are not remembered
 RANK_ROWS = 100_000  # rows ranked in one task
@@ -129,26 +129,61 @@ def best_pattern(prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     return float(value[capacity]), pattern
 
 
+def _start(demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """A basis of largest-first patterns: each uses up one class (the third value), which later ones leave out, so the basis is triangular."""
+    left = demand.astype(float).copy()
+    todo = list(np.flatnonzero(demand)[::-1])
+    columns, used, order = [], [], []
+    while todo:
+        pattern = np.zeros(len(demand))
+        spent = todo[0]
+        if left[spent] <= 0:
+            pattern[spent] = capacity // (spent + 1)
+            times = 0.0
+        else:
+            room = capacity
+            for i in todo:
+                if left[i] > 0 and i < room:
+                    pattern[i] = room // (i + 1)
+                    room -= int(pattern[i]) * (i + 1)
+            held = np.flatnonzero(pattern)
+            ratios = left[held] / pattern[held]
+            spent, times = int(held[np.argmin(ratios)]), float(ratios.min())
+            left -= pattern * times
+            left[spent] = 0
+        columns.append(pattern)
+        used.append(times)
+        order.append(spent)
+        todo.remove(spent)
+    return np.array(columns).T, np.array(used), order
+
+
 def solve_program(demand: np.ndarray, capacity: int, gap: float = GAP, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (one column each) and how often each is used, fractions included, to cover ``demand`` with few sequences.
 
-    ``demand[i]`` pieces have size ``i + 1``. Revised simplex method: starts with one pattern per class that holds nothing else,
-    prices new patterns by :func:`best_pattern` and stops near the dual bound.
+    ``demand[i]`` pieces have size ``i + 1``. Revised simplex method: starts with largest-first patterns, prices new ones by
+    :func:`best_pattern` and stops near the bounds.
     """
     classes = np.flatnonzero(demand)
     m = len(classes)
     if m == 0:
         return np.zeros((len(demand), 0)), np.zeros(0)
-    fit = capacity // (classes + 1)
-    basis = np.zeros((len(demand), m))
-    basis[classes, np.arange(m)] = fit
-    inverse = np.diag(1.0 / fit)
-    used = demand[classes] / fit
+    basis, used, spent = _start(demand, capacity)
+    # Row s of the triangular system holds the class that pattern s used up; plain substitution, no threaded linear algebra.
+    rows = basis[spent]
+    inverse = np.zeros((m, m))
+    for s in range(m):
+        held = np.flatnonzero(rows[s, :s])
+        inverse[s] = -(rows[s, held, None] * inverse[held]).sum(axis=0)
+        inverse[s, s] += 1.0
+        inverse[s] /= rows[s, s]
+    inverse = inverse[:, np.argsort(spent)]
     size = np.where(demand > 0, np.arange(1, len(demand) + 1) / capacity, 0.0)  # prices that no packing can undercut
     least = float(size @ demand)
     prices = np.zeros(len(demand))
+    enough = least + max(gap * least, 1.0)  # within a sequence of the bound nothing is left to gain
     for _ in range(steps):
-        if used.sum() <= (1 + gap) * least:
+        if used.sum() <= enough:
             break
         prices[classes] = inverse.sum(axis=0)
         pattern = best_pattern((prices + size) / 2, capacity)[1]  # smoothed prices need fewer steps
@@ -156,7 +191,8 @@ def solve_program(demand: np.ndarray, capacity: int, gap: float = GAP, steps: in
             worth, pattern = best_pattern(prices, capacity)
             if worth <= 1 + gap:  # no pattern is worth more than its sequence
                 break
-        entering = inverse @ pattern[classes]
+        held = np.flatnonzero(pattern[classes])
+        entering = (inverse[:, held] * pattern[classes][held]).sum(axis=1)
         ratios = np.where(entering > 1e-9, used / np.maximum(entering, 1e-9), np.inf)
         out = int(np.argmin(ratios))
         step = ratios[out]
