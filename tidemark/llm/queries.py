@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, licenses, packing, quality, urls, warc
+from tidemark.llm import bpe, licenses, ngram_join, packing, quality, urls, warc
 from tidemark.session import new_path
 
 URL_RULES = [
@@ -24,6 +24,11 @@ def op1_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge_urls(_table(spark, folder, "pages"), urls.rule_table(spark, URL_RULES))
 
 
+def op3_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's number of shingles and its component of near duplicates."""
+    return ngram_join.jaccard_components(_table(spark, folder, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Counts and verdict of every document."""
     return quality.judge_quality(_table(spark, folder, "documents"))
@@ -60,6 +65,7 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filters": op1_url_filters,
+    "op3_ngram_join": op3_ngram_join,
     "op4_quality_rules": op4_quality_rules,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_license_scans": op7_license_scans,
