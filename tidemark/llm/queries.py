@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, licenses, ngram_join, packing, quality, urls, warc
+from tidemark.llm import bpe, html, licenses, ngram_join, packing, quality, toxicity, urls, warc
 from tidemark.session import new_path
 
 URL_RULES = [
@@ -24,6 +24,12 @@ def op1_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge_urls(_table(spark, folder, "pages"), urls.rule_table(spark, URL_RULES))
 
 
+def op2_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    found = html.extract_pages(_table(spark, folder, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op3_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's number of shingles and its component of near duplicates."""
     return ngram_join.jaccard_components(_table(spark, folder, "documents"))
@@ -58,6 +64,12 @@ def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document by a model of the labels."""
+    found = toxicity.detect_toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted", "sentence", "sentence_score")
+
+
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Every document packed into sequences of 2048 tokens."""
     return packing.pack_documents(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -65,10 +77,12 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filters": op1_url_filters,
+    "op2_html_extraction": op2_html_extraction,
     "op3_ngram_join": op3_ngram_join,
     "op4_quality_rules": op4_quality_rules,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_license_scans": op7_license_scans,
+    "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_warc": op10_warc,
 }
