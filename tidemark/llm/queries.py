@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, html, licenses, ngram_join, packing, quality, toxicity, urls, warc
+from tidemark.llm import bpe, html, licenses, ngram_join, packing, quality, topk, toxicity, urls, warc
 from tidemark.session import new_path
 
 URL_RULES = [
@@ -54,6 +54,11 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """The five highest inner products of every fiftieth vector."""
+    return topk.top_k(_table(spark, folder, "embeddings"), every=50, k=5)
+
+
 def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Every document encoded to ids and decoded again."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -80,6 +85,7 @@ QUERIES = {
     "op2_html_extraction": op2_html_extraction,
     "op3_ngram_join": op3_ngram_join,
     "op4_quality_rules": op4_quality_rules,
+    "op5_exact_top_k": op5_exact_top_k,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_license_scans": op7_license_scans,
     "op8_toxicity": op8_toxicity,
