@@ -8,6 +8,7 @@ patterns by dynamic programming. The rounded patterns are then given to the rank
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
 import numpy as np
@@ -25,18 +26,19 @@ END = 1  # id after every document
 UNIT = 2  # the linear program counts lengths in units of so many tokens, rounded up
 GAP = 2e-4  # the program stops this close (as a share) to the bounds from dual prices and from total length
 STEPS = 1_000  # and after so many pivots at the latest
-MAX_WORDS = 150_000  # words whose ids are remembered, and as many from before
+MAX_WORDS = 250_000  # words whose ids are remembered, and as many from before
 LONG_WORD = 64  # longer words are not remembered
 RANK_ROWS = 100_000  # rows ranked in one task
 
-SPACES = " \t\n\x0b\f\r"
-_BLANKS = str.maketrans({c: " " for c in SPACES})
+_CONTROLS = re.compile("[\x1c-\x1f]")  # white space for ``str.split`` but not for the tokenizer
+_SPACE = re.compile("[ \t\n\x0b\f\r]+")
+
 
 
 class Words:
     """Packed ids of texts by a ``tokenizers`` file that drops white space.
 
-    Words between ASCII white space are encoded apart, which gives the ids of the whole text: the pieces of the
+    Words between white space are encoded apart, which gives the ids of the whole text: the pieces of the
     tokenizer never reach over white space, and composing and lower-casing do not look across it.
     """
 
@@ -49,25 +51,48 @@ class Words:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [[w for w in t.translate(_BLANKS).split(" ") if w] for t in texts]
+        split = [_SPACE.split(t) if _CONTROLS.search(t) else t.split() for t in texts]
         wanted = set().union(*split)
+        wanted.discard("")
+        self.new[""] = b""
         if len(self.new) + len(wanted) > MAX_WORDS:
             self.old, self.new = self.new, {}
         missing = wanted.difference(self.new)
         for word in missing.intersection(self.old):
             self.new[word] = self.old[word]
-        missing = list(missing.difference(self.old))
-        for at in range(0, len(missing), 10_000):
-            words = missing[at:at + 10_000]
-            for word, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-                self.new[word] = np.array(e.ids, "<u4").tobytes()
+        self._learn(missing.difference(self.old))
         get = self.new.__getitem__
         found = [b"".join(map(get, words)) for words in split]
         for word in [w for w in wanted if len(w) > LONG_WORD]:
-            del self.new[word]
+            self.new.pop(word, None)
         return found
 
 
+    def _learn(self, words: set[str]) -> None:
+        """Make the ids of new words. A mark behind letters is a piece of its own, so it adds its ids to those of the letters."""
+        marked = {w for w in words if w[-1] in ",." and w[:-1].lower().isalpha()}
+        plain = words - marked | {w[:-1] for w in marked} | {w[-1] for w in marked}
+        plain = [w for w in plain if w not in self.new]
+        letters, others = [w for w in plain if w.isalpha()], [w for w in plain if not w.isalpha()]
+        for at in range(0, len(letters), 10_000):
+            some = letters[at:at + 10_000]
+            # Words of letters are one piece each, so one call encodes many; letters that do not stay letters are told by the count.
+            e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ids, piece = np.array(e.ids, "<u4"), np.array(e.word_ids, np.int64)
+            if len(piece) and piece[-1] + 1 == len(some) == len(set(e.word_ids)):
+                ends = np.searchsorted(piece, np.arange(len(some) + 1)).tolist()
+                data = ids.tobytes()
+                self.new.update(zip(some, [data[4 * i:4 * j] for i, j in zip(ends, ends[1:])]))
+            else:
+                others += some
+        for at in range(0, len(others), 10_000):
+            some = others[at:at + 10_000]
+            for word, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.new[word] = np.array(e.ids, "<u4").tobytes()
+        for word in marked:
+            self.new[word] = self.new[word[:-1]] + self.new[word[-1]]
+
+
 _words: dict[str, Words] = {}
 
 
