@@ -32,8 +32,8 @@ MIN_GROUP = 100  # smaller groups take the estimate of their language, small lan
 SALTS = 64
 
 
-def text_counts(documents: DataFrame) -> DataFrame:
-    """``doc_id, lang, source`` and the counts of every text; a null text counts as empty.
+def text_counts(documents: DataFrame, carry: tuple[str, ...] = ("*",)) -> DataFrame:
+    """``_doc`` (the columns ``carry`` of the row), ``lang, source`` and the counts of every text; a null text counts as empty.
 
     ``n_words``, ``word_chars`` (code points in words), ``n_symbols``, ``n_dup_lines`` (lines with a word that
     equal an earlier line), ``n_repeat_words`` (words in 3-word windows that occur twice or more, the first included).
@@ -41,7 +41,7 @@ def text_counts(documents: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = documents.select(
-        "doc_id", "lang", "source", text.alias("_text"),
+        F.struct(*carry).alias("_doc"), "lang", "source", text.alias("_text"),
         F.filter(F.split(text, SPACE), lambda w: w != "").alias("_words"),
         F.filter(F.split(text, "\n", -1), lambda x: F.translate(x, SPACES, "") != "").alias("_lines"),
     )
@@ -50,7 +50,7 @@ def text_counts(documents: DataFrame) -> DataFrame:
     windows = F.transform(F.slice("_words", F.lit(1), last), lambda w, i: F.struct(
         F.xxhash64(w, F.get(F.col("_words"), i + 1), F.get(F.col("_words"), i + 2)).alias("h"), i.alias("i")))
     rows = rows.select(
-        "doc_id", "lang", "source", n.cast("long").alias("n_words"),
+        "_doc", "lang", "source", n.cast("long").alias("n_words"),
         F.length(F.translate("_text", SPACES, "")).cast("long").alias("word_chars"),
         (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
@@ -141,19 +141,25 @@ def mcd(stats: DataFrame, steps: int = STEPS) -> DataFrame:
 
 
 def judge_quality(documents: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
-    """Counts and verdict of every row of ``documents`` (``doc_id, text, lang, source``).
+    """:func:`judge_rows` with ``doc_id`` in place of the whole row."""
+    rows = judge_rows(documents.select("doc_id", "text", "lang", "source"), cutoff, carry=("doc_id",))
+    return rows.select("_doc.doc_id", *[c for c in rows.columns if c != "_doc"])
 
-    Returns ``doc_id, n_words``, the counts of :func:`text_counts`, ``base_failed`` (fewer than 50 words, or over half
+
+def judge_rows(documents: DataFrame, cutoff: float = CUTOFF, carry: tuple[str, ...] = ("*",)) -> DataFrame:
+    """Counts and verdict of every row of ``documents`` (``doc_id, text, lang, source`` and any others).
+
+    Returns ``_doc`` (the columns ``carry`` as they came), ``n_words``, the counts of :func:`text_counts`, ``base_failed`` (fewer than 50 words, or over half
     of the words in repeated windows), ``distance`` (squared, from the centre of the row's group; null where
     the base failed) and ``kept`` (base passed and distance within ``cutoff``).
 
     Estimates rest on the rows that pass the base rules. A null language or source is a group like any other. Groups of fewer
     than 100 rows take the estimate of their language, such languages that of all rows. A null or empty text has no
-    words and fails the base. Rows are never merged: equal ids or texts give one row each. Other columns are not
-    read. An empty table gives no rows.
+    words and fails the base. Rows are never merged: equal ids or texts give one row each. Other columns are carried in ``_doc``
+    only, so their names cannot clash. An empty table gives no rows.
     """
     name = lambda *parts: F.concat_ws("\x01", *[F.coalesce(F.concat(F.lit("="), F.col(p)), F.lit("-")) for p in parts])
-    counts = text_counts(documents).withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (
+    counts = text_counts(documents, carry).withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     counts = materialize(counts.withColumns({f"_x{i}": x for i, x in enumerate(_vector())} | {
         "_fine": F.concat(F.lit("s"), name("lang", "source")), "_mid": F.concat(F.lit("l"), name("lang"))}), "text-counts")
@@ -170,7 +176,7 @@ def judge_quality(documents: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
         if fits_broadcast(model, rows=200_000):
             met = flat.join(F.broadcast(model), "_group", "left")
         else:
-            met = flat.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(
+            met = flat.withColumn("_salt", F.pmod(F.xxhash64("n_words", "word_chars"), F.lit(SALTS)).cast("int")).join(
                 model.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["_group", "_salt"], "left").drop("_salt")
         met = met.withColumn(label, _whitened(list(FEATURES)))
         return met.drop("_group", *[c for c in model.columns if c != "_group"])
@@ -178,6 +184,6 @@ def judge_quality(documents: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     judged = take(take(take(counts, F.col("_fine"), "_d0"), F.col("_mid"), "_d1"), F.lit("a"), "_d2")
     distance = F.when(~F.col("base_failed"), F.coalesce("_d0", "_d1", "_d2"))
     return judged.withColumn("distance", distance).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance",
+        "_doc", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance",
         (~F.col("base_failed") & (F.col("distance") <= cutoff)).alias("kept"),
     )

@@ -8,9 +8,11 @@ document labels, so the sentences that make a text toxic are located without eve
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -140,6 +142,24 @@ class _Weights(dict):
         return value
 
 
+def _score(parts: list[str], weights: _Weights) -> tuple[float, np.ndarray]:
+    """Noisy-or of the sentences of a text, and their log-odds."""
+    z = BIAS + np.array([sum(map(weights.__getitem__, set(_WORD.findall(s)))) for s in parts])
+    return float(-np.expm1(-np.logaddexp(0, z).sum())) if parts else 0.0, z
+
+
+def score_column(text: Column, model: dict[int, float]) -> Column:
+    """The score of :func:`score_documents` as a column, beside all others of a row."""
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        weights = _Weights(model)
+        for series in batches:
+            yield pd.Series([_score(sentences_of(t or ""), weights)[0] for t in series], dtype=float)
+
+    return score(text)
+
+
 def score_documents(documents: DataFrame, model: dict[int, float]) -> DataFrame:
     """``doc_id, score, sentence, sentence_score, sentence_text`` of every row of ``documents`` (``doc_id, text``).
 
@@ -157,8 +177,7 @@ def score_documents(documents: DataFrame, model: dict[int, float]) -> DataFrame:
             out: list[list] = [[] for _ in schema]
             for doc, text in zip(rows.column(0).to_pylist(), texts(rows.column(1))):
                 parts = sentences_of(text)
-                z = BIAS + np.array([sum(map(weights.__getitem__, set(_WORD.findall(s)))) for s in parts])
-                score = float(-np.expm1(-np.logaddexp(0, z).sum())) if parts else 0.0
+                score, z = _score(parts, weights)
                 best = int(np.argmax(z)) if parts else None
                 found = (doc, score, best, float(1 / (1 + np.exp(-z[best]))) if parts else None, parts[best] if parts else None)
                 for column, value in zip(out, found):
