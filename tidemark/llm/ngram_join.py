@@ -24,7 +24,7 @@ from tidemark.session import materialize
 WORDS = 5
 PERCENT = 80  # least share of the union that two sets have in common
 SKETCH_BITS = 18  # counters of the shingle sketch: 2 ** 18, whatever the corpus
-BITMAP_WORDS = 16  # 64-bit words of a bitmap
+BITS_EACH = 4  # least bits of a bitmap for each element of its set
 TILE = 512  # members in a tile
 HOT = 50_000  # shingles that the sketch counts more often than this are dealt over parts
 PARTS = 64
@@ -134,10 +134,29 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """Hashed bitmap of a set. Two sets differ in at least as many elements as their bitmaps differ in bits."""
-    flags = np.zeros(64 * BITMAP_WORDS, bool)
-    flags[(s % np.uint64(64 * BITMAP_WORDS)).astype(np.int64)] = True
-    return np.packbits(flags).tobytes()
+    """Hashed bitmap of a set, a power of two of bits long and at least 64.
+
+    Two sets differ in at least as many elements as their bitmaps, folded to one length, differ in bits.
+    """
+    size = max(64, 1 << (BITS_EACH * len(s) - 1).bit_length())
+    flags = np.zeros(size, bool)
+    flags[(s & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(flags, bitorder="little").tobytes()
+
+
+def _folded(wide: int, size: int, to: int) -> int:
+    """A bitmap of ``size`` bits as one of ``to`` bits."""
+    while size > to:
+        size //= 2
+        wide = (wide & ((1 << size) - 1)) | (wide >> size)
+    return wide
+
+
+def most_common(a: bytes, b: bytes, n: int) -> int:
+    """Upper bound of the elements common to two sets with bitmaps ``a`` and ``b`` and ``n`` elements together."""
+    size = 8 * min(len(a), len(b))
+    x, y = (_folded(int.from_bytes(z, "little"), 8 * len(z), size) for z in (a, b))
+    return (n - (x ^ y).bit_count()) // 2
 
 
 def signatures(documents: DataFrame, counts: np.ndarray, words: int, percent: int, hot: int) -> DataFrame:
@@ -226,12 +245,10 @@ def _bound(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Batches) -> Batches:
         for rows in batches:
-            if not len(rows):
-                continue
-            a, b = (np.frombuffer(b"".join(rows.column(i).to_pylist()), np.uint64).reshape(-1, BITMAP_WORDS) for i in (2, 3))
-            n = rows.column(4).to_numpy().astype(np.int64) + rows.column(5).to_numpy()
-            most = (n - np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)) // 2
-            keep = pa.array((100 + percent) * most >= percent * n)
+            keep = []
+            for a, b, n, m in zip(*(rows.column(i).to_pylist() for i in range(2, 6))):
+                keep.append((100 + percent) * most_common(a, b, n + m) >= percent * (n + m))
+            keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([rows.column(0).filter(keep), rows.column(1).filter(keep)], names=["a", "b"])
 
     met = pairs.join(left, "a").join(right, "b").select("a", "b", "a_bits", "b_bits", "a_n", "b_n")
@@ -260,26 +277,37 @@ def _cross(v: list, n: list, c: list, bits: list, side: list, percent: int) -> I
     """Pairs in different components and of different sides (null: no sides) that sizes and bitmaps allow."""
     order = sorted(range(len(v)), key=lambda i: (n[i], v[i]))
     if len(v) <= 16:
-        wide = [int.from_bytes(b) for b in bits]
         for at, i in enumerate(order):
             for j in order[at + 1:]:
                 if 100 * n[i] < percent * n[j]:
                     break
-                most = (n[i] + n[j] - (wide[i] ^ wide[j]).bit_count()) // 2
-                if c[i] != c[j] and (side[i] is None or side[i] != side[j]) and (100 + percent) * most >= percent * (n[i] + n[j]):
+                if c[i] == c[j] or (side[i] is not None and side[i] == side[j]):
+                    continue
+                if (100 + percent) * most_common(bits[i], bits[j], n[i] + n[j]) >= percent * (n[i] + n[j]):
                     yield (v[i], v[j]) if v[i] < v[j] else (v[j], v[i])
         return
     sizes = np.array([n[i] for i in order], np.int64)
     group = np.unique([c[i] for i in order], return_inverse=True)[1]
     sides = np.array([-1 if side[i] is None else side[i] for i in order])
-    maps = np.frombuffer(b"".join(bits[i] for i in order), np.uint64).reshape(-1, BITMAP_WORDS)
+    widths = np.array([len(bits[i]) // 8 for i in order])
+
+    def maps(tile: slice, width: int) -> np.ndarray:
+        """Bitmaps of a tile in ``width`` 64-bit words."""
+        found = np.zeros((len(order[tile]), width), np.uint64)
+        for row, i in zip(found, order[tile]):
+            np.bitwise_or.reduce(np.frombuffer(bits[i], np.uint64).reshape(-1, width), axis=0, out=row)
+        return found
+
     for i in range(0, len(order), TILE):
         for j in range(i, len(order), TILE):
             if 100 * sizes[min(i + TILE, len(order)) - 1] < percent * sizes[j]:
                 break
             x, y = slice(i, i + TILE), slice(j, j + TILE)
             both = sizes[x, None] + sizes[None, y]
-            most = (both - np.bitwise_count(maps[x, None] ^ maps[None, y]).sum(axis=2, dtype=np.int64)) // 2
+            width = int(min(widths[x].min(), widths[y].min()))
+            left, right = maps(x, width), maps(y, width)
+            apart = np.array([np.bitwise_count(row ^ right).sum(axis=1, dtype=np.int64) for row in left])
+            most = (both - apart) // 2
             fit = ((100 + percent) * most >= percent * both) & (group[x, None] != group[None, y])
             fit &= (sides[x, None] < 0) | (sides[x, None] != sides[None, y])
             if i == j:
@@ -357,9 +385,11 @@ def jaccard_components(
     found = materialize(document_sets(documents, words), "shingle-sets")
     rows = found.filter("sketch IS NULL").select("doc_id", "n_shingles", "v")
     signed = materialize(signatures(documents, _counts(found), words, percent, hot), "signatures")
-    bits = signed.dropDuplicates(["v"]).select("v", "n", "bits")
     shared = materialize(shared_postings(_postings(signed)), "shared-postings")
 
+    bits = signed.select("v", "n", "bits").join(shared.select("v").distinct(), "v", "left_semi")
+    bits = materialize(bits.dropDuplicates(["v"]), "bitmaps")
+
     near = F.lit(100) * F.least("n", "pivot_n") >= F.lit(percent) * F.greatest("n", "pivot_n")
     heads = shared.filter("part >= 0").select("key", F.lit(-1).alias("part"), F.col("pivot").alias("v"), F.col("pivot_n").alias("n"))
     star = shared.unionByName(shared_postings(heads.distinct())).filter(near).filter("v <> pivot")
