@@ -10,13 +10,14 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from tidemark.llm.batches import Batches, batch, map_batches
 from tidemark.session import materialize
@@ -26,9 +27,10 @@ END = 1  # id after every document
 UNIT = 2  # the linear program counts lengths in units of so many tokens, rounded up
 GAP = 2e-4  # the program stops this close (as a share) to the bounds from dual prices and from total length
 STEPS = 1_000  # and after so many pivots at the latest
-MAX_WORDS = 250_000  # words whose ids are remembered, and as many from before
+MAX_WORDS = 400_000  # words whose ids are remembered, and as many from before
 LONG_WORD = 64  # longer words are not remembered
-RANK_ROWS = 100_000  # rows ranked in one task
+RANK_ROWS = 20_000  # rows of a length that one task ranks
+BUCKETS = 16  # tasks that rank the rows of a length, at least
 
 _CONTROLS = re.compile("[\x1c-\x1f]")  # white space for ``str.split`` but not for the tokenizer
 _SPACE = re.compile("[ \t\n\x0b\f\r]+")
@@ -46,6 +48,10 @@ class Words:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # The same model behind a split at blanks alone, for words that the normaliser would not change.
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -69,28 +75,40 @@ class Words:
 
 
     def _learn(self, words: set[str]) -> None:
-        """Make the ids of new words. A mark behind letters is a piece of its own, so it adds its ids to those of the letters."""
-        marked = {w for w in words if w[-1] in ",." and w[:-1].lower().isalpha()}
-        plain = words - marked | {w[:-1] for w in marked} | {w[-1] for w in marked}
-        plain = [w for w in plain if w not in self.new]
-        letters, others = [w for w in plain if w.isalpha()], [w for w in plain if not w.isalpha()]
-        for at in range(0, len(letters), 10_000):
-            some = letters[at:at + 10_000]
-            # Words of letters are one piece each, so one call encodes many; letters that do not stay letters are told by the count.
-            e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids, piece = np.array(e.ids, "<u4"), np.array(e.word_ids, np.int64)
-            if len(piece) and piece[-1] + 1 == len(some) == len(set(e.word_ids)):
-                ends = np.searchsorted(piece, np.arange(len(some) + 1)).tolist()
-                data = ids.tobytes()
-                self.new.update(zip(some, [data[4 * i:4 * j] for i, j in zip(ends, ends[1:])]))
+        """Make the ids of new words. A mark behind letters is a piece of its own, and lower case has the ids of upper case."""
+        new = self.new
+        simple, others, made = {}, [], []
+        for word in words:
+            stem = word[:-1] if word[-1] in ",." else word
+            # Latin letters in normal form are what the normaliser makes of them, once in lower case; others must be in lower case.
+            if stem.isalpha() and (stem.isascii() or is_normalized("NFC", stem) and (
+                    "\u0130" not in stem and max(stem) < "\u0250" or stem == stem.lower())):
+                low = stem.lower()
+                if low not in new:
+                    simple[low] = None
+                if low is not word and low != word:
+                    made.append((word, low, "" if stem is word else word[-1]))
+            else:
+                others.append(word)
+        simple = list(simple)
+        for at in range(0, len(simple), 10_000):
+            some = simple[at:at + 10_000]
+            e = self.plain.encode(" ".join(some), add_special_tokens=False)
+            piece = np.array(e.word_ids, np.int64)
+            if len(piece) and piece[-1] + 1 == len(some) == np.count_nonzero(np.diff(piece)) + 1:
+                ends = (4 * np.searchsorted(piece, np.arange(len(some) + 1))).tolist()
+                data = np.array(e.ids, "<u4").tobytes()
+                new.update(zip(some, [data[i:j] for i, j in zip(ends, ends[1:])]))
             else:
                 others += some
+        others += [m for m in ",." if m not in new]
         for at in range(0, len(others), 10_000):
             some = others[at:at + 10_000]
             for word, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.new[word] = np.array(e.ids, "<u4").tobytes()
-        for word in marked:
-            self.new[word] = self.new[word[:-1]] + self.new[word[-1]]
+                new[word] = np.array(e.ids, "<u4").tobytes()
+        new[""] = b""
+        for word, low, mark in made:
+            new[word] = new[low] + new[mark]
 
 
 _words: dict[str, Words] = {}
@@ -297,7 +315,7 @@ def pack_documents(documents: DataFrame, path: str, length: int = LENGTH, unit:
         demand[size - 1] = n
     slots = _slots(spark, plan_patterns(demand, capacity))
 
-    buckets = max(1, -(-int(demand.max(initial=0)) // RANK_ROWS))
+    buckets = max(BUCKETS, -(-int(demand.max(initial=0)) // RANK_ROWS))
     keys = ["doc_id", "start", "ids_crc32", "doc_tokens"]
     rows = pieces.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
     inside = W.partitionBy("_unit", "_bucket").orderBy(*keys)
