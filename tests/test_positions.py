@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from conftest import rows
 from tidemark.operators import grouping, ordinals, perplexity, sampling, skew
 from tidemark.session import materialize
+from tidemark.sources.tables import csv_positions
 
 
 @pytest.fixture(scope="module")
@@ -157,3 +158,19 @@ def test_epoch_cursor(spark):
 def test_tagged_union(spark):
     both = sampling.tagged_union({"x": spark.range(1), "y": spark.range(2)})
     assert rows(both) == [(0, "x", 0), (0, "y", 1), (1, "y", 1)]
+
+
+def test_rows_without_a_group_keep_their_running_sums(spark):
+    df = spark.createDataFrame([(None, 0, 1.0), ("a", 0, 2.0), (None, 250_000, 4.0)], "split string, step long, x double")
+    found = ordinals.running_sums(df, ["split"], "step", {"total": F.col("x")})
+    assert rows(found, "split", "step", "total") == sorted([(None, 0, 1.0), ("a", 0, 2.0), (None, 250_000, 5.0)], key=repr)
+
+
+def test_csv_positions_follow_file_names_not_sizes(spark, tmp_path):
+    sizes = {"a": 3, "b": 400, "c": 50}
+    for name, size in sizes.items():
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{name}.csv").write_text("text\n" + "".join(f"{name}{i}\n" for i in range(size)))
+    found = csv_positions(spark, str(tmp_path / "in"), str(tmp_path / "out"), "text string")
+    assert [r["text"] for r in found.orderBy("position").collect()] == [f"{n}{i}" for n, size in sizes.items() for i in range(size)]
+    assert sorted(r["position"] for r in found.collect()) == list(range(453))

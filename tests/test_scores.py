@@ -89,3 +89,11 @@ def test_names(spark):
     assert [r[0] for r in df.select(P.word_class(F.col("t"))).collect()] == [
         "ner", "ner", "noun", "noun", "verb", "verb", None, "num", None,
     ]
+
+
+def test_f1_in_row_and_exploded_agree_on_missing_sides_and_repeated_ids(spark):
+    given = [(1, None, None), (2, "a b", None), (3, None, "a"), (4, "", ""), (5, "a b c", "a b d"), (5, "x", "y x"), (5, "x", "y x")]
+    pairs = spark.createDataFrame(given, "id int, prediction string, target string")
+    short = rows(scores.token_f1(pairs, ["id"], in_row_chars=400))
+    assert short == rows(scores.token_f1(pairs, ["id"], in_row_chars=-1))
+    assert [i for i, _ in short] == [1, 2, 3, 4, 5, 5, 5] and short[0] == (1, 0.0)

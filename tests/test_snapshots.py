@@ -99,3 +99,22 @@ def test_month_pairs(spark):
     ]
     names = spark.createDataFrame([("1001_1101_changed",), ("1001-1101_changed",)], "n string")
     assert {r[0] for r in names.select(S.normalize_probe_name(F.col("n"))).collect()} == {"1001-1101_changed"}
+
+
+def test_pages_without_text(spark):
+    prev = spark.createDataFrame([(1, None), (2, None), (3, "a"), (5, None), (6, "x")], "page_id int, text string")
+    curr = spark.createDataFrame([(2, None), (3, None), (4, None), (5, "b"), (6, "x")], "page_id int, text string")
+    assert rows(S.page_diff(prev, curr)) == [
+        (1, "deleted"), (2, "unchanged"), (3, "updated"), (4, "new"), (5, "updated"), (6, "unchanged")]
+    assert rows(S.changed_pages(prev, curr), "page_id") == [(3,), (4,), (5,)]
+    assert rows(S.diff_corpus(prev, curr)) == [(5, "b")]
+
+
+def test_both_ways_of_a_cap_keep_facts_without_a_key(spark):
+    facts = spark.createDataFrame([(None if i % 2 else "s", "r", f"o{i}") for i in range(12)], "subject string, relation string, object string")
+    small, large = (rows(S.cap_per_key(facts, "subject", cap)) for cap in (1_000, 1_001))
+    assert small == large and len(small) == 12
+    kept = rows(S.cap_per_key(facts, "subject", 4))
+    S.GROUP_LIMIT, old = 0, S.GROUP_LIMIT
+    assert rows(S.cap_per_key(facts, "subject", 4)) == kept and len(kept) == 8
+    S.GROUP_LIMIT = old

@@ -93,11 +93,6 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(found, lambda s: F.trim(s)), lambda s: s != "")
 
 
-def words(text: Column) -> Column:
-    """Blank-separated words without the empty ones."""
-    return F.filter(F.split(text, " "), lambda w: w != "")
-
-
 def word_pieces(text: Column, pieces=tokens) -> Column:
     """One struct per token: ``word_pos``, ``first``, ``span``, ``word``, ``token``.
 

@@ -70,22 +70,36 @@ def with_hash_position(
     """Add the zero-based rank by a hexadecimal hash, within ``group`` when given.
 
     The first ``digits`` characters of the hash are an even bucket that agrees with the order, so rank =
-    rows in earlier buckets + rank within the bucket. Use more digits for more rows.
+    rows in earlier buckets + rank within the bucket. Use more digits for more rows. Rows without a group are a group.
     """
     group = list(group)
     rows = df.withColumn("_bucket", F.substring(hash_column, 1, digits))
     sizes = rows.groupBy(*group, "_bucket").agg(F.count("*").alias("_rows"))
     before = _before(W.partitionBy(*group).orderBy("_bucket"))  # at most 16 ** digits rows a group
-    starts = sizes.select(*group, "_bucket", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    start = F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start")
+    starts = _renamed(sizes.select(*group, "_bucket", start), group, "_bucket")
     if not group:
         starts = F.broadcast(starts)
     inside = W.partitionBy(*group, "_bucket").orderBy(hash_column, *ties)
     ranked = rows.withColumn("_rank", F.row_number().over(inside) - 1)
-    return ranked.join(starts, [*group, "_bucket"]).select(
-        *df.columns, (F.col("_start") + F.col("_rank")).alias(name)
+    return ranked.join(starts, _same(ranked, starts, group, "_bucket")).select(
+        *[ranked[c] for c in df.columns], (F.col("_start") + F.col("_rank")).alias(name)
     )
 
 
+def _renamed(df: DataFrame, group: list[str], bucket: str) -> DataFrame:
+    """The keys of a small side under names of their own."""
+    return df.withColumnsRenamed({g: f"_key{i}" for i, g in enumerate(group)} | {bucket: "_key"})
+
+
+def _same(rows: DataFrame, small: DataFrame, group: list[str], bucket: str) -> Column:
+    """Join condition on group and bucket; a missing group equals a missing group."""
+    match = rows[bucket].eqNullSafe(small["_key"])
+    for i, g in enumerate(group):
+        match = match & rows[g].eqNullSafe(small[f"_key{i}"])
+    return match
+
+
 def batch_of(position: Column, batch_size: int) -> Column:
     """Batch id of a row position."""
     return F.floor(position / batch_size)
@@ -103,19 +117,20 @@ def running_sums(
     """Running sums in ``step`` order within ``by``; ``step`` is an integer that counts up.
 
     Steps are cut into buckets of ``width``. Rows are sorted within one bucket only, and the sums of
-    the earlier buckets (one row per bucket) are added, so a single long series still runs on many tasks.
+    the earlier buckets (one row per bucket) are added, so a single long series still runs on many tasks. Rows
+    without a ``by`` are a series of their own.
     """
+    by = list(by)
     rows = df.withColumn("_bucket", F.floor(F.col(step) / width)).withColumns(sums)
     totals = rows.groupBy(*by, "_bucket").agg(*[F.sum(n).alias(f"_{n}") for n in sums])
     before = _before(W.partitionBy(*by).orderBy("_bucket"))
     heads = totals.select(
         *by, "_bucket", *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in sums]
     )
+    heads = _renamed(heads, by, "_bucket")
     inside = W.partitionBy(*by, "_bucket").orderBy(step)
     so_far = inside.rowsBetween(W.unboundedPreceding, 0)
-    return (
-        rows.withColumns({n: F.sum(n).over(so_far) for n in sums})
-        .join(heads, [*by, "_bucket"])
-        .withColumns({n: F.col(n) + F.col(f"_{n}") for n in sums})
-        .select(*df.columns, *sums)
+    rows = rows.withColumns({n: F.sum(n).over(so_far) for n in sums})
+    return rows.join(heads, _same(rows, heads, by, "_bucket")).select(
+        *[rows[c] for c in df.columns], *[(rows[n] + F.col(f"_{n}")).alias(n) for n in sums]
     )

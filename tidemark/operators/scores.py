@@ -41,17 +41,21 @@ def token_f1(
     pairs: DataFrame, ids: list[str], prediction: str = "prediction", target: str = "target",
     in_row_chars: int = IN_ROW_CHARS,
 ) -> DataFrame:
-    """``ids`` and ``f1`` of every pair.
+    """``ids`` and ``f1`` of every pair; a missing side has no tokens. Pairs with equal ids stay rows of their own.
 
     Short pairs are counted inside the row without a shuffle. Longer ones are exploded and counted
     by token, which is linear in the text length.
     """
+    none = F.array().cast("array<string>")
+
     def split(rows: DataFrame) -> DataFrame:
         return rows.select(
-            *ids, T.answer_tokens(F.col(prediction)).alias("_p"), T.answer_tokens(F.col(target)).alias("_t")
+            *ids, F.coalesce(T.answer_tokens(F.col(prediction)), none).alias("_p"),
+            F.coalesce(T.answer_tokens(F.col(target)), none).alias("_t"),
         )
 
-    is_short = F.greatest(F.length(prediction), F.length(target)) <= in_row_chars
+    # Without either side there is no length: nothing is long.
+    is_short = F.coalesce(F.greatest(F.length(prediction), F.length(target)) <= in_row_chars, F.lit(True))
     short = split(pairs.filter(is_short)).select(
         *ids, f1_of(multiset_overlap(F.col("_p"), F.col("_t")), F.size("_p"), F.size("_t")).alias("f1")
     )
@@ -60,13 +64,14 @@ def token_f1(
     )
     counted = (
         split(pairs.filter(~is_short))
-        .select(*ids, F.explode_outer(F.concat(side(F.col("_p"), 1), side(F.col("_t"), 0))).alias("x"))
-        .groupBy(*ids, "x.token")
+        .withColumn("_row", F.monotonically_increasing_id())
+        .select(*ids, "_row", F.explode_outer(F.concat(side(F.col("_p"), 1), side(F.col("_t"), 0))).alias("x"))
+        .groupBy(*ids, "_row", "x.token")
         .agg(F.sum("x.p").alias("p"), F.sum("x.t").alias("t"))
     )
     # Two long texts without any word still give one row, with a null token.
     long = (
-        counted.groupBy(*ids)
+        counted.groupBy(*ids, "_row")
         .agg(F.coalesce(F.sum(F.least("p", "t")), F.lit(0)).alias("same"), F.sum("p").alias("p"), F.sum("t").alias("t"))
         .select(*ids, f1_of(F.col("same"), F.col("p"), F.col("t")).alias("f1"))
     )

@@ -18,23 +18,26 @@ GROUP_LIMIT = 1_000
 def page_diff(prev: DataFrame, curr: DataFrame, key: str = "page_id", text: str = "text") -> DataFrame:
     """``key, status`` of every page: new, updated, unchanged or deleted.
 
-    Only keys and hashes are shuffled, never the texts.
+    A page without text is there all the same; two pages without text are equal. Only keys and hashes are shuffled,
+    never the texts.
     """
-    old = prev.select(key, F.sha2(text, 256).alias("_old"))
-    new = curr.select(key, F.sha2(text, 256).alias("_new"))
+    old = prev.select(key, F.sha2(text, 256).alias("_old"), F.lit(True).alias("_before"))
+    new = curr.select(key, F.sha2(text, 256).alias("_new"), F.lit(True).alias("_now"))
     status = (
-        F.when(F.col("_old").isNull(), "new")
-        .when(F.col("_new").isNull(), "deleted")
-        .when(F.col("_old") == F.col("_new"), "unchanged")
+        F.when(F.col("_before").isNull(), "new")
+        .when(F.col("_now").isNull(), "deleted")
+        .when(F.col("_old").eqNullSafe(F.col("_new")), "unchanged")
         .otherwise("updated")
     )
     return old.join(new, key, "full_outer").select(key, status.alias("status"))
 
 
 def changed_pages(prev: DataFrame, curr: DataFrame, key: str = "page_id", text: str = "text") -> DataFrame:
-    """New and updated pages of ``curr``. Of ``prev`` only keys and hashes are shuffled."""
-    old = prev.select(key, F.sha2(text, 256).alias("_hash"))
-    return curr.withColumn("_hash", F.sha2(text, 256)).join(old, [key, "_hash"], "left_anti").select(curr.columns)
+    """New and updated pages of ``curr``, by the rules of ``page_diff``. Of ``prev`` only keys and hashes are shuffled."""
+    missing = F.lit("")  # no digest is empty
+    old = prev.select(key, F.coalesce(F.sha2(text, 256), missing).alias("_hash"))
+    now = curr.withColumn("_hash", F.coalesce(F.sha2(text, 256), missing))
+    return now.join(old, [key, "_hash"], "left_anti").select(curr.columns)
 
 
 def novel_sentences(prev: DataFrame, curr: DataFrame, key: str = "page_id", text: str = "text") -> DataFrame:
@@ -106,8 +109,8 @@ def plausible_facts(facts: DataFrame, max_object_words: int = 5) -> DataFrame:
 def cap_per_key(facts: DataFrame, key: str | list[str], cap: int, seed: int = 42) -> DataFrame:
     """At most ``cap`` facts per key, the first in hash order.
 
-    Spark trims small ranks before the shuffle. For a larger cap the rank comes from hash buckets, which spread a hot
-    key over many tasks.
+    Facts without a key are capped like those of any other key. Spark trims small ranks before the shuffle. For a larger cap the
+    rank comes from hash buckets, which spread a hot key over many tasks; both ways keep the same facts.
     """
     keys = [key] if isinstance(key, str) else key
     rows = facts.withColumn("_hash", order_hash(F.lit(seed), *FACT))

@@ -63,8 +63,10 @@ def decode(
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """``ids`` and the trimmed text of each sequence without reserved tokens."""
-    flat = rows.select(*ids, F.posexplode_outer(sequence).alias("pos", "token_id"))
-    flat = flat.withColumn("token_id", F.col("token_id").cast("long"))
+    # Padding and other reserved ids leave inside the array, before anything is exploded.
+    placed = F.transform(sequence, lambda t, i: F.struct(i.alias("pos"), t.cast("long").alias("token_id")))
+    placed = F.filter(placed, lambda c: c["token_id"] >= len(RESERVED))
+    flat = rows.select(*ids, F.explode_outer(placed).alias("_c")).select(*ids, "_c.pos", "_c.token_id")
     found = lookup_join(flat, vocabulary.select("token_id", "token"), ["token_id"], broadcast_rows=broadcast_rows)
     cell = F.when(F.col("token_id") >= len(RESERVED), F.struct("pos", "token"))
     texts = found.groupBy(*ids).agg(F.array_sort(F.collect_list(cell)).alias("_cells"))

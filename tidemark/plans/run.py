@@ -16,11 +16,10 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as T
 from tidemark.functions.predicates import GENERATION_MODES, PERPLEXITY_MODES
 from tidemark.operators import ngrams, perplexity, prompts, scores, wordclass
-from tidemark.operators.ordinals import with_file_position
 from tidemark.operators.sampling import replay_mix
 from tidemark.operators.snapshots import month_pairs
 from tidemark.plans import evaluate
-from tidemark.session import build_session, new_path
+from tidemark.session import build_session, materialize, new_path
 from tidemark.sources import catalog, manifest, tables
 
 # Methods that change what is trained on. All others change network weights and are not built.
@@ -28,8 +27,8 @@ METHODS = ["baseline", "mixreview"]
 
 
 def positioned_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of a CSV with their position, by way of Parquet."""
-    return with_file_position(tables.csv_to_parquet(spark, path, new_path(spark, "csv"), schema))
+    """Rows of a CSV with their position, by way of Parquet; several files count in the order of their names."""
+    return tables.csv_positions(spark, path, new_path(spark, "csv"), schema)
 
 
 def start_model(spark: SparkSession, run: Row) -> DataFrame | None:
@@ -96,7 +95,7 @@ def evaluate_run(spark: SparkSession, run: Row, path: str, lexicon: DataFrame |
         answers = ngrams.complete(asked, ["position"], model, run["max_output_length"]).filter("rank = 1")
         answers = answers.select("position", T.detokenize(F.col("completion")).alias("prediction"))
         # one job for both result rows
-        found = evaluate.answer_scores(facts, answers, ["position"]).persist()
+        found = materialize(evaluate.answer_scores(facts, answers, ["position"]), "scores")
         return [found.select("correct", F.col("em_rate").alias("rate")), found.select("f1")]
     whole = prompts.fact_prompts(facts, "evaluate_ppl")
     losses = ngrams.score_corpus(whole, "position", model, batch, "input", length=length)

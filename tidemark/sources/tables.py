@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordinals import with_position
+from tidemark.operators.skew import fits_broadcast
+
 TEXT = "text string"
 PAIR = "input string, output string"
 FACTS = "subject string, relation string, object string"
@@ -33,6 +36,24 @@ def csv_to_parquet(spark: SparkSession, source: str, target: str, schema: str, p
     return spark.read.parquet(target)
 
 
+def csv_positions(spark: SparkSession, source: str, target: str, schema: str, name: str = "position") -> DataFrame:
+    """CSV rewritten as Parquet, with the zero-based position of each row: files by name, rows as they lie.
+
+    Spark packs files into tasks by size, so the place of a row in the copy says nothing about its file. The copy keeps the name of the
+    file and the number of the task's row; within a file that number rises. Ranks come from one sorted copy and
+    counts per partition, never from one task.
+    """
+    rows = read_csv(spark, source, schema)
+    columns = rows.columns
+    rows = rows.select(
+        "*", F.col("_metadata.file_path").alias("_csv_file"), F.col("_metadata.file_block_start").alias("_csv_block"),
+        F.monotonically_increasing_id().alias("_csv_row"),
+    )
+    rows.write.mode("overwrite").parquet(target)
+    placed = with_position(spark.read.parquet(target), ["_csv_file", "_csv_block", "_csv_row"], name=name)
+    return placed.select(*columns, name)
+
+
 def spread(corpus: DataFrame, key: str | None = None) -> DataFrame:
     """Texts spread over the cores when they lie in fewer splits than that.
 
@@ -75,7 +96,9 @@ def read_chunks(spark: SparkSession, folder: str, family: str) -> DataFrame:
         .withColumn("chunk_no", F.row_number().over(W.orderBy("_path")) - 1)
     )
     rows = read_csv(spark, folder, schema).withColumn("_path", F.col("_metadata.file_path"))
-    return rows.join(F.broadcast(files), "_path").drop("_path")
+    if fits_broadcast(files):
+        files = F.broadcast(files)
+    return rows.join(files, "_path").drop("_path")
 
 
 def write_result(df: DataFrame, path: str, append: bool = False) -> None:
