@@ -8,13 +8,13 @@ and sorted arrays decide the pairs that are left.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.batches import Batches, batch, bound, map_batches, texts
@@ -32,8 +32,6 @@ MAX_VOCABULARY = 200_000  # word hashes that are remembered
 MAX_SEEN = 500_000  # sets of a task that are remembered, to skip their copies
 PAIRS = 100_000  # pairs handed on at once
 
-_SPACE = re.compile(rb"[\x20\x09-\x0D]+")
-_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _FACTORS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(64)], np.uint64)
 
 
@@ -57,7 +55,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 def shingle_set(text: str, words: int = WORDS) -> np.ndarray:
     """Sorted hashes of the different shingles of ``words`` words; a shorter text is one shingle, no words give none."""
-    found = [w for w in _SPACE.split(text.encode().translate(_LOWER)) if w]
+    found = text.encode().lower().split()  # of bytes, these know A-Z and the six ASCII spaces only
     if not found:
         return np.zeros(0, np.uint64)
     h = np.fromiter(map(_hashes.__getitem__, found), np.uint64, len(found))
@@ -395,8 +393,8 @@ def jaccard_components(
     star = shared.unionByName(shared_postings(heads.distinct())).filter(near).filter("v <> pivot")
     pairs = star.select(F.least("v", "pivot").alias("a"), F.greatest("v", "pivot").alias("b")).distinct()
     pairs = materialize(pairs, "star-pairs")
-    edges = _linked(documents, rows, pairs, bits, words, percent)
-    labels = components(edges)
+    bounded = materialize(_bound(pairs, bits, percent), "bounded-pairs")
+    edges, labels = _connect(bounded, _sets_of(documents, rows, bounded, words), None, None, ["b"], percent)
 
     members = lookup_join(shared.select("key", "part", "v", "n"), labels, ["v"]).withColumn("c", F.coalesce("c", "v"))
     members = materialize(members, "members")
@@ -414,7 +412,7 @@ def jaccard_components(
     more = tile_pairs(alone.drop("_q"), percent).unionByName(tile_pairs(crossing.drop("_q"), percent)).distinct()
     more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "tile-pairs")
     if not more.isEmpty():
-        labels = components(edges.unionByName(_linked(documents, rows, more, None, words, percent)))
+        labels = _connect(more, _sets_of(documents, rows, more, words), edges, labels, ["_ca", "_cb"], percent)[1]
 
     texts_of = rows.filter("v IS NOT NULL").groupBy("v").agg(F.min("doc_id").alias("_first"))
     texts_of = lookup_join(texts_of, labels, ["v"]).withColumn("c", F.coalesce("c", "v"))
@@ -429,12 +427,8 @@ def jaccard_components(
         F.coalesce("_component", "doc_id").cast(kind).alias("component_id"))
 
 
-def _linked(
-    documents: DataFrame, rows: DataFrame, pairs: DataFrame, bits: DataFrame | None, words: int, percent: int
-) -> DataFrame:
-    """Pairs over the threshold: bounded by bitmaps where given, then by intersecting sets, which are made for their texts only."""
-    if bits is not None:
-        pairs = materialize(_bound(pairs, bits, percent), "bounded-pairs")
+def _sets_of(documents: DataFrame, rows: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """``v, s``: the shingles of all sets in ``pairs``, made again from one text each; no other texts are looked at."""
     wanted = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct()
     carriers = rows.join(wanted, "v", "left_semi").groupBy("v").agg(F.min("doc_id").alias("_doc"))
     carriers = materialize(carriers.select("_doc").distinct(), "carriers")
@@ -449,5 +443,30 @@ def _linked(
                 made = list(_sets(found.slice(start, 100), words))
                 yield batch(schema, [[v for v, _ in made], [s.tobytes() for _, s in made]])
 
-    sets = materialize(docs.mapInArrow(run, "v binary, s binary").dropDuplicates(["v"]), "sets")
-    return materialize(_exact(pairs, sets, percent), "links")
+    return materialize(docs.mapInArrow(run, "v binary, s binary").dropDuplicates(["v"]), "sets")
+
+
+def _connect(
+    pairs: DataFrame, sets: DataFrame, edges: DataFrame | None, labels: DataFrame | None, group: list[str], percent: int
+) -> tuple[DataFrame, DataFrame]:
+    """Links among ``pairs`` that connect anything new, added to ``edges``, and the components they give.
+
+    Round by round, four times as many pairs per ``group`` as before are compared exactly; pairs whose ends are connected by then
+    need no comparison. All pairs across components are compared in the end.
+    """
+    many = 1
+    while True:
+        if labels is not None:
+            for end in "ab":
+                pairs = lookup_join(pairs, labels.select(F.col("v").alias(end), F.col("c").alias(f"_c{end}")), [end])
+            pairs = pairs.withColumns({f"_c{end}": F.coalesce(f"_c{end}", end) for end in "ab"}).filter("_ca <> _cb")
+            pairs = pairs.select("a", "b", F.least("_ca", "_cb").alias("_ca"), F.greatest("_ca", "_cb").alias("_cb"))
+        rank = F.row_number().over(W.partitionBy(*group).orderBy("a", "b"))
+        pairs = materialize(pairs.withColumn("_now", rank <= many), "pairs-to-do")
+        now = pairs.filter("_now").select("a", "b")
+        if labels is not None and now.isEmpty():
+            return edges, labels
+        links = materialize(_exact(now, sets, percent), "links")
+        edges = links if edges is None else edges.unionByName(links)
+        labels = components(edges)
+        pairs, many = pairs.filter("NOT _now").select("a", "b"), 4 * many
