@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.batches import Batches, batch, map_batches, texts
 
 BITS = 18  # hash buckets of words: 2 ** 18
-SAMPLE = 12_000  # labelled documents that the model is trained on, at most, in order of hash
-SAMPLE_CHARS = 4_000_000  # characters of them that are read, so that very long texts do not fill the driver
+SAMPLE = 6_000  # labelled documents that the model is trained on, at most, in order of hash
+SAMPLE_CHARS = 10_000_000  # characters of them together, and a hundredth of it from one, so that long texts do not fill the driver
 EPOCHS = 200
 RATE = 0.2
 DECAY = 1e-5  # pull of weights towards zero
@@ -68,7 +68,7 @@ def training_rows(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE)
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `sample` rows
     cut = F.substring(F.coalesce("text", F.lit("")), 1, max(1, SAMPLE_CHARS // 100))
     found = rows.groupBy("doc_id", "_toxic").agg(F.min(cut).alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
-    out, left = [], SAMPLE_CHARS * 10
+    out, left = [], SAMPLE_CHARS
     for r in found:
         if left > 0:
             out.append((r["text"], r["_toxic"]))
@@ -81,43 +81,41 @@ def train(rows: list[tuple[str, int]], epochs: int = EPOCHS) -> dict[int, float]
 
     The leak is one more cause that every text shares. It takes up labels that no sentence explains, and is left out of scores.
     """
-    words: list[np.ndarray] = []
-    owner: list[int] = []
     said: set[str] = set()
     remembered = lru_cache(MAX_WORDS)(word_buckets)
-    fresh = []
+    signs = lambda sentence: {b for w in set(_WORD.findall(sentence)) for b in remembered(w)}
+    fresh, docs, toxic = [], np.zeros(1 << BITS), np.zeros(1 << BITS)
     for text, label in rows:  # copies would let chance words of one text look like evidence
         parts = sentences_of(text)
         if sum(s in said for s in parts) <= COPY * len(parts):
             fresh.append((parts, label))
+            shown = list(set().union(*map(signs, parts)))
+            docs[shown] += 1
+            toxic[shown] += label
         said.update(parts)
-    rows = fresh
-    for i, (parts, _) in enumerate(rows):
-        for s in parts:
-            words.append(np.unique([b for w in set(_WORD.findall(s)) for b in remembered(w)]))
-            owner.append(i)
-    y = np.array([label for _, label in rows], float)
-    if not words or y.min() == y.max():
+    y = np.array([label for _, label in fresh], float)
+    if not len(y) or y.min() == y.max():
         return {}
-    flat, sentence = np.concatenate(words), np.repeat(np.arange(len(words)), [len(w) for w in words])
-    doc = np.array(owner)
-    pairs = np.unique(np.stack([flat, doc[sentence]]), axis=1)
-    used, docs = np.unique(pairs[0], return_counts=True)
-    toxic = np.bincount(np.searchsorted(used, pairs[0]), y[pairs[1]], len(used))
     share = y.mean()
-    used = used[(docs >= LEAST_DOCS) & (toxic - docs * share >= LEAST_SIGNS * np.sqrt(docs * share * (1 - share)))]
-    place = np.searchsorted(used, flat)
-    kept = (place < len(used)) & (used[np.minimum(place, len(used) - 1)] == flat) if len(used) else np.zeros(len(flat), bool)
-    place, sentence = place[kept], sentence[kept]
-    if not len(place):
+    used = np.flatnonzero((docs >= LEAST_DOCS) & (toxic - docs * share >= LEAST_SIGNS * np.sqrt(docs * share * (1 - share))))
+    if not len(used):
         return {}
+    at = {b: i for i, b in enumerate(used.tolist())}
+    place, sentence, owner = [], [], []  # signs and their sentences; texts of the sentences
+    for i, (parts, _) in enumerate(fresh):
+        for s in parts:
+            known = [at[b] for b in signs(s) if b in at]
+            place += known
+            sentence += [len(owner)] * len(known)
+            owner.append(i)
+    place, sentence, doc = np.array(place), np.array(sentence), np.array(owner)
     w = np.append(np.zeros(len(used)), np.log(y.mean()))  # the last is the logarithm of the leak
     m, v = np.zeros(len(w)), np.zeros(len(w))
     for step in range(1, epochs + 1):
-        z = BIAS + np.bincount(sentence, w[place], len(words))
+        z = BIAS + np.bincount(sentence, w[place], len(owner))
         calm = np.logaddexp(0, z)  # -log(1 - p) of each sentence
         leak = np.exp(w[-1])
-        total = np.bincount(doc, calm, len(rows)) + leak  # -log of the probability that nothing makes the text toxic
+        total = np.bincount(doc, calm, len(fresh)) + leak  # -log of the probability that nothing makes the text toxic
         # Loss: y = 0 pays `total`, y = 1 pays -log(1 - exp(-total)).
         slope = np.where(y > 0, -1 / np.expm1(np.clip(total, 1e-9, 50)), 1.0) / len(y)
         p = 1 / (1 + np.exp(-z))
