@@ -235,7 +235,8 @@ def top_k(vectors: DataFrame, every: int, k: int, pivots: int = PIVOTS, sample:
     parts = spark.createDataFrame([(s, p, r, -(-c // CHUNKS_PER_TASK)) for s, p, r, c, *_ in rings], "size int, pivot int, ring int, parts int")
     dealt = index.join(F.broadcast(parts), ["size", "pivot", "ring"]).withColumn(
         "part", F.pmod(F.xxhash64("ids"), F.col("parts")).cast("int")).drop("parts")
-    met = aimed.join(dealt, ["size", "pivot", "ring", "part"]).select(
+    # Both sides grow with the input, whatever their estimates say.
+    met = aimed.hint("merge").join(dealt, ["size", "pivot", "ring", "part"]).select(
         "size", "pivot", "low", "high", "norm", "ids", "rows", "data", "q_ids", "q_rows", "q_least", "q_data")
     best = pa.schema([(n, pa.int64()) for n in ("query_id", "query_row", "vec_id", "_row", "score")])
 
