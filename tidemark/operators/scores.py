@@ -22,8 +22,9 @@ def match_predictions(predictions: DataFrame, targets: DataFrame, keys: list[str
 
 
 def exact_match(prediction: str = "prediction", target: str = "target") -> Column:
-    """1 when both normalise to the same text; two empty texts match."""
-    return (T.normalize_answer(F.col(prediction)) == T.normalize_answer(F.col(target))).cast("int")
+    """1 when both normalise to the same text; two empty texts match, a missing one matches nothing."""
+    same = T.normalize_answer(F.col(prediction)) == T.normalize_answer(F.col(target))
+    return F.coalesce(same.cast("int"), F.lit(0))
 
 
 def accuracy(prediction: str = "prediction", target: str = "target") -> Column:
@@ -90,7 +91,7 @@ def score_short_answers(pairs: DataFrame, prediction: str = "prediction", target
     return (
         pairs.withColumns({"_p": p, "_t": t})
         .withColumns({
-            "em": (F.col("_p") == F.col("_t")).cast("int"),
+            "em": F.coalesce((F.col("_p") == F.col("_t")).cast("int"), F.lit(0)),
             "f1": f1_of(multiset_overlap(F.col("_p"), F.col("_t")), F.size("_p"), F.size("_t")),
         })
         .drop("_p", "_t")

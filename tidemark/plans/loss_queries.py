@@ -93,6 +93,16 @@ def running_perplexity(t):
     return rounded(found.select("batch_id", "running_ppl"), "running_ppl")
 
 
+@query(
+    """SELECT split, batch_id, round(exp(avg(loss) OVER (PARTITION BY split ORDER BY batch_id)), 6) AS running_ppl
+       FROM (SELECT split, batch_id, avg(nll) AS loss FROM {gap_loss} GROUP BY ALL)"""
+)
+def running_perplexity_without_split(t):
+    losses = t.gap_loss.groupBy("split", "batch_id").agg(F.avg("nll").alias("loss"))
+    found = perplexity.running_perplexity(losses, ["split"], width=64)
+    return rounded(found.select("split", "batch_id", "running_ppl"), "running_ppl")
+
+
 @query(
     """SELECT split, batch_id, round(exp(avg(loss) OVER (PARTITION BY split ORDER BY batch_id)), 6) AS running_ppl
        FROM (SELECT split, batch_id, avg(nll) AS loss FROM {token_loss} GROUP BY ALL)"""

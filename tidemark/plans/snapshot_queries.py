@@ -21,6 +21,24 @@ def page_diff(t):
     return snapshots.page_diff(t.snap_prev, t.snap_curr)
 
 
+GAP_STATUS = """
+    status AS (
+        SELECT coalesce(c.page_id, p.page_id) AS page_id,
+               CASE WHEN p.page_id IS NULL THEN 'new' WHEN c.page_id IS NULL THEN 'deleted'
+                    WHEN p.text IS NOT DISTINCT FROM c.text THEN 'unchanged' ELSE 'updated' END AS status
+        FROM {gap_prev} p FULL JOIN {gap_curr} c ON c.page_id = p.page_id)"""
+
+
+@query(f"WITH {GAP_STATUS} SELECT page_id, status FROM status")
+def page_diff_without_texts(t):
+    return snapshots.page_diff(t.gap_prev, t.gap_curr)
+
+
+@query(f"WITH {GAP_STATUS} SELECT page_id, c.text FROM {{gap_curr}} c JOIN status USING (page_id) WHERE status IN ('new', 'updated')")
+def changed_pages_without_texts(t):
+    return snapshots.changed_pages(t.gap_prev, t.gap_curr)
+
+
 SENTENCES = r"""list_filter(list_transform(regexp_extract_all({}, '[^.!?\n]+[.!?]*'), lambda x: trim(x)), lambda x: x <> '')"""
 NOVEL = f"""
     WITH {PAGE_STATUS},
@@ -102,6 +120,26 @@ def capped_hot_relation(t):
     return snapshots.cap_per_key(t.fact_curr, "relation", 1200)
 
 
+@query(f"WITH {PLAUSIBLE.replace('{fact_curr}', '{odd_facts}')} SELECT * FROM plausible")
+def plausible_odd_facts(t):
+    return snapshots.plausible_facts(t.odd_facts)
+
+
+GAP_HASH = "md5(concat_ws(':', '42', subject, relation, object))"
+GAP_CAP = """SELECT subject, relation, object FROM {{gap_facts}}
+             QUALIFY row_number() OVER (PARTITION BY subject ORDER BY {}, object) <= {}"""
+
+
+@query(GAP_CAP.format(GAP_HASH, 20))
+def capped_without_subject(t):
+    return snapshots.cap_per_key(t.gap_facts, "subject", 20)
+
+
+@query(GAP_CAP.format(GAP_HASH, 1200))
+def capped_without_subject_by_buckets(t):
+    return snapshots.cap_per_key(t.gap_facts, "subject", 1200)
+
+
 MONTHS = "strftime(o_orderdate, '%Y%m')"
 
 
@@ -153,10 +191,14 @@ def once_per_text(t):
     return grouping.once_per_key(texts, F.col("text"), work).select("doc_id", "cost")
 
 
-@query("SELECT 0 AS uncovered, count(*) AS rows FROM documents")
+@query(
+    """SELECT CAST(count(*) FILTER (md5(text) NOT IN (SELECT md5(text) FROM documents WHERE lang <> 'fr')) AS INTEGER) AS uncovered,
+              count(*) AS rows FROM documents"""
+)
 def restore_coverage(t):
+    # Results for all texts but the French ones.
     texts = t.documents.select("doc_id", F.md5("text").alias("h"))
-    results = texts.groupBy("h").agg(F.min("doc_id").alias("first"))
+    results = t.documents.filter("lang <> 'fr'").groupBy(F.md5("text").alias("h")).agg(F.min("doc_id").alias("first"))
     missing = grouping.uncovered(texts, results, ["h"]).agg(F.count("*")).scalar()
     return texts.agg(F.count("*").alias("rows")).select(missing.cast("int").alias("uncovered"), "rows")
 

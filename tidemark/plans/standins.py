@@ -57,6 +57,27 @@ VIEWS = {
                CAST(floor(event_id / 32) AS BIGINT) AS batch_id, value / 10 AS nll,
                CASE WHEN event_type = 'error' THEN -100 ELSE CAST(user_id AS INTEGER) END AS label
         FROM {events}""",
+    # The same with gaps: pages without text, facts without subject, answers and losses without a side or split.
+    "gap_prev": """
+        SELECT p.page_id, CASE WHEN length(p.text) % 3 = 0 THEN NULL ELSE p.text END AS text FROM {snap_prev} p""",
+    "gap_curr": """
+        SELECT c.page_id, CASE WHEN length(c.text) % 3 = 0 OR length(c.text) % 5 = 1 THEN NULL ELSE c.text END AS text FROM {snap_curr} c""",
+    "gap_facts": """
+        SELECT CASE WHEN object < 'F' THEN NULL ELSE subject END AS subject, relation, object FROM {fact_curr}""",
+    "gap_pairs": """
+        SELECT example_id, CASE WHEN example_id % 3 = 0 THEN NULL ELSE prediction END AS prediction,
+               CASE WHEN example_id % 6 < 2 THEN NULL ELSE target END AS target
+        FROM {text_pairs}""",
+    "gap_loss": """
+        SELECT CASE WHEN split = 'changed' THEN NULL ELSE split END AS split, batch_id, nll FROM {token_loss}""",
+    # Facts that a filter must refuse: long objects, objects inside subjects and the other way round.
+    "odd_facts": """
+        SELECT subject, relation, object FROM {fact_curr}
+        UNION ALL SELECT c_name, 'is called', c_name FROM {customer} WHERE c_acctbal < 1000
+        UNION ALL SELECT c_name, 'is also', 'the ' || c_name FROM {customer} WHERE c_acctbal < 500
+        UNION ALL SELECT 'the ' || s_name, 'is known as', s_name FROM {supplier}
+        UNION ALL SELECT n_name, 'says', 'one  two three four ' || n_name || ' six' FROM {nation}
+        UNION ALL SELECT n_name, 'tells', 'one  two three four five' FROM {nation}""",
     # Word lengths as token ids.
     "id_rows": """
         SELECT doc_id, split(text, ' ') AS w FROM {documents}""",

@@ -297,6 +297,12 @@ LONG_SCORES = f"""
         FROM words w LEFT JOIN same USING (example_id))"""
 
 
+@query(LONG_SCORES.replace("{text_pairs}", "{gap_pairs}") + " SELECT example_id, em, round(CAST(f1 AS DOUBLE), 6) AS f1 FROM scored")
+def answer_scores_without_sides(t):
+    found = scores.score_answers(t.gap_pairs, ["example_id"])
+    return found.select("example_id", "em", F.round("f1", 6).alias("f1"))
+
+
 @query(LONG_SCORES + " SELECT example_id, em, round(f1, 6) AS f1 FROM scored")
 def answer_scores_long(t):
     found = scores.score_answers(t.text_pairs, ["example_id"])
