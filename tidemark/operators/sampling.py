@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.ordinals import (
     PREFIX_DIGITS, batch_of, drop_short_batch, with_hash_position,
 )
+from tidemark.session import materialize
 
 
 def order_hash(*parts: Column | str) -> Column:
@@ -22,12 +23,13 @@ def split_exact(
     """Exactly ``size`` rows (all when there are fewer), the first in hash order of ``ids``, and the rest.
 
     A histogram of hash prefixes finds the bucket where the ``size``-th row lies; that one bucket is
-    ranked to find the last hash taken. Only ids are read for this. The rows themselves are
-    filtered by that hash where they lie, without a shuffle. ``size`` may be a scalar subquery.
+    ranked to find the last hash taken. Only ids are read for this, once, into a written table. The rows themselves
+    are filtered by that hash where they lie, without a shuffle: ``df`` is read twice, whatever is made of the two parts.
+    ``size`` may be a scalar subquery.
     """
     size = F.lit(size) if isinstance(size, int) else size
     rows = df.withColumn("_hash", order_hash(F.lit(seed), *ids))
-    keyed = rows.select(*ids, "_hash", F.substring("_hash", 1, digits).alias("_bucket"))
+    keyed = materialize(rows.select(*ids, "_hash", F.substring("_hash", 1, digits).alias("_bucket")), "hashes")
     before = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)  # at most 16 ** digits rows
     starts = (
         keyed.groupBy("_bucket").agg(F.count("*").alias("_rows"))
@@ -39,7 +41,8 @@ def split_exact(
         keyed.join(F.broadcast(edge), "_bucket")
         .withColumn("_rank", F.row_number().over(W.partitionBy("_bucket").orderBy("_hash", *ids)))
     )
-    last = ranked.filter(F.col("_start") + F.col("_rank") <= size).agg(F.max(F.struct("_hash", *ids))).scalar()
+    last = ranked.filter(F.col("_start") + F.col("_rank") <= size).agg(F.max(F.struct("_hash", *ids)).alias("_last"))
+    last = materialize(last, "last-hash").scalar()
     taken = F.coalesce(F.struct("_hash", *ids) <= last, F.lit(False))  # no last row: nothing is taken
     return rows.filter(taken).drop("_hash"), rows.filter(~taken).drop("_hash")
 

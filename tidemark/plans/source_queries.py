@@ -171,4 +171,4 @@ def stream_perplexity(t):
     batches.write.parquet(losses)
     stream = t.spark.readStream.schema(batches.schema).option("maxFilesPerTrigger", 1).parquet(losses)
     live.publish(live.live_perplexity(stream, ["split"]), result, checkpoint)
-    return t.spark.read.parquet(result).withColumn("ppl", F.round("ppl", 6))
+    return live.latest(t.spark, result).withColumn("ppl", F.round("ppl", 6))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -17,10 +17,14 @@ def live_perplexity(losses: DataFrame, by: list[str]) -> DataFrame:
 
 
 def publish(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep a table with the current value of each group; stops when all input is read."""
+    """Write the current value of each group as one version per micro-batch; stops when all input is read.
+
+    A version is never changed once it is complete, so a reader of :func:`latest` is never without files. A micro-batch that
+    is run again writes its own version again.
+    """
 
     def replace(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/version={number}")
 
     query = (
         stream.writeStream.outputMode("complete").foreachBatch(replace)
@@ -28,3 +32,10 @@ def publish(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
     query.awaitTermination()
     return query
+
+
+def latest(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of a published table."""
+    versions = spark.read.parquet(path)
+    newest = versions.agg({"version": "max"}).first()[0]  # one number
+    return versions.filter(versions["version"] == newest).drop("version")
