@@ -394,7 +394,8 @@ def jaccard_components(
     pairs = star.select(F.least("v", "pivot").alias("a"), F.greatest("v", "pivot").alias("b")).distinct()
     pairs = materialize(pairs, "star-pairs")
     bounded = materialize(_bound(pairs, bits, percent), "bounded-pairs")
-    edges, labels = _connect(bounded, _sets_of(documents, rows, bounded, words), None, None, ["b"], percent)
+    sets = _sets_of(documents, rows, bounded, words)
+    edges, labels = _connect(_fine(bounded, sets, percent), sets, None, None, ["b"], percent)
 
     members = lookup_join(shared.select("key", "part", "v", "n"), labels, ["v"]).withColumn("c", F.coalesce("c", "v"))
     members = materialize(members, "members")
@@ -412,7 +413,8 @@ def jaccard_components(
     more = tile_pairs(alone.drop("_q"), percent).unionByName(tile_pairs(crossing.drop("_q"), percent)).distinct()
     more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "tile-pairs")
     if not more.isEmpty():
-        labels = _connect(more, _sets_of(documents, rows, more, words), edges, labels, ["_ca", "_cb"], percent)[1]
+        sets = _sets_of(documents, rows, more, words)
+        labels = _connect(_fine(more, sets, percent), sets, edges, labels, ["_ca", "_cb"], percent)[1]
 
     texts_of = rows.filter("v IS NOT NULL").groupBy("v").agg(F.min("doc_id").alias("_first"))
     texts_of = lookup_join(texts_of, labels, ["v"]).withColumn("c", F.coalesce("c", "v"))
@@ -435,15 +437,43 @@ def _sets_of(documents: DataFrame, rows: DataFrame, pairs: DataFrame, words: int
     docs = documents.selectExpr("CAST(doc_id AS bigint) AS doc_id", "text")
     small = F.broadcast(carriers) if fits_broadcast(carriers) else carriers
     docs = docs.join(small, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi")
-    schema = pa.schema([("v", pa.binary()), ("s", pa.binary())])
+    schema = pa.schema([("v", pa.binary()), ("f", pa.binary()), ("s", pa.binary())])
 
     def run(batches: Batches) -> Batches:
         for found in batches:
             for start in range(0, len(found), 100):
                 made = list(_sets(found.slice(start, 100), words))
-                yield batch(schema, [[v for v, _ in made], [s.tobytes() for _, s in made]])
+                yield batch(schema, [[v for v, _ in made], [fingerprints(s) for _, s in made], [s.tobytes() for _, s in made]])
 
-    return materialize(docs.mapInArrow(run, "v binary, s binary").dropDuplicates(["v"]), "sets")
+    return materialize(docs.mapInArrow(run, "v binary, f binary, s binary").dropDuplicates(["v"]), "sets")
+
+
+def fingerprints(s: np.ndarray) -> bytes:
+    """Two bytes of each element: elements that two sets share have equal ones, others seldom."""
+    return (s >> np.uint64(20)).astype(np.uint16).tobytes()
+
+
+def _fine(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose fingerprints leave room for the threshold; a quarter of the bytes of the sets moves for that."""
+    left, right = (sets.select(F.col("v").alias(x), F.col("f").alias(f"{x}_f")) for x in "ab")
+
+    def run(batches: Batches) -> Batches:
+        marks = np.zeros(1 << 16, bool)
+        for rows in batches:
+            keep = []
+            for x, y in zip(rows.column(2), rows.column(3)):
+                x, y = (np.frombuffer(z.as_buffer(), np.uint16) for z in (x, y))
+                most = min(len(x), len(y))
+                for one, other in ((x, y), (y, x)):
+                    marks[one] = True
+                    most = min(most, int(np.count_nonzero(marks[other])))
+                    marks[one] = False
+                keep.append((100 + percent) * most >= percent * (len(x) + len(y)))
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([rows.column(0).filter(keep), rows.column(1).filter(keep)], names=["a", "b"])
+
+    met = pairs.join(left, "a").join(right, "b").select("a", "b", "a_f", "b_f")
+    return materialize(met.mapInArrow(run, "a binary, b binary"), "fine-pairs")
 
 
 def _connect(
