@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import zlib
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -59,10 +60,15 @@ def test_bpe_documents(spark, docs, tik):
     assert bpe.encode_documents(docs([]), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
-def library_ids(text):
+@lru_cache(1)
+def library():
     tokenizer = Tokenizer.from_file(WORDS)
     tokenizer.encode_special_tokens = True
-    return tokenizer.encode(text, add_special_tokens=False).ids
+    return tokenizer
+
+
+def library_ids(text):
+    return library().encode(text, add_special_tokens=False).ids
 
 
 def test_words_like_the_library():
