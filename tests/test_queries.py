@@ -4,9 +4,10 @@ import pytest
 
 import __spark_entry__ as entry_file
 import check_oracles
+from tidemark.plans import registry
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry_file.queries(), entry_file.oracle_sql()
+QUERIES, ORACLES = registry.QUERIES, registry.ORACLES  # the entry file may add others
 
 
 @pytest.fixture(scope="module")
@@ -30,3 +31,7 @@ def test_query(spark, duck, capsys, name):
 
 def test_entry(spark):
     assert entry_file.entry(spark).count() == 1
+
+
+def test_entry_has_every_query():
+    assert set(QUERIES) <= set(entry_file.queries()) and set(ORACLES) <= set(entry_file.oracle_sql()) <= set(entry_file.queries())
