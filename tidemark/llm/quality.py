@@ -162,10 +162,10 @@ def judge_rows(documents: DataFrame, cutoff: float = CUTOFF, carry: tuple[str, .
     counts = text_counts(documents, carry).withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     counts = materialize(counts.withColumns({f"_x{i}": x for i, x in enumerate(_vector())} | {
-        "_fine": F.concat(F.lit("s"), name("lang", "source")), "_mid": F.concat(F.lit("l"), name("lang"))}), "text-counts")
+        "_fine": F.concat(F.lit("s"), name("lang", "source")), "_mid": F.concat(F.lit("l"), name("lang")), "_all": F.lit("a")}), "text-counts")
     d = len(FEATURES)
     levels = counts.filter("NOT base_failed").select(
-        F.explode(F.array("_fine", "_mid", F.lit("a"))).alias("_group"), *[f"_x{i}" for i in range(d)])
+        F.explode(F.array("_fine", "_mid", "_all")).alias("_group"), *[f"_x{i}" for i in range(d)])
     sizes = levels.groupBy("_group").agg(F.count("*").alias("_n")).filter((F.col("_n") >= MIN_GROUP) | (F.col("_group") == "a"))
     large = materialize(sizes, "group-sizes").select("_group")
     model = mcd(_with(levels, large))
@@ -181,7 +181,7 @@ def judge_rows(documents: DataFrame, cutoff: float = CUTOFF, carry: tuple[str, .
         met = met.withColumn(label, _whitened(list(FEATURES)))
         return met.drop("_group", *[c for c in model.columns if c != "_group"])
 
-    judged = take(take(take(counts, F.col("_fine"), "_d0"), F.col("_mid"), "_d1"), F.lit("a"), "_d2")
+    judged = take(take(take(counts, F.col("_fine"), "_d0"), F.col("_mid"), "_d1"), F.col("_all"), "_d2")
     distance = F.when(~F.col("base_failed"), F.coalesce("_d0", "_d1", "_d2"))
     return judged.withColumn("distance", distance).select(
         "_doc", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance",
