@@ -399,8 +399,11 @@ def jaccard_components(
 
     members = lookup_join(shared.select("key", "part", "v", "n"), labels, ["v"]).withColumn("c", F.coalesce("c", "v"))
     members = materialize(members, "members")
-    split = members.groupBy("key").agg(F.count("*").alias("_n"), F.min("c").alias("_low"), F.max("c").alias("_high"))
-    split = split.filter("_n > 2 AND _low < _high").select("key")  # a pair alone has met as pivot and member
+    who = [F.bit_xor(F.xxhash64("v", F.lit(i))).alias(f"_who{i}") for i in (1, 2)]
+    split = members.groupBy("key").agg(F.count("*").alias("_n"), F.min("c").alias("_low"), F.max("c").alias("_high"), *who)
+    split = split.filter("_n > 2 AND _low < _high")  # a pair alone has met as pivot and member
+    # A passage gives many keys with the same members (told by 128 bits of hash): one of them finds all their pairs.
+    split = split.groupBy("_n", "_who1", "_who2").agg(F.min("key").alias("key")).select("key")
     members = members.join(split, "key", "left_semi").join(bits.select("v", "bits"), "v")
     rare = members.filter("part < 0").withColumn("side", F.lit(None).cast("int"))
     parts = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))
