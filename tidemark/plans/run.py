@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.functions.predicates import GENERATION_MODES, PERPLEXITY_MODES
-from tidemark.operators import ngrams, perplexity, prompts, scores, wordclass
+from tidemark.operators import ngrams, perplexity, prompts, wordclass
 from tidemark.operators.sampling import replay_mix
 from tidemark.operators.snapshots import month_pairs
 from tidemark.plans import evaluate
