@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -116,3 +117,42 @@ def test_licenses(spark, docs):
     spans = licenses.scan_licenses(docs(rows), licenses.sentence_table(spark)).filter("doc_id IN (1, 2)").select("doc_id", F.explode("matches"))
     assert sorted((r["doc_id"], *r["col"]) for r in spans.collect()) == [(1, 0, 0, "MIT"), (1, 1, 1, "CC-BY-NC-4.0"), (2, 0, 1, "MIT")]
     assert licenses.scan_licenses(docs([]), licenses.sentence_table(spark)).count() == 0
+
+
+def found_licenses(spark, docs, texts):
+    found = licenses.scan_licenses(docs(list(enumerate(texts))), licenses.sentence_table(spark)).collect()
+    return [",".join(r["licenses"]) for r in sorted(found, key=lambda r: r["doc_id"])]
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge,
+publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so,
+subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."""
+BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+GPL3 = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published
+by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+http://www.apache.org/licenses/LICENSE-2.0"""
+
+
+def wrapped(text, width, mark="", newline="\n"):
+    blank = newline + mark.rstrip() + newline
+    return blank.join(newline.join(mark + x for x in textwrap.wrap(" ".join(p.split()), width)) for p in text.split("\n\n"))
+
+
+def test_wrapped_licenses(spark, docs):
+    given = [(MIT, "MIT"), (BSD, "BSD"), (GPL3, "GPL-3.0-or-later"), (MPL, "MPL-2.0"), (APACHE, "Apache-2.0")]
+    for width, mark, newline in [(10_000, "", "\n"), (80, "", "\n"), (70, " * ", "\n"), (72, "# ", "\r\n"), (33, "// ", "\n"), (60, "dnl ", "\n")]:
+        texts = [f"Copyright (c) 2020 Some One{newline}{wrapped(t, width, mark, newline)}{newline}{mark}More words" for t, _ in given]
+        assert found_licenses(spark, docs, texts) == [name for _, name in given]
+    apart = ["Released under\n\nthe MIT License.", "Released under. The MIT License.", "Copyright 2020 X\nAll rights reserved\nOther words", "All\nrights reserved"]
+    assert found_licenses(spark, docs, apart) == ["", "", "proprietary", "proprietary"]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.skew import fits_broadcast
 
 SALTS = 32
+MAX_BEGINNINGS = 1_000  # of known sentences; with more, every part of a text is looked up
 
 # Licence sentences in normalised form (lower case, letters, digits and single blanks) with their identifiers.
 SENTENCES = [
@@ -56,16 +57,69 @@ RULES = [
 ]
 
 
-def sentences_of(text: Column) -> Column:
-    """Normalised sentences that are not empty, in order.
+# A sentence ends at a blank line (comment marks do not fill a line) and at closing punctuation before white space, not after a short form.
+_ENDS = r"[.!?](?<!\b(?:v|ver|no|inc|ltd|co|corp)\.)[ \t\n\r]+|[\n\r][^a-z0-9]*[\n\r]"
+_WORDS = r"[\n\r][ \t]*(?:rem|dnl)\b"  # comment marks that are words
+_PARTS = r"[;:)][ \t]+"
+_MARK = "^(?:[0-9]{1,2}|[a-z]|[ivx]+)$"  # number of a list item
 
-    A sentence ends at a line break, or at ``.``, ``!`` or ``?`` before white space. Normalising
-    lower-cases A-Z and turns every run of characters outside a-z and 0-9 into one blank.
+
+def _any_of(beginnings: list[str]) -> str:
+    """Pattern of lower-case texts that hold one of the beginnings, whatever stands between their words."""
+    first: dict[str, list[str]] = {}
+    for key in beginnings:
+        word, _, more = key.partition(" ")
+        first.setdefault(word, []).append(f"[^a-z0-9]+{more}" if more else "")
+    letters = "".join(sorted({word[0] for word in first}))
+    return f"(?<![a-z0-9])(?=[{letters}])(?:" + "|".join(f"{w}(?:{'|'.join(sorted(m))})" for w, m in sorted(first.items())) + ")(?![a-z0-9])"
+
+
+def parts_of(text: Column, beginnings: list[str] | None = None) -> Column:
+    """Parts of the sentences of a text, in order: ``u`` number of the sentence, ``n`` number of the line or sentence, ``s`` normalised text.
+
+    A sentence goes on over single line breaks; a part of it ends there and at ``;``, ``:`` and ``)`` before a blank. Normalising
+    lower-cases A-Z and turns every run of characters outside a-z and 0-9 into one blank. No part is empty.
+    With ``beginnings``, a text that holds none of them gives null, and a line of a sentence that holds none is one part ``-``.
     """
     lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    pieces = F.split(lower, r"[\n\r]+|(?<=[.!?])[ \t]+")
-    plain = F.transform(pieces, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
-    return F.filter(plain, lambda s: s != "")
+    lower = F.replace(F.concat(F.lit("\n"), lower), F.lit("\r\n"), F.lit("\n"))
+    lower = F.regexp_replace(lower, _WORDS, "\n")
+    has = lambda x: F.lit(True)
+    if beginnings is not None:
+        if not beginnings:
+            return F.lit(None).cast("array<struct<u:int,n:int,s:string>>")
+        has = lambda x: x.rlike(_any_of(beginnings))
+        lower = F.when(has(lower), lower)
+    sentences = F.transform(F.split(lower, _ENDS), lambda x, u: F.struct(u.alias("u"), x.alias("x"), has(x).alias("has")))
+    lines = F.flatten(F.transform(sentences, lambda x: F.transform(
+        F.split(x["x"], r"[\n\r]+|[.!?][ \t]+"), lambda line: F.struct(x["u"].alias("u"), x["has"].alias("has"), line.alias("line")))))
+    lines = F.filter(lines, lambda x: x["line"].rlike("[a-z0-9]"))
+    plain = lambda part: F.trim(F.regexp_replace(part, "[^a-z0-9]+", " "))
+    pieces = lambda x: F.when(x["has"] | (F.length(x["line"]) < 10), F.transform(F.split(x["line"], _PARTS), plain))
+    parts = F.flatten(F.transform(lines, lambda x, n: F.transform(F.coalesce(pieces(x), F.array(F.lit("-"))), lambda part: F.struct(
+        x["u"].alias("u"), n.alias("n"), part.alias("s")))))
+    return F.filter(parts, lambda x: x["s"] != "")
+
+
+def _starts(parts: Column, beginnings: list[str] | None, reach: int) -> Column:
+    """Parts where a known sentence may begin: place, beginnings, the sentence from there on, its line numbers, and whether a list number is before.
+
+    ``reach`` is the number of words of the longest known sentence, and no part has fewer words than one.
+    """
+
+    def start(x: Column, i: Column) -> Column:
+        after = F.get(parts, i + 1)["s"]
+        two = F.substring_index(F.when(x["s"].contains(" "), x["s"]).otherwise(F.concat_ws(" ", x["s"], after)), " ", 2)
+        keys = F.array_distinct(F.array(F.substring_index(x["s"], " ", 1), two))
+        if beginnings is not None:
+            keys = F.filter(keys, lambda k: k.isin(beginnings))
+        rest = F.filter(F.slice(parts, i + 1, reach), lambda y: y["u"] == x["u"])
+        return F.when(F.size(keys) > 0, F.struct(
+            i.alias("at"), keys.alias("keys"), F.array_join(F.transform(rest, lambda y: y["s"]), "\n").alias("rest"),
+            F.transform(rest, lambda y: y["n"]).alias("lines"),
+            F.coalesce(F.when(i > 0, F.get(parts, i - 1)["s"].rlike(_MARK)), F.lit(False)).alias("marked")))
+
+    return F.filter(F.transform(parts, start), lambda x: x.isNotNull())
 
 
 def sentence_table(spark: SparkSession, sentences=SENTENCES) -> DataFrame:
@@ -75,55 +129,80 @@ def sentence_table(spark: SparkSession, sentences=SENTENCES) -> DataFrame:
 def scan_licenses(documents: DataFrame, sentences: DataFrame, rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:
     """Licences that the texts of ``documents`` (``doc_id, text``) state.
 
-    ``sentences`` holds ``sentence_id, sentence`` (normalised). A rule matches where its identifiers stand
-    on sentences that follow each other directly. Of matches that share a sentence, the earlier rule wins, then the
+    ``sentences`` holds ``sentence_id, sentence`` (normalised). A known sentence is met where it fills whole parts of one
+    sentence (:func:`parts_of`), however its lines are wrapped; of known sentences that overlap, the earlier and then the longer one is met. A rule matches where its identifiers stand
+    on sentences that follow each other directly, numbers of list items aside. Of matches that share a sentence, the earlier rule wins, then the
     earlier place. Returns one row per input row: ``doc_id, licenses`` (distinct names, sorted), ``n_matches`` and
-    ``matches`` (``first, last`` sentence number from 0, ``license``, in text order).
+    ``matches`` (``first, last`` number of the line or sentence from 0, ``license``, in text order).
 
     Null and empty texts match nothing. Rows are never merged: equal ids or texts give one row each. Other
     columns are not read. Empty tables give no rows.
 
-    Only recognised sentences are shuffled, by row; a single text is the largest group.
+    Only places where a known sentence may begin are shuffled, by row; a single text is the largest group.
     """
     spark = documents.sparkSession
+    known = sentences.select("sentence", "sentence_id").dropna().filter(F.col("sentence").rlike("^[a-z0-9]+(?: [a-z0-9]+)*$"))
+    known = known.groupBy("sentence").agg(F.min("sentence_id").alias("_id"))
+    known = known.withColumn("_key", F.substring_index("sentence", " ", 2))
+    reach = known.agg(F.max(F.size(F.split("sentence", " ")))).first()[0] or 1
+    beginnings = [r["_key"] for r in known.select("_key").distinct().limit(MAX_BEGINNINGS + 1).collect()]
     rows = documents.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id())
-    said = rows.select("_row", "doc_id", F.posexplode_outer(sentences_of(F.col("text"))).alias("_at", "sentence"))
-    known = sentences.select("sentence", "sentence_id").dropna().groupBy("sentence").agg(F.min("sentence_id").alias("_id"))
+    beginnings = beginnings if len(beginnings) <= MAX_BEGINNINGS else None
+    rows = rows.select("_row", "doc_id", parts_of(F.col("text"), beginnings).alias("_parts"))
+    starts = _starts(F.col("_parts"), beginnings, reach)
+    said = rows.select("_row", "doc_id", F.explode_outer(starts).alias("_s")).select("_row", "doc_id", "_s", F.explode_outer("_s.keys").alias("_key"))
     steps = [
         (ids[k], order, k, len(ids), name) for order, (name, ids) in enumerate(rules) for k in range(len(ids))
     ]
     steps = spark.createDataFrame(steps, "_id string, _rule int, _step int, _size int, _license string")
     known = known.join(F.broadcast(steps), "_id")  # the rules of a sentence
-    known = known.groupBy("sentence").agg(F.collect_list(F.struct("_rule", "_step", "_size", "_license")).alias("_steps"))
-    on = ["sentence"]
+    known = known.groupBy("_key", "sentence").agg(F.collect_list(F.struct("_rule", "_step", "_size", "_license")).alias("_steps"))
+    known = known.withColumn("_pattern", F.concat(F.lit("^("), F.replace("sentence", F.lit(" "), F.lit("[ \\n]")), F.lit(")(?:\\n|\\z)")))
+    known = known.drop("sentence")
+    on = ["_key"]
     if fits_broadcast(known):
         known = F.broadcast(known)
-    else:  # a sentence that every third text holds is dealt over copies of its row
-        said = said.withColumn("_salt", F.pmod(F.xxhash64("_row", "_at"), F.lit(SALTS)).cast("int"))
+    else:  # a beginning that every third text holds is dealt over copies of its rows
+        said = said.withColumn("_salt", F.pmod(F.xxhash64("_row", "_s.at"), F.lit(SALTS)).cast("int"))
         known = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        on = ["sentence", "_salt"]
-    met = said.join(known, on, "left")
-    per_text = met.groupBy("_row", "doc_id").agg(
-        F.collect_list(F.when(F.col("_steps").isNotNull(), F.struct("_at", "_steps"))).alias("_met")
-    )
+        on = ["_key", "_salt"]
+    met = said.join(known, on, "left").withColumn("_found", F.expr("regexp_extract(_s.rest, _pattern, 1)"))
+    more = F.length("_found") - F.length(F.replace("_found", F.lit("\n"), F.lit("")))  # parts after the first
+    per_text = met.groupBy("_row", "doc_id").agg(F.collect_list(F.when(F.col("_found") != "", F.struct(
+        F.col("_s.at").alias("at"), (-more).alias("less"), F.col("_s.marked").alias("marked"), F.get("_s.lines", F.lit(0)).alias("n"),
+        F.get("_s.lines", more).alias("m"), F.col("_steps").alias("steps")))).alias("_met"))
+    # Sentences that follow each other directly get numbers that do, all others leave one out.
+    got = "array<struct<at:int,n:int,m:int,steps:array<struct<_rule:int,_step:int,_size:int,_license:string>>>>"
+    begin = F.struct(F.lit(-2).alias("end"), F.lit(-2).alias("at"), F.array().cast(got).alias("got"))
+
+    def follow(a: Column, m: Column) -> Column:
+        next_to = (m["at"] == a["end"] + 1) | (m["marked"] & (m["at"] == a["end"] + 2))
+        at = a["at"] + F.when(next_to, 1).otherwise(2)
+        one = F.struct(at.alias("at"), m["n"].alias("n"), m["m"].alias("m"), m["steps"].alias("steps"))
+        return F.when(m["at"] <= a["end"], a).otherwise(F.struct(
+            (m["at"] - m["less"]).alias("end"), at.alias("at"), F.concat(a["got"], F.array(one)).alias("got")))
+
+    per_text = per_text.withColumn("_met", F.aggregate(F.array_sort("_met"), begin, follow)["got"])
     # Each step votes for the place where its rule would begin; a rule with all its votes matches there.
-    votes = F.flatten(F.transform("_met", lambda m: F.transform(m["_steps"], lambda s: F.struct(
-        s["_rule"].alias("rule"), (m["_at"] - s["_step"]).alias("first"), s["_size"].alias("size"),
-        s["_license"].alias("license"), s["_step"].alias("step"),
+    votes = F.flatten(F.transform("_met", lambda m: F.transform(m["steps"], lambda s: F.struct(
+        s["_rule"].alias("rule"), (m["at"] - s["_step"]).alias("first"), s["_size"].alias("size"),
+        s["_license"].alias("license"), s["_step"].alias("step"), m["n"].alias("n"), m["m"].alias("m"),
     ))))
     per_text = per_text.withColumn("_votes", F.sort_array(F.array_distinct(votes)))
     # Votes of one rule for one place lie together, in step order: the first of a full set is `size - 1` before the last.
-    full = F.filter("_votes", lambda v, i: (v["step"] == 0) & (
-        (v["size"] == 1) | F.coalesce(
-            (F.get(F.col("_votes"), i + v["size"] - 1)["rule"] == v["rule"])
-            & (F.get(F.col("_votes"), i + v["size"] - 1)["first"] == v["first"]), F.lit(False))))
-    per_text = per_text.withColumn("_full", full)
-    span = "array<struct<rule:int,first:int,size:int,license:string,step:int>>"
+    def whole(v: Column, i: Column) -> Column:
+        end = F.get(F.col("_votes"), i + v["size"] - 1)
+        return F.when((v["step"] == 0) & (end["rule"] == v["rule"]) & (end["first"] == v["first"]), F.struct(
+            v["rule"].alias("rule"), v["first"].alias("first"), v["size"].alias("size"), v["license"].alias("license"),
+            v["n"].alias("n"), end["m"].alias("m")))
+
+    per_text = per_text.withColumn("_full", F.filter(F.transform("_votes", whole), lambda v: v.isNotNull()))
+    span = "array<struct<rule:int,first:int,size:int,license:string,n:int,m:int>>"
     chosen = F.aggregate("_full", F.array().cast(span), lambda taken, v: F.when(
         F.exists(taken, lambda t: (t["first"] < v["first"] + v["size"]) & (v["first"] < t["first"] + t["size"])), taken
     ).otherwise(F.concat(taken, F.array(v))))
     matches = F.sort_array(F.transform(chosen, lambda v: F.struct(
-        v["first"].alias("first"), (v["first"] + v["size"] - 1).alias("last"), v["license"].alias("license"))))
+        v["n"].alias("first"), v["m"].alias("last"), v["license"].alias("license"))))
     return per_text.withColumn("matches", matches).select(
         "doc_id", F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["license"]))).alias("licenses"),
         F.size("matches").cast("long").alias("n_matches"), "matches",
