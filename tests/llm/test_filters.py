@@ -156,3 +156,33 @@ def test_wrapped_licenses(spark, docs):
         assert found_licenses(spark, docs, texts) == [name for _, name in given]
     apart = ["Released under\n\nthe MIT License.", "Released under. The MIT License.", "Copyright 2020 X\nAll rights reserved\nOther words", "All\nrights reserved"]
     assert found_licenses(spark, docs, apart) == ["", "", "proprietary", "proprietary"]
+
+
+def test_license_texts_and_notices(spark, docs):
+    clauses = """1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+documentation and/or other materials provided with the distribution."""
+    name = "Neither the name of {} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    advert = "3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the University."
+    free = "This {} is free software; you can redistribute it and/or modify it under the terms of the GNU {} Public License as published by the Free Software Foundation; {}"
+    later = "either version {} of the License, or (at your option) any later version."
+    given = [
+        (f"All rights reserved.\n\n{BSD}\n\n{clauses}\n\n3. {name.format('the copyright holder')}", "BSD-3-Clause"),
+        (f"{BSD}\n\n{clauses}\n\n  * {name.format('Some Company Inc.')}", "BSD-3-Clause"), (f"{BSD}\n\n{clauses}", "BSD-2-Clause"),
+        (f"{BSD}\n\n{clauses}\n\n{advert}\n\n4. {name.format('the University')}", "BSD-4-Clause"), (f"{BSD}\n\nOther words.", "BSD"),
+        (free.format("program", "General", later.format("2")), "GPL-2.0-or-later"), (free.format("library", "Lesser General", later.format("2.1")), "LGPL-2.1-or-later"),
+        (free.format("library", "Library General", later.format("2")), "LGPL-2.0-or-later"), (free.format("program", "Affero General", later.format("3")), "AGPL-3.0-or-later"),
+        (free.format("program", "General", "version 2 of the License."), "GPL-2.0"), ("Tool: " + GPL3.replace("This program is", "Tool is"), "GPL-3.0-or-later"),
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
+         "above copyright notice and this permission notice appear in all copies.", "ISC"),
+        ("This is free and unencumbered software released into the public domain.", "Unlicense"),
+        ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at "
+         "https://www.eclipse.org/legal/epl-2.0/", "EPL-2.0"),
+        ("This work is licensed under CC BY 4.0.", "CC-BY-4.0"), ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"),
+        ("This project is licensed under the MIT License - see the LICENSE file for details.", "MIT"),
+        ("// SPDX-License-Identifier: Apache-2.0", "Apache-2.0"), ("/* SPDX-License-Identifier: GPL-2.0+ */", "GPL-2.0-or-later"),
+        ("SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note", "GPL-2.0"), ("SPDX-License-Identifier: LGPL-2.1-or-later", "LGPL-2.1-or-later"),
+    ]
+    for width, mark in ((75, ""), (66, "# ")):
+        assert found_licenses(spark, docs, [wrapped(t, width, mark) for t, _ in given]) == [name for _, name in given]
