@@ -259,3 +259,13 @@ def test_pipeline(spark, docs, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         empty_out = stage(spark, empty, str(tmp_path))
         assert empty_out.count() == 0
+
+
+def test_pages_keep_what_is_no_script():
+    shown = [
+        ("<p>a</p><svg class='i'/><p>b</p>", "a\nb"), ("<p>a<svg class=i/> b</p>", "a b"), ("<p>a <svg><text>x</text></svg>b</p>", "a b"),
+        ("<p>a <math><mi>x</mi><mo>=</mo><mn>1</mn></math> b</p>", "a x=1 b"), ("<p>a</p><noscript>n</noscript><p>b</p>", "a\nn\nb"),
+        ("<p>a</p><object><p>o</p></object>", "a\no"), ("<p>a</p><xmp>x</xmp>", "a\nx"),
+        ("<title-block>t</title-block><p>a</p>", "t\na"), ("<video-player>v</video-player><p>a</p>", "v\na"), ("<p>a<script >b</script ></p>", "a"),
+    ]
+    assert [html.main_text(f"<article>{page}</article>") for page, _ in shown] == [text for _, text in shown]

@@ -24,9 +24,10 @@ from tidemark.llm.batches import Batches, batch, map_batches, texts
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q ruby rp rt s samp small span strike "
-    "strong sub sup time tt u var wbr img".split()
+    "strong sub sup time tt u var wbr img "
+    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle msub msup msubsup munder mover munderover mfenced semantics annotation".split()
 )
-RAW = "script|style|textarea|noscript|noframes|template|iframe|svg|math|title|xmp|object|canvas|audio|video|select"
+RAW = "script|style|textarea|noframes|template|iframe|svg|title|canvas|audio|video|select"
 CLOSES = {  # an opening tag ends these, if they are open below the nearest of the second set
     "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu"])),
     "dt": (frozenset(["dt", "dd"]), frozenset(["dl"])),
@@ -37,7 +38,8 @@ CLOSES = {  # an opening tag ends these, if they are open below the nearest of t
     "body": (frozenset(["head"]), frozenset()),
 }
 
-_DROP = re.compile(rf"(?is)<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\b[^>]*>|\Z)")
+_ATTRIBUTES = r"(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
+_DROP = re.compile(rf"(?is)<!--.*?(?:-->|\Z)|<svg{_ATTRIBUTES}(?<=/)>|<({RAW}){_ATTRIBUTES}>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)")
 _TOKEN = re.compile(
     r"(?s)<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*+>|([^<]+|<)"
 )
