@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, html, licenses, ngram_join, packing, quality, topk, toxicity, urls, warc
+from tidemark.llm import (
+    alignment, bpe, decontamination, html, licenses, ngram_join, packing, quality, topk, toxicity, urls, vector_codes, warc,
+)
 from tidemark.session import new_path
 
 URL_RULES = [
@@ -80,6 +84,32 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups and links between the tokens of two tokenizers in every document."""
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    # Of the lists of groups only the digest is kept for the second pass.
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    found = alignment.align_corpus(_table(spark, folder, "documents"), *paths, groups=digest)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
+def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector as eight codebook indexes, with its error and that of its label."""
+    found, codebooks = vector_codes.compress_vectors(_table(spark, folder, "embeddings"))
+    said = ",".join(map(str, codebooks.reshape(-1).tolist()))
+    return found.select(
+        "vec_id", F.lower(F.hex("codes")).alias("code"), "error", "label_error",
+        F.lit(hashlib.sha256(said.encode()).hexdigest()).alias("codebooks_sha256"))
+
+
+def op13_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document that lie in windows of benchmark items, and these items."""
+    found = decontamination.find_leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_html_extraction": op2_html_extraction,
@@ -91,12 +121,67 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_warc": op10_warc,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_decontamination": op13_decontamination,
 }
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+def _codes_sql() -> str:
+    """The rounds of k-means one after the other; every round is a table of its own."""
+    rounds = []
+    for r in range(1, vector_codes.ROUNDS + 2):
+        apart = "list_sum(list_transform(list_zip(x.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+        rounds.append(f"""
+        a{r} AS MATERIALIZED (
+            SELECT x.n, x.p, CAST(min({apart} * 16 + c.k) AS BIGINT) AS best FROM parts x JOIN c{r - 1} c ON c.p = x.p GROUP BY x.n, x.p)""")
+        if r <= vector_codes.ROUNDS:
+            rounds.append(f"""
+        m{r} AS (
+            SELECT p, k, list(mean ORDER BY i) AS x FROM (
+                SELECT a.p, a.best % 16 AS k, t.i, CAST(floor(sum(x.x[t.i]) / count(*)) AS BIGINT) AS mean
+                FROM a{r} a JOIN parts x ON x.n = a.n AND x.p = a.p, generate_series(1, len(x.x)) t(i) GROUP BY ALL) GROUP BY p, k),
+        c{r} AS MATERIALIZED (
+            SELECT c.p, c.k, coalesce(m.x, c.x) AS x FROM c{r - 1} c LEFT JOIN m{r} m ON m.p = c.p AND m.k = c.k)""")
+    last = vector_codes.ROUNDS + 1
+    return f"""
+        WITH v AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY vec_id) AS n, vec_id, label,
+                   list_transform(embedding, lambda x: CAST(floor({vector_codes.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+            FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        parts AS MATERIALIZED (SELECT n, t.p, e[t.p * len(e) // 8 + 1:(t.p + 1) * len(e) // 8] AS x FROM v, generate_series(0, 7) t(p)),
+        c0 AS MATERIALIZED (SELECT p, n - 1 AS k, x FROM parts WHERE n <= 16),{",".join(rounds)},
+        coded AS (
+            SELECT n, string_agg(printf('%02x', best % 16), '' ORDER BY p) AS code, CAST(sum(best // 16) AS BIGINT) AS error FROM a{last} GROUP BY n),
+        books AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, k)) AS digest FROM c{last - 1}),
+        labels_of AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM coded JOIN v USING (n) GROUP BY label)
+        SELECT v.vec_id, coded.code, coded.error, l.label_error, books.digest AS codebooks_sha256
+        FROM v JOIN coded USING (n) JOIN labels_of l ON l.label IS NOT DISTINCT FROM v.label CROSS JOIN books"""
+
+
 _HOST = "coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
 _PATH = "coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
 
 ORACLES = {
+    "op12_vector_codes": _codes_sql(),
+    "op13_decontamination": f"""
+        WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+        windows AS (
+            SELECT DISTINCT item, n, array_to_string(w[t.i:t.i + n - 1], ' ') AS said
+            FROM (SELECT *, least({decontamination.WORDS}, len(w)) AS n FROM items WHERE len(w) > 0), generate_series(1, len(w) - n + 1) t(i)),
+        texts AS (SELECT row_number() OVER () AS d, doc_id, {_WORDS} AS w FROM documents),
+        said AS (
+            SELECT d, t.i, n, array_to_string(w[t.i:t.i + n - 1], ' ') AS said
+            FROM texts, (SELECT DISTINCT n FROM windows), generate_series(1, len(w) - n + 1) t(i)),
+        hits AS (SELECT d, i, n, item FROM said JOIN windows USING (n, said)),
+        words AS (SELECT d, count(DISTINCT t.k) AS n_hit FROM (SELECT DISTINCT d, i, n FROM hits), generate_series(i, i + n - 1) t(k) GROUP BY d),
+        named AS (SELECT d, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT d, item FROM hits) GROUP BY d)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AS contaminated
+        FROM texts LEFT JOIN words USING (d) LEFT JOIN named USING (d)""",
     "op1_url_filters": f"""
         WITH rules(rhost, rpath, v) AS (VALUES {", ".join(f"('{h}', '{p}', '{v}')" for v, h, p in URL_RULES)}),
         parts AS (SELECT row_number() OVER () AS n, page_id, {_HOST} AS host, {_PATH} AS path FROM pages),
