@@ -55,6 +55,7 @@ NEUTRAL = frozenset(
 SMOOTHING = 0.5  # added to the counts of parent and child
 FAINT = 0.02  # added to the counts of signs: one that only the other class shows says much
 ROOT = (0.3, 0.7)  # before anything is seen; a page without marks is content
+BARE = 0.28  # share of the labelled articles, and of what is outside, whose elements say nothing
 LIKELY = 0.5  # least marginal of a text that is kept
 
 
@@ -257,8 +258,14 @@ def training_pages(count: int = 800) -> list[str]:
             lambda: f"<h1>{say(1, 4)}</h1>{link()}", lambda: f"<label>{say(1, 2)}</label><button>{say(1, 2)}</button>", lambda: f"<div>{link()} {link()}</div><div><p>{say(2, 20)}</p></div>",
         ][draw.randrange(8)]()
 
+    unknown = lambda: "".join(draw.choice("bcdfgklmnprstvz") + draw.choice("aeiou") for _ in range(draw.randint(2, 4)))
+    loose = lambda blocks: "".join(f"<p y=1>{say(8, 60)}</p>" if draw.random() < 0.6 else f"<div y=1>{b}</div>" for b in blocks)
+
     def outside(kind: int | None = None) -> str:
         kind = draw.randrange(5) if kind is None else kind
+        if draw.random() < BARE:  # lists of links, whatever they lie in
+            links = "".join(f"<li>{link()}</li>" for _ in range(draw.randint(2, 7)))
+            return draw.choice([f"<ul y=0>{links}</ul>", f"<div y=0><ul>{links}</ul></div>", f"<div y=0 class={unknown()}><ul>{links}</ul></div>"])
         if kind == 0:
             tag = draw.choice(OUTSIDE_TAGS)
             return f"<{tag} y=0>{filler()}{filler()}</{tag}>"
@@ -276,6 +283,9 @@ def training_pages(count: int = 800) -> list[str]:
             blocks.insert(draw.randint(1, len(blocks)), outside())
         body = draw.choice(["", f"<h1>{say(2, 9)}</h1>", f"<h1>{say(2, 9)}</h1>"]) + "".join(blocks)
         tag = draw.choice(["article", "article", "main", "div", "section"])
+        if draw.random() < BARE:  # nothing tells what the article lies in, or a word that means nothing
+            tag = draw.choice(["div", "div", "section", "td"])
+            return draw.choice([f"<{tag} y=1>{body}</{tag}>", f"<{tag} y=1 class={unknown()}>{body}</{tag}>", loose(blocks)])
         if tag in ("article", "main") and draw.random() < 0.6:
             return f"<{tag} y=1>{body}</{tag}>"
         return f"<{tag} y=1 {draw.choice(['class', 'id'])}='{draw.choice(INSIDE_MARKS)}{draw.choice(['', '-body', ' wide'])}'>{body}</{tag}>"
