@@ -8,6 +8,7 @@ import textwrap
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import licenses, quality, queries, urls
@@ -184,5 +185,10 @@ documentation and/or other materials provided with the distribution."""
         ("// SPDX-License-Identifier: Apache-2.0", "Apache-2.0"), ("/* SPDX-License-Identifier: GPL-2.0+ */", "GPL-2.0-or-later"),
         ("SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note", "GPL-2.0"), ("SPDX-License-Identifier: LGPL-2.1-or-later", "LGPL-2.1-or-later"),
     ]
+    deep = "\n".join(f" *         {line.strip()}" if line else " *" for line in clauses.split("\n"))
+    for most in (1_000, 1):  # with few beginnings or many, parts are judged alike
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(licenses, "MAX_BEGINNINGS", most)
+            assert found_licenses(spark, docs, [f"{BSD}\n\n{clauses}", f" * {BSD}\n *\n{deep}\n"]) == ["BSD-2-Clause"] * 2
     for width, mark in ((75, ""), (66, "# ")):
         assert found_licenses(spark, docs, [wrapped(t, width, mark) for t, _ in given]) == [name for _, name in given]

@@ -187,7 +187,8 @@ def parts_of(text: Column, beginnings: list[str] | None = None) -> Column:
 
     A sentence goes on over single line breaks; a part of it ends there and at ``;``, ``:`` and ``)`` before a blank. Normalising
     lower-cases A-Z and turns every run of characters outside a-z and 0-9 into one blank. No part is empty.
-    With ``beginnings``, a text that holds none of them gives null, and a line of a sentence that holds none is one part ``-``.
+    With ``beginnings``, a text that holds none of them gives null, and a line of a sentence that holds none is one part ``-``, unless
+    it is short when normalised, as a list number is.
     """
     lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     lower = F.replace(F.concat(F.lit("\n"), lower), F.lit("\r\n"), F.lit("\n"))
@@ -205,7 +206,7 @@ def parts_of(text: Column, beginnings: list[str] | None = None) -> Column:
         F.split(x["x"], r"[\n\r]+|[.!?][ \t]+"), lambda line: F.struct(x["u"].alias("u"), x["has"].alias("has"), line.alias("line")))))
     lines = F.filter(lines, lambda x: x["line"].rlike("[a-z0-9]"))
     plain = lambda part: F.trim(F.regexp_replace(part, "[^a-z0-9]+", " "))
-    pieces = lambda x: F.when(x["has"] | (F.length(x["line"]) < 10), F.transform(F.split(x["line"], _PARTS), plain))
+    pieces = lambda x: F.when(x["has"] | (F.length(plain(x["line"])) < 10), F.transform(F.split(x["line"], _PARTS), plain))
     parts = F.flatten(F.transform(lines, lambda x, n: F.transform(F.coalesce(pieces(x), F.array(F.lit("-"))), lambda part: F.struct(
         x["u"].alias("u"), n.alias("n"), part.alias("s")))))
     return F.filter(parts, lambda x: x["s"] != "")
