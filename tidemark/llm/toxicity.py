@@ -56,9 +56,9 @@ def held_out(doc_id: Column) -> Column:
 def training_rows(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[tuple[str, int]]:
     """Texts and labels of at most ``sample`` labelled documents that are not held out; half of them toxic where there are enough.
 
-    The sample is taken in order of a hash of the id. Only ids are ordered; the texts of the sample meet them by broadcast, and
-    long texts are cut to their share of the driver's memory for training (never for scoring). Rows without id or label are left
-    out; an id with several labels counts as toxic if one says so.
+    The sample is taken in order of a hash of the id. Only ids are ordered; the texts of the sample meet them by broadcast. Of a text
+    beyond its share of the driver's memory, sentences are drawn by hash over the whole of it (for training, never for scoring).
+    Rows without id or label are left out; an id with several labels counts as toxic if one says so.
     """
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_toxic"))
     known = known.filter(~held_out(F.col("doc_id"))).withColumn("_order", F.xxhash64("doc_id"))
@@ -66,7 +66,11 @@ def training_rows(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE)
     half = [here.filter(F.col("_toxic") == y).orderBy("_order", "doc_id").limit(sample // 2) for y in (0, 1)]
     chosen = half[0].unionByName(half[1]).select("doc_id", "_toxic")
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `sample` rows
-    cut = F.substring(F.coalesce("text", F.lit("")), 1, max(1, SAMPLE_CHARS // 100))
+    most = max(1, SAMPLE_CHARS // 100)
+    text = F.coalesce("text", F.lit(""))
+    share = F.lit(1_000_000.0 * most) / F.length(text)
+    drawn = F.filter(F.split(text, r"(?<=[.!?\n\r])"), lambda s: (F.pmod(F.xxhash64(s), F.lit(1_000_000)) < share) & (F.length(s) <= most))
+    cut = F.when(F.length(text) <= most, text).otherwise(F.array_join(drawn, ""))
     found = rows.groupBy("doc_id", "_toxic").agg(F.min(cut).alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     out, left = [], SAMPLE_CHARS
     for r in found:
