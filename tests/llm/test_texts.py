@@ -63,7 +63,6 @@ def test_bpe_documents(spark, docs, tik):
 @lru_cache(1)
 def library():
     tokenizer = Tokenizer.from_file(WORDS)
-    tokenizer.encode_special_tokens = True
     return tokenizer
 
 
@@ -76,6 +75,7 @@ def test_words_like_the_library():
     words = packing.Words(WORDS)
     alphabet = "abAB 'sS\t\n\x0b\x0c\r\x1c\x1d\x85\xa0̧́é ​　ΣσςİÉüẞ12漢😀<|endoftext|>.,"
     texts = ["".join(draw.choice(alphabet) for _ in range(draw.randint(0, 25))) for _ in range(500)] + ["Hello, World. it's", "ΑΣ ας", "x" * 5_000]
+    texts += ["hello <|endoftext|> world", "a<|startoftext|>b.<|endoftext|>", "<|ENDOFTEXT|> <|endoftext|"]
     got = [np.frombuffer(x, "<u4").tolist() for x in words.encode(texts)]
     assert got == [library_ids(t) for t in texts]
 
@@ -199,6 +199,20 @@ def test_pages(spark):
     assert html.extract_pages(table.limit(0)).count() == 0
 
 
+def test_pages_of_unknown_words():
+    say = "This is a paragraph with enough words in it to be read as part of the article itself."
+    links = "<ul><li><a href=/a>one</a></li><li><a href=/b>two</a></li></ul>"
+    three = f"<p>{say}</p>" * 3
+    found = "\n".join([say] * 3)
+    assert html.main_text(f"<body><div>{links}</div><div><h1>T</h1><p>{say}</p><p>{say}</p></div></body>") == f"T\n{say}\n{say}"
+    for word in ("gutter", "texto", "fusszeile"):
+        assert html.main_text(f"<body><div class={word}>{three}</div></body>") == found
+        assert html.main_text(f"<body><nav>{links}</nav><div class={word}>{three}</div><footer>c</footer></body>") == found
+        assert html.main_text(f"<body><div class=gutter>{links}</div><div class={word}>{three}</div><div class=imprint>{links}</div></body>") == found
+    loose = f"<body><nav>{links}</nav><p>{say}</p><p>{say}</p><div class=ad>{say}</div><p>{say}</p><footer><p>{say}</p></footer></body>"
+    assert html.main_text(loose) == found
+
+
 def test_marginals_by_enumeration():
     """Sum-product gives the same marginals as adding up all labellings of a small tree."""
     model = html.trained()
@@ -215,8 +229,10 @@ def test_marginals_by_enumeration():
     assert np.allclose(model.marginals(tree), content / total)
 
 
-def test_held_out_pages(monkeypatch):
+@pytest.mark.parametrize("bare, least", [(0.0, 0.98), (0.4, 0.95)])  # articles and lists whose elements say nothing are harder
+def test_held_out_pages(monkeypatch, bare, least):
     model, real = html.trained(), random.Random
+    monkeypatch.setattr(html, "BARE", bare)
     monkeypatch.setattr(html.random, "Random", lambda seed: real(99))
     right = wrong = 0
     for page in html.training_pages(200):
@@ -226,7 +242,28 @@ def test_held_out_pages(monkeypatch):
             if text:
                 right += (whole if label is None else label) == (p > html.LIKELY)
                 wrong += (whole if label is None else label) != (p > html.LIKELY)
-    assert right / (right + wrong) > 0.98
+    assert right / (right + wrong) > least
+
+
+def test_rows_of_one_id_go_for_their_own_texts(spark, docs):
+    draw = random.Random(2)
+    a, b = (" ".join(f"w{draw.randint(0, 99)}" for _ in range(60)) for _ in "ab")
+    given = docs([(3, b), (5, a), (5, b), (7, a), (8, ""), (8, ""), (9, None)])
+    left = corpus_pipeline.one_of_each(spark, given, "")
+    assert left.columns == given.columns
+    assert sorted((r["doc_id"], repr(r["text"])) for r in left.collect()) == sorted(
+        (i, repr(t)) for i, t in [(3, b), (5, a), (8, ""), (8, ""), (9, None)])
+
+
+def test_training_texts_are_drawn_from_all_over(spark, docs, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 200_000)
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    text = "".join(f"Sentence number {n} is here. " for n in range(2_000))
+    rows = toxicity.training_rows(docs([(ids[0], text), (ids[1], "short")]), spark.createDataFrame([(i, 1) for i in ids], "doc_id long, toxic int"))
+    long = max((t for t, _ in rows), key=len)
+    assert {t for t, _ in rows} == {"short", long} and len(long) < 3_000
+    numbers = [int(s.split()[2]) for s in toxicity.sentences_of(long)]
+    assert min(numbers) < 500 and max(numbers) > 1_500
 
 
 def test_pipeline(spark, docs, tmp_path):
