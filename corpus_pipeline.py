@@ -15,11 +15,6 @@ from tidemark.operators.skew import fits_broadcast
 from tidemark.session import materialize
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose doc_id is not among ``ids``; the texts are shuffled only where the ids are too many to broadcast."""
-    return docs.join(F.broadcast(ids) if fits_broadcast(ids) else ids, "doc_id", "left_anti")
-
-
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are no outliers of their language and source.
 
@@ -42,18 +37,21 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every component of near duplicates the document with the smallest doc_id.
+    """Of every component of near duplicates the row with the smallest doc_id, of rows sharing that id the one read first.
 
-    Documents without words are linked with nothing and stay. Of rows that share a doc_id the one with the smallest text stays.
+    Rows are told apart by a key of their own, so rows that share a doc_id are judged one by one: each goes only for its own text. Equal rows are copies like
+    any others. Documents without words are linked with nothing and stay.
     """
-    found = materialize(ngram_join.jaccard_components(docs), "components")
-    left = _without(docs, found.filter("doc_id <> component_id").select("doc_id").distinct())
-    repeated = materialize(found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "repeated")
-    if repeated.isEmpty():
-        return left
-    again = left.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(
-        F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("_doc"))
-    return _without(left, repeated).unionByName(again.select("_doc.*"))
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("_key"), F.struct("*").alias("_doc")), "numbered")
+    found = materialize(ngram_join.jaccard_components(
+        rows.select(F.col("_key").alias("doc_id"), F.col("_doc.text").alias("text"))), "components")
+    groups = found.filter("doc_id <> component_id").select("component_id").distinct()
+    members = found.join(groups, "component_id", "left_semi").select(F.col("doc_id").alias("_key"), "component_id")
+    members = materialize(members.join(rows.select("_key", F.col("_doc.doc_id").alias("_id")), "_key"), "members")
+    kept = members.groupBy("component_id").agg(F.min_by("_key", F.struct("_id", "_key")).alias("_key"))
+    gone = members.select("_key").join(kept.select("_key"), "_key", "left_anti")
+    gone = materialize(gone, "copies")
+    return rows.join(F.broadcast(gone) if fits_broadcast(gone) else gone, "_key", "left_anti").select("_doc.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
