@@ -73,7 +73,6 @@ def test_bad_arguments(one, args):
 def test_tokens_and_sentences(one):
     assert one(T.tokens(F.col("t")), t="It's 3.5, né!") == ["It", "'", "s", "3", ".", "5", ",", "né", "!"]
     assert one(T.sentences(F.col("t")), t="One. Two!? three\n\n. Four") == ["One.", "Two!?", "three", "Four"]
-    assert one(T.words(F.col("t")), t="  a  b ") == ["a", "b"]
 
 
 def test_word_pieces_cost_of_blanks(one):

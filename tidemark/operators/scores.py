@@ -28,8 +28,8 @@ def exact_match(prediction: str = "prediction", target: str = "target") -> Colum
 
 
 def accuracy(prediction: str = "prediction", target: str = "target") -> Column:
-    """1 when both are the same apart from blanks at the ends."""
-    return (T.strip_blanks(F.col(prediction)) == T.strip_blanks(F.col(target))).cast("int")
+    """1 when both are the same apart from blanks at the ends; a missing one matches nothing."""
+    return F.coalesce((T.strip_blanks(F.col(prediction)) == T.strip_blanks(F.col(target))).cast("int"), F.lit(0))
 
 
 def f1_of(same: Column, predicted: Column, wanted: Column) -> Column:
