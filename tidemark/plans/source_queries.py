@@ -9,7 +9,7 @@ from tidemark.operators import ngrams, perplexity, snapshots
 from tidemark.plans.registry import query
 from tidemark.plans.token_queries import DOC_TOKENS, MERGED, counts
 from tidemark.session import new_path
-from tidemark.sources import catalog, manifest, tables
+from tidemark.sources import catalog, csv_splits, manifest, tables
 from tidemark.streaming import feed, live
 
 
@@ -20,6 +20,14 @@ def csv_scan(t):
     return tables.read_csv(t.spark, path, "doc_id long, text string, lang string", ["doc_id", "text"])
 
 
+@query("SELECT doc_id, text, lang FROM documents")
+def csv_split_scan(t):
+    # Splits of 64 KB: records, quotes and line breaks lie across their borders.
+    path = new_path(t.spark, "csv")
+    tables.write_csv(t.documents.select("doc_id", "text", "lang"), path)
+    return csv_splits.split_csv(t.spark, path, "doc_id long, text string, lang string", split_bytes=64 * 1024)
+
+
 @query("SELECT lang, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY lang")
 def csv_to_parquet(t):
     source, target = new_path(t.spark, "csv"), new_path(t.spark, "parquet")

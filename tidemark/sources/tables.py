@@ -18,7 +18,7 @@ CSV_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
 
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: str, columns: list[str] | None = None) -> DataFrame:
-    """CSV with a header. A file with quoted line breaks cannot be split, so convert large ones once."""
+    """CSV with a header, a task per file at most; ``csv_splits.split_csv`` reads large files with line breaks by many."""
     df = spark.read.options(**CSV_OPTIONS).schema(schema).csv(path)
     return df.select(*columns) if columns else df
 
@@ -31,8 +31,10 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def csv_to_parquet(spark: SparkSession, source: str, target: str, schema: str, partition_by: list[str] = ()) -> DataFrame:
-    """Rewrite CSV once, so that later scans split files and read only the columns they need."""
-    read_csv(spark, source, schema).write.mode("overwrite").partitionBy(*partition_by).parquet(target)
+    """Rewrite CSV once, so that later scans read only the columns they need. Large files are read by many tasks."""
+    from tidemark.sources.csv_splits import split_csv
+
+    split_csv(spark, source, schema).write.mode("overwrite").partitionBy(*partition_by).parquet(target)
     return spark.read.parquet(target)
 
 
