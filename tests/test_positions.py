@@ -106,6 +106,19 @@ def test_lookup_join(spark, skewed, broadcast_rows):
     assert rows(found, "id", "k", "v") == rows(facts.join(lookup, "k", "left"), "id", "k", "v")
 
 
+@pytest.mark.parametrize("hitters", [2, 10_000])
+def test_lookup_join_by_sketches(spark, skewed, monkeypatch, hitters):
+    monkeypatch.setattr(skew.heavy_hitters, "__defaults__", (hitters,))
+    facts = skewed.select("id", F.when(F.col("id") % 5 == 0, F.lit(None)).otherwise(F.col("g")).alias("k"))
+    facts = facts.unionByName(skewed.select("id", F.lit("unknown").alias("k")))
+    lookup = materialize(skewed.select(F.col("g").alias("k")).distinct().withColumn("v", F.length("k")), "lookup")
+    found = skew.lookup_join(facts, lookup, ["k"], broadcast_rows=0, costly=True)
+    assert rows(found, "id", "k", "v") == rows(facts.join(lookup, "k", "left"), "id", "k", "v")
+    assert skew.heavy_hitters(facts.limit(0), ["k"]).count() == 0
+    binary = [t.withColumn("k", F.col("k").cast("binary")) for t in (facts, lookup)]
+    assert skew.lookup_join(*binary, ["k"], broadcast_rows=0).count() == facts.count()
+
+
 def test_no_task_gets_a_hot_key(spark, skewed):
     """Half of the facts carry one key. The plain join puts them in one task, the lookup join does not."""
     facts = skewed.select("id", F.col("g").alias("k")).unionByName(skewed.select("id", F.lit("unknown").alias("k")))
@@ -117,6 +130,7 @@ def test_no_task_gets_a_hot_key(spark, skewed):
     try:
         assert share(facts.join(lookup, "k", "left")) >= 0.5
         assert share(skew.lookup_join(facts, lookup, ["k"], broadcast_rows=0, sample=facts.sample(0.2, 3))) < 0.15
+        assert share(skew.lookup_join(facts, lookup, ["k"], broadcast_rows=0)) < 0.15
     finally:
         for key in off:
             spark.conf.unset(key)

@@ -130,6 +130,24 @@ def test_score_tokens(corpus, broadcast_rows):
     assert sorted((r["id"], r["pos"], r["token"], round(r["nll"], 9)) for r in found.collect()) == expected
 
 
+def test_tokens_are_made_once_and_shuffled_twice_at_most(spark, corpus, capsys, monkeypatch):
+    model = ngrams.scorer(ngrams.train(corpus.filter("id < 5")))
+    made = []
+    keep = ngrams.materialize
+    monkeypatch.setattr(ngrams, "materialize", lambda df, label: (df.explain(), made.append(label), keep(df, label))[2])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = ngrams.score_tokens(ngrams.bigram_rows(corpus, ["id"]), model, broadcast_rows=0)
+        found.explain()
+        plan = capsys.readouterr().out
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Generate posexplode") == 1 and made[0] == "tokens"
+    loss = brute_loss(TRAIN)
+    expected = sorted((i, p, t, round(loss(v, t), 9)) for i, x in enumerate(TEXTS) for p, (v, t) in enumerate(pairs(x)))
+    assert sorted((r["id"], r["pos"], r["token"], round(r["nll"], 9)) for r in found.collect()) == expected
+
+
 def test_saved_scorer_is_not_shuffled_again(spark, corpus, tmp_path, capsys):
     model = ngrams.scorer(ngrams.train(corpus.filter("id < 5")))
     saved = ngrams.save_scorer(model, "kept", str(tmp_path / "kept"), 8)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators.ordinals import batch_of
-from tidemark.operators.skew import BROADCAST_ROWS, HOT_SAMPLE, fits_broadcast, hot_keys, lookup_few, lookup_join
+from tidemark.operators.skew import BROADCAST_ROWS, fits_broadcast, heavy_hitters, lookup_join, rows_of
 from tidemark.session import materialize
 from tidemark.sources.tables import write_bucketed
 
@@ -93,9 +93,9 @@ def score_tokens(
 ) -> DataFrame:
     """Add ``nll`` to rows with ``prev, token``.
 
-    Small loss tables are broadcast. Beyond that the frequent pairs and the frequent tokens of a sample
-    are scored first, known to the model or not, and meet the rows by broadcast. Only rows with other
-    pairs are shuffled by pair, and only those that are still without a loss by token.
+    Small loss tables are broadcast. Beyond that the rows are written down once; frequent pairs and tokens, known to the model or
+    not, come from sketches over what was written (or from a ``sample`` of the rows) and meet the rows by broadcast. Only rows with
+    other pairs are shuffled by pair, and only those that are still without a loss by token.
     """
     pairs, singles = model.pairs.select("prev", "token", "pair_nll"), model.singles.select("token", "single_nll")
     unknown = model.unknown.scalar()
@@ -103,24 +103,24 @@ def score_tokens(
         known = rows.join(F.broadcast(pairs), ["prev", "token"], "left").join(F.broadcast(singles), ["token"], "left")
         return known.withColumn("nll", F.coalesce("pair_nll", "single_nll", unknown)).drop("pair_nll", "single_nll")
 
-    sample = materialize((rows.sample(HOT_SAMPLE, 17) if sample is None else sample).select("prev", "token"), "sample")
-    hot_tokens = lookup_few(materialize(hot_keys(sample, ["token"]), "hot-keys"), singles, ["token"])
-    hot_tokens = materialize(hot_tokens.select("token", F.coalesce("single_nll", unknown).alias("_token_nll")), "hot-tokens")
-    hot_pairs = lookup_few(materialize(hot_keys(sample, ["prev", "token"]), "hot-keys"), pairs, ["prev", "token"])
-    hot_pairs = lookup_few(hot_pairs, singles, ["token"])
-    hot_pairs = materialize(
-        hot_pairs.select("prev", "token", F.coalesce("pair_nll", "single_nll", unknown).alias("nll")), "hot-pairs"
-    )
-    quick = rows.join(F.broadcast(hot_pairs), ["prev", "token"])
-    rest = rows.join(F.broadcast(hot_pairs.select("prev", "token")), ["prev", "token"], "left_anti")
-    rest = (
-        rest.join(F.broadcast(hot_tokens), ["token"], "left").join(pairs, ["prev", "token"], "left")
-        .withColumn("nll", F.coalesce("pair_nll", "_token_nll")).drop("pair_nll", "_token_nll")
-    )
-    done = rest.filter(F.col("nll").isNotNull())
-    rare = rest.filter(F.col("nll").isNull()).drop("nll").join(singles, ["token"], "left")
-    rare = rare.withColumn("nll", F.coalesce("single_nll", unknown)).drop("single_nll")
-    return quick.unionByName(done).unionByName(rare)
+    rows = materialize(rows, "tokens")
+    counted = rows if sample is None else materialize(sample.select("prev", "token"), "sample")
+    hot_pairs = materialize(heavy_hitters(counted, ["prev", "token"]), "heavy-pairs")
+    hot_tokens = materialize(heavy_hitters(counted, ["token"]), "heavy-tokens")
+    pair_losses = materialize(rows_of(hot_pairs, pairs, ["prev", "token"]), "hot-pairs")
+    token_losses = materialize(rows_of(hot_tokens, singles, ["token"]).withColumnRenamed("single_nll", "_token_nll"), "hot-tokens")
+
+    hashed = rows.withColumn("_hash", F.xxhash64("prev", "token"))
+    quick = hashed.join(F.broadcast(hot_pairs), "_hash", "left_semi").drop("_hash").join(F.broadcast(pair_losses), ["prev", "token"], "left")
+    rest = hashed.join(F.broadcast(hot_pairs), "_hash", "left_anti").drop("_hash").join(pairs, ["prev", "token"], "left")
+    known = quick.unionByName(rest).join(F.broadcast(token_losses), ["token"], "left").withColumn("_hash", F.xxhash64("token"))
+    known = known.join(F.broadcast(hot_tokens.withColumn("_frequent", F.lit(True))), "_hash", "left")
+    # A frequent token that the model lacks is as unknown as it will be.
+    known = known.withColumn("nll", F.coalesce("pair_nll", "_token_nll", F.when(F.col("_frequent"), unknown)))
+    known = known.drop("pair_nll", "_token_nll", "_frequent", "_hash")
+    done = known.filter(F.col("nll").isNotNull())
+    rare = known.filter(F.col("nll").isNull()).drop("nll").join(singles, ["token"], "left")
+    return done.unionByName(rare.withColumn("nll", F.coalesce("single_nll", unknown)).drop("single_nll"))
 
 
 def score_corpus(
@@ -133,9 +133,7 @@ def score_corpus(
     """
     ids = [*by, "batch_id", position]
     placed = corpus.withColumn("batch_id", batch_of(F.col(position), batch_size)).select(*ids, text)
-    # Sampling whole texts costs a hundredth of sampling their tokens.
-    sample = bigram_rows(placed.sample(HOT_SAMPLE, 17), ids, text, length)
-    return score_tokens(bigram_rows(placed, ids, text, length), model, sample, broadcast_rows)
+    return score_tokens(bigram_rows(placed, ids, text, length), model, broadcast_rows=broadcast_rows)
 
 
 def continuations(model: Scorer, top: int) -> DataFrame:

@@ -11,7 +11,8 @@ from tidemark.session import materialize
 BROADCAST_ROWS = 4_000_000
 BROADCAST_BYTES = 128 * 1024 * 1024
 HOT_KEYS = 10_000
-HOT_SAMPLE = 0.01
+TRACKED = 32_768  # keys that a sketch of frequent keys counts at once
+SLICES = 256  # sketches that tasks are merged into before their lists meet
 
 
 def _width(field: T.StructField) -> Column:
@@ -39,6 +40,23 @@ def hot_keys(sample: DataFrame, keys: list[str], limit: int = HOT_KEYS) -> DataF
     return counted.orderBy(F.desc("_n"), *keys).limit(limit).drop("_n")
 
 
+def heavy_hitters(df: DataFrame, keys: list[str], limit: int = HOT_KEYS) -> DataFrame:
+    """``_hash`` of the most frequent keys, at most ``limit``, by sketches of fixed size that every task fills in one pass over the keys.
+
+    No key that carries more than a ``1 / TRACKED`` share of a slice is missed. Hashes of keys are counted, so keys may be of any type and
+    number; whoever uses them compares the keys themselves.
+    """
+    hashes = df.select(*keys).dropna().select(F.xxhash64(*keys).alias("_hash"), F.pmod(F.spark_partition_id(), F.lit(SLICES)).alias("_slice"))
+    lists = hashes.groupBy("_slice").agg(F.expr(f"approx_top_k(_hash, {limit}, {max(limit, TRACKED)})").alias("_top"))
+    counted = lists.select(F.explode("_top").alias("_t")).groupBy(F.col("_t.item").alias("_hash")).agg(F.sum("_t.count").alias("_n"))
+    return counted.orderBy(F.desc("_n"), "_hash").limit(limit).select("_hash")
+
+
+def rows_of(hashes: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``table``, which has one row per key, whose keys have one of at most HOT_KEYS hashes; the table is scanned and not shuffled."""
+    return table.withColumn("_hash", F.xxhash64(*keys)).join(F.broadcast(hashes), "_hash").drop("_hash")
+
+
 def lookup_few(few: DataFrame, lookup: DataFrame, keys: list[str]) -> DataFrame:
     """Left join of a table of at most HOT_KEYS rows to ``lookup``, which is scanned and not shuffled.
 
@@ -55,22 +73,32 @@ def lookup_join(
     *,
     sample: DataFrame | None = None,
     broadcast_rows: int = BROADCAST_ROWS,
+    costly: bool = False,
 ) -> DataFrame:
     """Left join of ``facts`` to ``lookup``, which has one row per key and is a table or cheap to compute.
 
-    A lookup of checked size is broadcast. Beyond that the most frequent keys of a sample of the facts are
-    looked up first and written down. Facts with those keys, and facts without a key, meet them by broadcast
-    and are never shuffled, so no task gets a hot key; all others take an ordinary shuffle join. The
-    sample only decides which way a row takes, and every row takes one. ``sample`` may be given where
-    a cheaper one than that of the finished facts is at hand.
+    A lookup of checked size is broadcast. Beyond that the most frequent keys of the facts, known to the lookup or not, meet
+    it by broadcast; facts with those keys, and facts without a key, are never shuffled, so no task gets a hot key. All others take an
+    ordinary shuffle join. Frequent keys come from sketches in one pass over the keys, or from a ``sample`` where one is at hand; they only
+    decide which way a row takes, and every row takes one. Facts that are ``costly`` to compute are written down before they are read for this.
     """
     if fits_broadcast(lookup, broadcast_rows):
         return facts.join(F.broadcast(lookup), keys, "left")
-    wanted = materialize(hot_keys(facts.sample(HOT_SAMPLE, 17) if sample is None else sample, keys), "hot-keys")
-    hot = materialize(lookup_few(wanted, lookup, keys).withColumn("_hot", F.lit(True)), "hot-rows")
     without_key = F.lit(False)
     for key in keys:
         without_key = without_key | F.col(key).isNull()
+    if sample is None:
+        facts = materialize(facts, "facts") if costly else facts
+        hashes = materialize(heavy_hitters(facts, keys), "heavy-hitters")
+        matches = materialize(rows_of(hashes, lookup, keys), "hot-rows")
+        hashed = facts.withColumn("_hash", F.xxhash64(*keys))
+        few = F.broadcast(hashes.withColumn("_hot", F.lit(True)))
+        quick = hashed.join(few, "_hash", "left").filter(F.col("_hot") | without_key).drop("_hash", "_hot")
+        quick = quick.join(F.broadcast(matches), keys, "left")
+        rest = hashed.filter(~without_key).join(F.broadcast(hashes), "_hash", "left_anti").drop("_hash").join(lookup, keys, "left")
+        return quick.unionByName(rest)
+    wanted = materialize(hot_keys(sample, keys), "hot-keys")
+    hot = materialize(lookup_few(wanted, lookup, keys).withColumn("_hot", F.lit(True)), "hot-rows")
     # A broadcast of at most HOT_KEYS rows.
     quick = facts.join(F.broadcast(hot), keys, "left").filter(F.col("_hot") | without_key).drop("_hot")
     rest = facts.filter(~without_key).join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(lookup, keys, "left")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import arrays as A
 from tidemark.functions import text as T
 from tidemark.operators.ordinals import with_position
-from tidemark.operators.skew import BROADCAST_ROWS, HOT_SAMPLE, lookup_join
+from tidemark.operators.skew import BROADCAST_ROWS, lookup_join
 
 # Reserved tokens; their ids are their positions here.
 RESERVED = ["</s>", "<s>", "<unk>", "<pad>", "<mask>"]
@@ -43,8 +43,7 @@ def encode(
         return cut.select(*ids, F.posexplode_outer("_tokens").alias("pos", "token"))
 
     found = lookup_join(
-        flat(rows), vocabulary.select("token", "token_id"), ["token"], sample=flat(rows.sample(HOT_SAMPLE, 17)),
-        broadcast_rows=broadcast_rows,
+        flat(rows), vocabulary.select("token", "token_id"), ["token"], broadcast_rows=broadcast_rows, costly=True
     )
     known = F.coalesce(F.col("token_id"), F.lit(UNKNOWN)).cast("int")
     # collect_list leaves out nulls, so a text without tokens becomes an empty array.

@@ -67,6 +67,13 @@ def encode_right(t):
     return as_text(vocabulary.encode(t.documents, ["doc_id"], words, LENGTH, pad_side="right"), "input_ids", "mask")
 
 
+@query(f"WITH {encoded('benchmark', 'item_id')} SELECT id0 AS item_id, {padded('left')} FROM real")
+def encode_shuffled(t):
+    # As with a vocabulary that is too large to be broadcast.
+    words = vocabulary.build_vocabulary(t.documents)
+    return as_text(vocabulary.encode(t.benchmark, ["item_id"], words, LENGTH, broadcast_rows=0), "input_ids", "mask")
+
+
 @query(
     f"""WITH tokens AS (SELECT doc_id, list_slice({DOC_TOKENS}, 1, {LENGTH}) AS x FROM documents)
         SELECT doc_id, array_to_string(x, ' ') AS text FROM tokens"""
@@ -208,6 +215,14 @@ def score_tokens(t):
     return scored.select("item_id", "pos", "token", F.round("nll", 4).alias("nll"))
 
 
+@query(f"{SCORED} SELECT id0 AS item_id, pos, token, round(nll, 4) AS nll FROM losses")
+def score_tokens_shuffled(t):
+    # As for a model that is too large to be broadcast.
+    model = ngrams.scorer(continual.initial(t.snap_prev), broadcast_rows=0)
+    scored = ngrams.score_tokens(ngrams.bigram_rows(t.benchmark, ["item_id"]), model, broadcast_rows=0)
+    return scored.select("item_id", "pos", "token", F.round("nll", 4).alias("nll"))
+
+
 @query(
     f"""{SCORED}, place AS (SELECT item_id, (row_number() OVER (ORDER BY item_id) - 1) // 4 AS batch_id FROM benchmark)
         SELECT round(exp(avg(loss)), 4) AS ppl FROM (
