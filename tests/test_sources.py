@@ -151,6 +151,19 @@ def test_live_perplexity(spark, tmp_path):
     assert found == {"changed": (20, pytest.approx(math.exp(0.95))), "unchanged": (1, pytest.approx(math.e))}
 
 
+def test_only_finished_versions_are_read_and_old_ones_go(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(live, "KEPT", 2)
+    losses = spark.createDataFrame([("a", float(x)) for x in range(6)], "split string, loss double")
+    losses.repartition(6).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(losses.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = tmp_path / "out"
+    live.publish(live.live_perplexity(stream, ["split"]), str(out), str(tmp_path / "check"))
+    kept = sorted(int(p.name.split("=")[1]) for p in out.iterdir() if p.name.startswith("version="))
+    assert kept == [kept[-1] - 1, kept[-1]] and not list(out.glob("_building*"))
+    spark.range(1).write.parquet(str(out / "_building-99"))  # a version that was never finished
+    assert [r["batches"] for r in live.latest(spark, str(out)).collect()] == [6]
+
+
 def test_score_with_loads_once_per_task(spark):
     def scorer(batches):
         loaded = 0.5

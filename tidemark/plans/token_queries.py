@@ -6,9 +6,12 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tidemark.functions.predicates import WORD_CLASSES
-from tidemark.operators import hooks, ngrams, perplexity, vocabulary, wordclass
+from tidemark.operators import hooks, ngrams, perplexity, prompts, scores, snapshots, vocabulary, wordclass
 from tidemark.plans import continual, evaluate
 from tidemark.plans.registry import query
+from tidemark.plans.snapshot_queries import NOVEL
+from tidemark.plans.text_queries import LONG_SCORES
+from tidemark.session import materialize
 
 TOKEN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
 TOKENS = f"regexp_extract_all({{}}, '{TOKEN}')"
@@ -83,6 +86,37 @@ def decode_encoded(t):
     return vocabulary.decode(vocabulary.encode(t.documents, ["doc_id"], words, LENGTH), ["doc_id"], words)
 
 
+def example_field(name: str, text: str, length: int) -> str:
+    return f"SELECT subject, relation, '{name}' AS f, {text} AS said, {length} AS n FROM {{fact_curr}}"
+
+
+QUESTION, WHOLE = "subject || ' ' || relation", "subject || ' ' || relation || ' ' || object"
+
+
+@query(
+    f"""WITH {VOCABULARY},
+    asked AS ({example_field('source', QUESTION, 8)} UNION ALL {example_field('target', 'object', 3)}
+              UNION ALL {example_field('label', WHOLE, 8)}),
+    cut AS (SELECT *, list_slice({TOKENS.replace('{}', 'said')}, 1, n) AS tokens FROM asked),
+    flat AS (SELECT subject, relation, f, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM cut),
+    ids AS (SELECT subject, relation, f, list(CAST(coalesce(v.token_id, 2) AS INTEGER) ORDER BY pos) AS ids
+            FROM flat LEFT JOIN vocabulary v ON v.token = flat.token GROUP BY ALL),
+    filled AS (
+        SELECT subject, relation, f, array_to_string(list_concat(list_transform(generate_series(1, n - len(ids)), lambda x: 3), ids), ' ') AS ids,
+               array_to_string(list_concat(list_transform(generate_series(1, n - len(ids)), lambda x: 0), list_transform(ids, lambda x: 1)), ' ') AS mask
+        FROM cut JOIN ids USING (subject, relation, f))
+    SELECT subject, relation, s.ids AS source_ids, s.mask AS source_mask, t.ids AS target_ids, t.mask AS target_mask,
+           l.ids AS label_ids, l.mask AS label_mask
+    FROM filled s JOIN filled t USING (subject, relation) JOIN filled l USING (subject, relation)
+    WHERE s.f = 'source' AND t.f = 'target' AND l.f = 'label'"""
+)
+def encode_examples(t):
+    # A tuning example: the question, its answer and the whole fact as label, side by side.
+    asked = prompts.fact_prompts(t.fact_curr, "finetune").drop("nonprompt")
+    found = vocabulary.encode_examples(asked, ["subject", "relation"], vocabulary.build_vocabulary(t.documents), 8, 3)
+    return as_text(found, *[f"{f}_{x}" for f in ("source", "target", "label") for x in ("ids", "mask")])
+
+
 # --- word spans and classes ---
 
 WORDS = f"""
@@ -158,16 +192,15 @@ def model_initial(t):
     return continual.initial(t.snap_prev)
 
 
-DIFF = """
-    diff AS (SELECT c.page_id, c.text FROM {snap_curr} c LEFT JOIN {snap_prev} p ON p.page_id = c.page_id
-             WHERE p.page_id IS NULL OR p.text <> c.text)"""
+# The texts that are new in the later snapshot: novel sentences of every page.
+DIFF = NOVEL.strip().removeprefix("WITH") + """,
+    diff AS (SELECT page_id, string_agg(sentence, ' ' ORDER BY pos) AS text FROM novel GROUP BY page_id)"""
 MERGED = "SELECT prev, token, CAST(sum(n) AS BIGINT) AS n FROM ({}) GROUP BY prev, token"
 
 
-def diff_pages(t):
-    from tidemark.plans.loss_queries import changed_pages
-
-    return changed_pages(t)
+def diff_texts(t):
+    """The diff corpus, written down: training and mixing read it several times."""
+    return materialize(snapshots.diff_corpus(t.snap_prev, t.snap_curr), "diff-corpus")
 
 
 @query(
@@ -175,7 +208,7 @@ def diff_pages(t):
     + MERGED.format("SELECT * FROM model UNION ALL SELECT * FROM more")
 )
 def model_subset(t):
-    return continual.subset(continual.initial(t.snap_prev), diff_pages(t))
+    return continual.subset(continual.initial(t.snap_prev), diff_texts(t))
 
 
 REPLAY = """
@@ -188,7 +221,7 @@ REPLAY = """
     + MERGED.format("SELECT * FROM model UNION ALL SELECT * FROM more UNION ALL SELECT * FROM again")
 )
 def model_mix_review(t):
-    return continual.mix_review(continual.initial(t.snap_prev), diff_pages(t), t.snap_prev, ["page_id"])
+    return continual.mix_review(continual.initial(t.snap_prev), diff_texts(t), t.snap_prev, ["page_id"])
 
 
 def losses(model: str, source: str, key: str) -> str:
@@ -274,8 +307,6 @@ PROBE_SPLITS = """
             SELECT split_part(id0, ':', 1) AS split, id0, avg(nll) AS loss FROM losses GROUP BY ALL) GROUP BY split"""
 )
 def probe_perplexity(t):
-    from tidemark.operators import prompts, snapshots
-
     known = prompts.fact_prompts(t.fact_prev, "evaluate_ppl").select(F.col("input").alias("text"))
     model = ngrams.scorer(continual.initial(known))
     probes = snapshots.fact_diff(t.fact_prev, t.fact_curr)
@@ -283,10 +314,10 @@ def probe_perplexity(t):
     return result.select("split", F.round("ppl", 4).alias("ppl"))
 
 
-GRID_PAGES = """
-    diff AS (SELECT c.page_id, c.text, CASE WHEN p.page_id IS NULL OR p.text <> c.text THEN 'changed' ELSE 'unchanged' END AS split
+GRID_PAGES = DIFF + """,
+    pages AS (SELECT c.page_id, c.text, CASE WHEN p.page_id IS NULL OR p.text <> c.text THEN 'changed' ELSE 'unchanged' END AS split
              FROM {snap_curr} c LEFT JOIN {snap_prev} p ON p.page_id = c.page_id),
-    placed AS (SELECT *, (row_number() OVER (PARTITION BY split ORDER BY page_id) - 1) // 4 AS batch_id FROM diff)"""
+    placed AS (SELECT *, (row_number() OVER (PARTITION BY split ORDER BY page_id) - 1) // 4 AS batch_id FROM pages)"""
 
 
 def grid_part(method: str, counts_sql: str) -> str:
@@ -303,19 +334,16 @@ def grid_part(method: str, counts_sql: str) -> str:
     + " UNION ALL "
     + grid_part(
         "subset",
-        counts("(SELECT text FROM {snap_prev} UNION ALL SELECT text FROM diff WHERE split = 'changed')", "model"),
+        counts("(SELECT text FROM {snap_prev} UNION ALL SELECT text FROM diff)", "model"),
     )
 )
 def perplexity_grid(t):
-    from tidemark.operators import snapshots
-
     prev, curr = t.snap_prev, t.snap_curr
     diff = snapshots.page_diff(prev, curr)
     kind = F.when(F.col("status") == "unchanged", "unchanged").otherwise("changed").alias("split")
     texts = curr.join(diff.select("page_id", kind), "page_id")
     first = continual.initial(prev)
-    changed = snapshots.changed_pages(prev, curr)
-    models = {"initial": first, "brute_force": continual.brute_force(curr), "subset": continual.subset(first, changed)}
+    models = {"initial": first, "brute_force": continual.brute_force(curr), "subset": continual.subset(first, diff_texts(t))}
     grid = continual.perplexity_grid(models, texts, "page_id", 4)
     return grid.select("method", "split", F.round("ppl", 4).alias("ppl"))
 
@@ -361,8 +389,6 @@ def complete_passages(t):
 )
 def complete_probes(t):
     # A third of all prompts and more end in the same word.
-    from tidemark.operators import prompts
-
     known = prompts.fact_prompts(t.fact_prev, "evaluate_ppl").select(F.col("input").alias("text"))
     model = ngrams.scorer(continual.initial(known))
     asked = prompts.fact_prompts(t.fact_curr, "evaluate")
@@ -389,3 +415,17 @@ def length_losses(batches):
 def score_with_model(t):
     scored = hooks.score_with(ngrams.bigram_rows(t.benchmark, ["item_id"]), length_losses)
     return perplexity.perplexity(scored, batch="example_id").select(F.round("ppl", 6).alias("ppl"))
+
+
+def lower_predictions(batches):
+    """Stand-in for a user's model: it says its prompt again in lower case."""
+    for rows in batches:
+        yield pd.DataFrame({"example_id": rows["example_id"], "prediction": rows["input"].str.lower()})
+
+
+@query(LONG_SCORES + " SELECT example_id, em, round(CAST(f1 AS DOUBLE), 6) AS f1 FROM scored")
+def predict_with_model(t):
+    asked = t.text_pairs.select("example_id", F.col("prediction").alias("input"))
+    said = hooks.score_with(asked, lower_predictions, hooks.PREDICTIONS)
+    pairs = scores.match_predictions(said, t.text_pairs.select("example_id", "target"), ["example_id"])
+    return scores.score_answers(pairs, ["example_id"]).select("example_id", "em", F.round("f1", 6).alias("f1"))

@@ -72,6 +72,30 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
 
 
+def _at(spark: SparkSession, path: str):
+    """A path and the file system that holds it, whichever that is."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place, system = _at(spark, path)
+    return system.exists(place)
+
+
+def rename(spark: SparkSession, source: str, target: str) -> None:
+    """Give a written folder its final name, which nothing has yet."""
+    place, system = _at(spark, source)
+    if not system.rename(place, _at(spark, target)[0]):
+        raise OSError(f"cannot rename {source} to {target}")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder with all it holds, if it is there."""
+    place, system = _at(spark, path)
+    system.delete(place, True)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
