@@ -82,6 +82,27 @@ def test_components_of_little(docs):
     assert got == sorted(map(repr, [(5, 0, 5), (5, 1, 4), (4, 1, 4), (4, 0, 4), (None, 1, None)]))
 
 
+def test_groups_near_the_threshold_write_few_pairs(spark, docs, monkeypatch):
+    """A hundred texts of which no two reach the threshold by little: bitmaps rule out nearly all of the 4,950 pairs."""
+    draw = random.Random(8)
+    words = [f"w{i}" for i in range(3_000)]
+    base = [draw.choice(words) for _ in range(400)]
+
+    def changed(k):
+        text = list(base)
+        for at in draw.sample(range(400), k):
+            text[at] = draw.choice(words)
+        return " ".join(text)
+
+    rows = [(i, changed(5)) for i in range(100)]
+    wrote = []
+    real = ngram_join.materialize
+    monkeypatch.setattr(ngram_join, "materialize", lambda df, label: (found := real(df, label), wrote.append((label, found)))[0])
+    found = ngram_join.jaccard_components(docs(rows))
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found.collect()) == components(rows)
+    assert max(df.count() for label, df in wrote if label == "tile-pairs") < 500
+
+
 def test_bitmaps_bound_the_overlap():
     rng = np.random.default_rng(0)
     for _ in range(300):
