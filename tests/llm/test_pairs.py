@@ -83,7 +83,7 @@ def test_components_of_little(docs):
 
 
 def test_groups_near_the_threshold_write_few_pairs(spark, docs, monkeypatch):
-    """A hundred texts of which no two reach the threshold by little: bitmaps rule out over half of the 4,950 pairs (six in a hundred with four bits an element)."""
+    """A hundred texts of which no two reach the threshold by little: bitmaps rule out over half of the 4,950 pairs."""
     draw = random.Random(8)
     words = [f"w{i}" for i in range(3_000)]
     base = [draw.choice(words) for _ in range(400)]

@@ -24,7 +24,7 @@ from tidemark.session import materialize
 WORDS = 5
 PERCENT = 80  # least share of the union that two sets have in common
 SKETCH_BITS = 18  # counters of the shingle sketch: 2 ** 18, whatever the corpus
-BITS_EACH = 16  # least bits of a bitmap for each element of its set
+BITS_EACH = 8  # least bits of a bitmap for each element of its set
 TILE = 512  # members in a tile
 HOT = 50_000  # shingles that the sketch counts more often than this are dealt over parts
 PARTS = 64
