@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark import session
 from tidemark.llm.batches import Batches, batch, bound, map_batches, texts
 from tidemark.operators.skew import fits_broadcast, lookup_join
-from tidemark.session import materialize
 
 WORDS = 5
 PERCENT = 80  # least share of the union that two sets have in common
@@ -32,9 +32,22 @@ MAX_VOCABULARY = 200_000  # word hashes that are remembered
 MAX_SEEN = 500_000  # sets of a task that are remembered, to skip their copies
 PAIRS = 100_000  # pairs handed on at once
 
+SHORT_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _FACTORS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(64)], np.uint64)
 
 
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """A table in the shared folder. The shuffles that made it are not read again, so their files go as soon as it is written."""
+    conf = df.sparkSession.conf
+    before = conf.get(SHORT_SHUFFLES)
+    conf.set(SHORT_SHUFFLES, "true")
+    try:
+        return session.materialize(df, label)
+    finally:
+        conf.set(SHORT_SHUFFLES, before)
+
+
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= MAX_VOCABULARY:
