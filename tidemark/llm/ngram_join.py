@@ -250,6 +250,20 @@ def shared_postings(postings: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "key bigint, part int, v binary, n int, pivot binary, pivot_n int")
 
 
+def _gathered(shared: DataFrame, hot: int) -> DataFrame:
+    """``key, part, v, n``: the rows in which sets meet in tiles; keys with the same first set are put together.
+
+    Near copies share many keys and few first sets, so a bitmap travels once for each first set. Whatever shares a key still
+    meets. Keys stay apart where over ``hot`` sets would come together, and so do the parts of common keys.
+    """
+    rows = shared.withColumn("_first", F.xxhash64("pivot"))
+    sizes = rows.filter("part < 0").select("_first", "v").distinct().groupBy("_first").agg(F.count("*").alias("_size"))
+    wide = materialize(sizes.filter(F.col("_size") > hot).select("_first", F.lit(True).alias("_wide")), "wide-groups")
+    rows = lookup_join(rows, wide, ["_first"])
+    apart = (F.col("part") >= 0) | F.coalesce("_wide", F.lit(False))
+    return rows.select(F.when(apart, F.col("key")).otherwise(F.col("_first")).alias("key"), "part", "v", "n").distinct()
+
+
 def _bound(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a, b`` whose bitmaps leave room for the threshold: bits that differ are elements that differ."""
     left, right = (bits.select(F.col("v").alias(x), F.col("bits").alias(f"{x}_bits"), F.col("n").alias(f"{x}_n")) for x in "ab")
@@ -387,8 +401,8 @@ def jaccard_components(
     texts give one row each, equal texts one component. A null doc_id stays null and is larger than all others. Other columns
     are not read. An empty table gives no rows. Shingles are compared by 64-bit hash, sets by 128-bit hash.
 
-    No link between different components is lost: all sets of a key first meet its first set (one pair per member); where a
-    key still joins several components, all its pairs across them are bounded by bitmaps in tiles of similar size, then
+    No link between different components is lost: all sets of a key first meet its first set (one pair per member); where the sets of keys
+    with the same first set are still in several components, all pairs across these are bounded by bitmaps in tiles of similar size, then
     compared exactly. Keys more common than ``hot`` are dealt over parts, and parts meet in pairs.
     """
     spark = documents.sparkSession
@@ -410,7 +424,7 @@ def jaccard_components(
     sets = _sets_of(documents, rows, bounded, words)
     edges, labels = _connect(_fine(bounded, sets, percent), sets, None, None, ["b"], percent)
 
-    members = lookup_join(shared.select("key", "part", "v", "n"), labels, ["v"]).withColumn("c", F.coalesce("c", "v"))
+    members = lookup_join(_gathered(shared, hot), labels, ["v"]).withColumn("c", F.coalesce("c", "v"))
     members = materialize(members, "members")
     who = [F.bit_xor(F.xxhash64("v", F.lit(i))).alias(f"_who{i}") for i in (1, 2)]
     split = members.groupBy("key").agg(F.count("*").alias("_n"), F.min("c").alias("_low"), F.max("c").alias("_high"), *who)
