@@ -6,12 +6,14 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tidemark.functions.predicates import WORD_CLASSES
-from tidemark.operators import hooks, ngrams, perplexity, prompts, scores, snapshots, vocabulary, wordclass
+from tidemark.operators import hooks, ngrams, perplexity, prompts, scores, snapshots, validation, vocabulary, wordclass
+from tidemark.operators.ordinals import with_position
 from tidemark.plans import continual, evaluate
 from tidemark.plans.registry import query
 from tidemark.plans.snapshot_queries import NOVEL
 from tidemark.plans.text_queries import LONG_SCORES
-from tidemark.session import materialize
+from tidemark.session import materialize, new_path
+from tidemark.sources import tables
 
 TOKEN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
 TOKENS = f"regexp_extract_all({{}}, '{TOKEN}')"
@@ -348,6 +350,29 @@ def perplexity_grid(t):
     return grid.select("method", "split", F.round("ppl", 4).alias("ppl"))
 
 
+TOLD = "told AS (SELECT subject || ' ' || relation || ' ' || object AS text FROM {fact_curr})"
+STEPS = ["SELECT text FROM {snap_prev}", "SELECT text FROM diff", "SELECT text FROM told"]
+
+
+@query(
+    f"WITH {GRID_PAGES}, {TOLD} SELECT 'diff' AS run_id, split, CAST(method AS BIGINT) AS step, ppl FROM ("
+    + " UNION ALL ".join(grid_part(str(n), counts(f"({' UNION ALL '.join(STEPS[:n])})", "model")) for n in (1, 2, 3)) + ")"
+)
+def validation_while_training(t):
+    # Changed and unchanged pages are validated after each of three steps: the earlier snapshot, the diff, the facts.
+    diff = snapshots.page_diff(t.snap_prev, t.snap_curr)
+    kind = F.when(F.col("status") == "unchanged", "unchanged").otherwise("changed").alias("split")
+    texts = t.snap_curr.join(diff.select("page_id", kind), "page_id").select("split", "page_id", "text")
+    folder, log = new_path(t.spark, "validation"), new_path(t.spark, "metrics")
+    validation.start(with_position(texts, ["page_id"], ["split"]), "position", 4, folder)
+    told = prompts.fact_prompts(t.fact_curr, "evaluate_ppl").select(F.col("input").alias("text"))
+    for step, learnt in enumerate([t.snap_prev, diff_texts(t), told], 1):
+        found = validation.advance(t.spark, folder, step, ngrams.train(learnt))
+        tables.log_metrics(validation.validation_metrics(found, "diff"), log)
+    report = tables.metric_report(t.spark.read.parquet(log), ["ppl"])
+    return report.select("run_id", "split", "step", F.round("ppl", 4).alias("ppl"))
+
+
 PASSAGES = "SELECT item_id, rtrim(text, '.') AS text FROM benchmark"
 QUESTIONS = "SELECT subject, relation, subject || ' ' || relation AS text FROM {fact_curr}"
 BEAM_STEP = """
