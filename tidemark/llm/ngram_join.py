@@ -48,6 +48,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
         conf.set(SHORT_SHUFFLES, before)
 
 
+def discard(table: DataFrame) -> None:
+    """Remove a table of :func:`materialize` that nothing reads any more."""
+    row = table.select("_metadata.file_path").first()
+    if row:
+        session.remove(table.sparkSession, row["file_path"].rsplit("/", 1)[0])
+
+
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= MAX_VOCABULARY:
@@ -345,28 +352,59 @@ def _cross(v: list, n: list, c: list, bits: list, side: list, percent: int) -> I
 def tile_pairs(members: DataFrame, percent: int) -> DataFrame:
     """Pairs of one key in different components that their bitmaps do not rule out.
 
-    ``members`` has ``key, part, v, n, c, bits, side``. A run is sorted by size and cut into tiles; a tile meets itself and the
-    tiles after it as long as sizes allow. A run holds no more sets than two parts of a common shingle.
+    ``members`` has ``key, part, v, n, c, bits, side``; returns ``key, part, a, b``. A run is sorted by size and cut into tiles; a tile
+    meets itself and the tiles after it as long as sizes allow. A run holds no more sets than two parts of a common shingle.
     """
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    schema = pa.schema([("key", pa.int64()), ("part", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
+
+    def met(held: list, key: int, part: int) -> list[tuple]:
+        return [(key, part, a, b) for a, b in _cross(*zip(*held), percent)] if len(held) > 1 else []
 
     def run(batches: Batches) -> Batches:
-        out: list[tuple[bytes, bytes]] = []
-        now, held = None, []
+        out: list[tuple] = []
+        now, held = (0, -1), []
         for rows in batches:
             for key, part, *member in zip(*(c.to_pylist() for c in rows.columns)):
                 if (key, part) != now:
-                    out += _cross(*zip(*held), percent) if len(held) > 1 else []
+                    out += met(held, *now)
                     now, held = (key, part), []
                     if len(out) >= PAIRS:
                         yield batch(schema, list(zip(*out)))
                         out = []
                 held.append(member)
-        out += _cross(*zip(*held), percent) if len(held) > 1 else []
+        out += met(held, *now)
         if out:
             yield batch(schema, list(zip(*out)))
 
     rows = members.select("key", "part", "v", "n", "c", "bits", "side").repartition("key", "part").sortWithinPartitions("key", "part")
+    return rows.mapInArrow(run, "key bigint, part int, a binary, b binary")
+
+
+def close_pairs(met: DataFrame, prints: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of ``key, part, a, b`` whose fingerprints (``v, f``) leave room for the threshold.
+
+    The fingerprints of a set travel once for each run that it has pairs in, not once for each pair. A run holds those of its sets.
+    """
+    ends = [met.select("key", "part", F.col(x).alias("v")) for x in "ab"]
+    held = ends[0].unionByName(ends[1]).distinct().join(prints, "v").select("key", "part", "v", "f", F.lit(None).cast("binary").alias("b"))
+    asked = met.select("key", "part", F.col("a").alias("v"), F.lit(None).cast("binary").alias("f"), "b")
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def run(batches: Batches) -> Batches:
+        marks, now, known = np.zeros(1 << 16, bool), None, {}
+        for rows in batches:
+            out = []
+            for key, part, v, f, b in zip(*(c.to_pylist() for c in rows.columns)):
+                if (key, part) != now:
+                    now, known = (key, part), {}
+                if b is None:
+                    known[v] = np.frombuffer(f, np.uint16)
+                elif _close(known[v], known[b], marks, percent):
+                    out.append((v, b))
+            if out:
+                yield batch(schema, list(zip(*out)))
+
+    rows = held.unionByName(asked).repartition("key", "part").sortWithinPartitions("key", "part", F.col("b").isNotNull())
     return rows.mapInArrow(run, "a binary, b binary")
 
 
@@ -414,6 +452,7 @@ def jaccard_components(
 
     bits = signed.select("v", "n", "bits").join(shared.select("v").distinct(), "v", "left_semi")
     bits = materialize(bits.dropDuplicates(["v"]), "bitmaps")
+    discard(signed)
 
     near = F.lit(100) * F.least("n", "pivot_n") >= F.lit(percent) * F.greatest("n", "pivot_n")
     heads = shared.filter("part >= 0").select("key", F.lit(-1).alias("part"), F.col("pivot").alias("v"), F.col("pivot_n").alias("n"))
@@ -421,11 +460,13 @@ def jaccard_components(
     pairs = star.select(F.least("v", "pivot").alias("a"), F.greatest("v", "pivot").alias("b")).distinct()
     pairs = materialize(pairs, "star-pairs")
     bounded = materialize(_bound(pairs, bits, percent), "bounded-pairs")
-    sets = _sets_of(documents, rows, bounded, words)
+    sets = _sets_of(documents, rows, _ends(bounded), words)
     edges, labels = _connect(_fine(bounded, sets, percent), sets, None, None, ["b"], percent)
+    discard(sets)
 
     members = lookup_join(_gathered(shared, hot), labels, ["v"]).withColumn("c", F.coalesce("c", "v"))
     members = materialize(members, "members")
+    discard(shared)
     who = [F.bit_xor(F.xxhash64("v", F.lit(i))).alias(f"_who{i}") for i in (1, 2)]
     split = members.groupBy("key").agg(F.count("*").alias("_n"), F.min("c").alias("_low"), F.max("c").alias("_high"), *who)
     split = split.filter("_n > 2 AND _low < _high")  # a pair alone has met as pivot and member
@@ -440,11 +481,14 @@ def jaccard_components(
     alone = common.filter("side IS NULL").unionByName(rare.withColumn("_q", F.lit(0)))
     # A part that meets another has its sides marked; both rows of a pair of parts carry the same part number.
     crossing = common.filter("side IS NOT NULL")
-    more = tile_pairs(alone.drop("_q"), percent).unionByName(tile_pairs(crossing.drop("_q"), percent)).distinct()
-    more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "tile-pairs")
+    more = tile_pairs(alone.drop("_q"), percent).unionByName(tile_pairs(crossing.drop("_q"), percent))
+    more = more.groupBy("a", "b").agg(F.min(F.struct("key", "part")).alias("_at")).join(pairs, ["a", "b"], "left_anti")
+    more = materialize(more.select("_at.*", "a", "b"), "tile-pairs")
     if not more.isEmpty():
-        sets = _sets_of(documents, rows, more, words)
-        labels = _connect(_fine(more, sets, percent), sets, edges, labels, ["_ca", "_cb"], percent)[1]
+        prints = _sets_of(documents, rows, _ends(more), words, ("v", "f"))
+        more = materialize(close_pairs(more, prints, percent), "fine-pairs")
+        sets = _sets_of(documents, rows, _ends(more), words)
+        labels = _connect(more, sets, edges, labels, ["_ca", "_cb"], percent)[1]
 
     texts_of = rows.filter("v IS NOT NULL").groupBy("v").agg(F.min("doc_id").alias("_first"))
     texts_of = lookup_join(texts_of, labels, ["v"]).withColumn("c", F.coalesce("c", "v"))
@@ -459,10 +503,14 @@ def jaccard_components(
         F.coalesce("_component", "doc_id").cast(kind).alias("component_id"))
 
 
-def _sets_of(documents: DataFrame, rows: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """``v, s``: the shingles of all sets in ``pairs``, made again from one text each; no other texts are looked at."""
-    wanted = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct()
-    carriers = rows.join(wanted, "v", "left_semi").groupBy("v").agg(F.min("doc_id").alias("_doc"))
+def _ends(pairs: DataFrame) -> DataFrame:
+    """``v`` of both ends of all pairs."""
+    return pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v")))
+
+
+def _sets_of(documents: DataFrame, rows: DataFrame, wanted: DataFrame, words: int, columns: tuple[str, ...] = ("v", "f", "s")) -> DataFrame:
+    """``v``, fingerprints ``f`` and shingles ``s`` of the sets in ``wanted``, made again from one text each; no other texts are looked at."""
+    carriers = rows.join(wanted.distinct(), "v", "left_semi").groupBy("v").agg(F.min("doc_id").alias("_doc"))
     carriers = materialize(carriers.select("_doc").distinct(), "carriers")
     docs = documents.selectExpr("CAST(doc_id AS bigint) AS doc_id", "text")
     small = F.broadcast(carriers) if fits_broadcast(carriers) else carriers
@@ -475,7 +523,8 @@ def _sets_of(documents: DataFrame, rows: DataFrame, pairs: DataFrame, words: int
                 made = list(_sets(found.slice(start, 100), words))
                 yield batch(schema, [[v for v, _ in made], [fingerprints(s) for _, s in made], [s.tobytes() for _, s in made]])
 
-    return materialize(docs.mapInArrow(run, "v binary, f binary, s binary").dropDuplicates(["v"]), "sets")
+    made = docs.mapInArrow(run, "v binary, f binary, s binary").select(*columns)
+    return materialize(made.dropDuplicates(["v"]), "sets")
 
 
 def fingerprints(s: np.ndarray) -> bytes:
@@ -483,6 +532,16 @@ def fingerprints(s: np.ndarray) -> bytes:
     return (s >> np.uint64(20)).astype(np.uint16).tobytes()
 
 
+def _close(x: np.ndarray, y: np.ndarray, marks: np.ndarray, percent: int) -> bool:
+    """Whether the fingerprints of two sets leave room for the threshold; ``marks`` has a false for each value and is left so."""
+    most = min(len(x), len(y))
+    for one, other in ((x, y), (y, x)):
+        marks[one] = True
+        most = min(most, int(np.count_nonzero(marks[other])))
+        marks[one] = False
+    return (100 + percent) * most >= percent * (len(x) + len(y))
+
+
 def _fine(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs whose fingerprints leave room for the threshold; a quarter of the bytes of the sets moves for that."""
     left, right = (sets.select(F.col("v").alias(x), F.col("f").alias(f"{x}_f")) for x in "ab")
@@ -493,12 +552,7 @@ def _fine(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = []
             for x, y in zip(rows.column(2), rows.column(3)):
                 x, y = (np.frombuffer(z.as_buffer(), np.uint16) for z in (x, y))
-                most = min(len(x), len(y))
-                for one, other in ((x, y), (y, x)):
-                    marks[one] = True
-                    most = min(most, int(np.count_nonzero(marks[other])))
-                    marks[one] = False
-                keep.append((100 + percent) * most >= percent * (len(x) + len(y)))
+                keep.append(_close(x, y, marks, percent))
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([rows.column(0).filter(keep), rows.column(1).filter(keep)], names=["a", "b"])
 
