@@ -118,3 +118,38 @@ def test_both_ways_of_a_cap_keep_facts_without_a_key(spark):
     S.GROUP_LIMIT, old = 0, S.GROUP_LIMIT
     assert rows(S.cap_per_key(facts, "subject", 4)) == kept and len(kept) == 8
     S.GROUP_LIMIT = old
+
+
+def brute_shares(facts, shares):
+    """Cuts by trying every size from the largest down, one column after the other, until nothing changes."""
+    order = lambda f: (hashlib.md5((":".join(["42", *(x for x in f if x is not None)])).encode()).hexdigest(), repr(f))
+    facts, before = sorted(facts, key=order), None
+    while facts != before:
+        before = facts
+        for column, share in shares.items():
+            by = {}
+            for f in facts:
+                by.setdefault(f[S.FACT.index(column)], []).append(f)
+            most = lambda n: max(1, n * share // 1000)
+            n = next((n for n in range(len(facts), 0, -1) if sum(min(len(v), most(n)) for v in by.values()) >= n), 0)
+            facts = sorted((f for v in by.values() for f in v[:most(n)]), key=order)
+    return facts
+
+
+@pytest.mark.parametrize("shares", [
+    {"subject": 20, "relation": 300, "object": 60}, {"object": 1, "relation": 500}, {"relation": 999, "subject": 7}, {"relation": 100}])
+def test_shares_hold_together(spark, shares):
+    """A relation and an object with most of the facts, missing keys and equal facts; the same from one partition and from many."""
+    facts = [(f"s{i % 97}" if i % 11 else None, "hot" if i % 5 else f"r{i % 4}", f"o{i % (3 if i % 2 else 41)}") for i in range(900)]
+    table = spark.createDataFrame(facts, FACTS)
+    found = rows(S.share_caps(table.repartition(7), shares))
+    assert found == rows(S.share_caps(table.coalesce(1), shares)) == sorted(brute_shares(facts, shares), key=repr)
+    for column, share in shares.items():
+        held = [f[S.FACT.index(column)] for f in found]
+        assert max(held.count(k) for k in set(held)) <= max(1, len(found) * share // 1000)
+
+
+def test_shares_of_nothing(spark):
+    assert rows(S.share_caps(spark.createDataFrame([], FACTS), {"subject": 10})) == []
+    with pytest.raises(ValueError):
+        S.share_caps(spark.createDataFrame([], FACTS), {"subject": 0})

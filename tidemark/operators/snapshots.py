@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as T
 from tidemark.operators.ordinals import with_hash_position
 from tidemark.operators.sampling import order_hash
+from tidemark.session import materialize
 
 FACT = ["subject", "relation", "object"]
 # Spark trims ranked groups before the shuffle up to this rank (spark.sql.optimizer.windowGroupLimitThreshold).
@@ -121,6 +122,48 @@ def cap_per_key(facts: DataFrame, key: str | list[str], cap: int, seed: int = 42
     return ranked.filter(F.col("_rank") < cap).drop("_hash", "_rank")
 
 
+def share_size(total: int, largest: list[int], share: int) -> int:
+    """Facts that stay when no key may hold more than ``share`` in 1,000 of what stays, or one fact where that is less than one.
+
+    The largest ``n`` with ``n`` = sum of ``min(count, max(1, n * share // 1000))`` over all keys. ``largest`` holds the counts of the
+    ``2000 // share + 1`` largest keys: no more than these can lie over their share in the end.
+    """
+    others = total - sum(largest)
+    size = total
+    while True:
+        most = max(1, size * share // 1000)
+        left = others + sum(min(n, most) for n in largest)
+        if left == size:
+            return size
+        size = left
+
+
+def share_caps(facts: DataFrame, shares: dict[str, int], seed: int = 42) -> DataFrame:
+    """Facts of which no subject, relation or object holds more than its share, in 1,000 of the facts that stay.
+
+    Every key keeps at least one fact, a missing key is a key like any other, and equal facts count each. ``shares`` maps columns to
+    shares from 1 to 1,000. One column after the other is cut to the largest set that keeps its share; as
+    that makes the set smaller, and with it the shares of the others, rounds go on until one removes nothing. Each key keeps its first facts in hash order, so
+    the result depends on neither partitioning nor the order of rows. Only the counts of the ``2000 // share + 1`` largest keys
+    reach the driver, at most 2,001.
+    """
+    for column, share in shares.items():
+        if not 1 <= share <= 1_000:
+            raise ValueError(f"the share of {column} is {share}, not within 1 and 1000")
+    facts = materialize(facts, "facts")
+    size, before = facts.count(), -1
+    while size != before:
+        before = size
+        for column, share in shares.items():
+            counts = facts.groupBy(column).agg(F.count("*").alias("_n")).orderBy(F.desc("_n")).limit(2_000 // share + 1)
+            largest = [r["_n"] for r in counts.select("_n").collect()]
+            left = share_size(size, largest, share)
+            if left < size:
+                facts = materialize(cap_per_key(facts, column, max(1, left * share // 1000), seed), "facts")
+                size = left
+    return facts
+
+
 def filter_facts(
     facts: DataFrame, max_object_words: int = 5, caps: dict[str, int] | None = None, seed: int = 42
 ) -> DataFrame:
