@@ -70,6 +70,44 @@ def test_align_facts(spark):
     assert rows(S.align_facts(facts, pages, diff)) == [("P", "r", "red", "changed"), ("Q", "r", "red", "unchanged")]
 
 
+@pytest.mark.parametrize("together", [1, 3, 1_000])
+def test_align_many_objects(spark, monkeypatch, together):
+    """Objects inside one another, empty and missing ones, equal facts, pages that share a title; a subject with most facts, in lists of any length."""
+    monkeypatch.setattr(S, "OBJECTS", together)
+    names = ["he", "she", "hers", "his", "", None, "é", "a b", "zz"]
+    facts = [("P", f"r{i}", o, split) for i, o in enumerate(names * 2) for split in ("changed", "unchanged")]
+    facts += [("Q", "r", "his", "changed")] * 2 + [("R", "r", "he", "changed"), (None, "r", "he", "changed"), ("S", "r", "", "changed")]
+    pages = [("P", "ushers a b"), ("P", "this é"), ("Q", "his"), ("R", None), (None, "he"), ("T", "he"), ("S", "")]
+    diff = [("P", "updated"), ("Q", "new"), ("R", "new"), ("S", "new"), ("T", "deleted"), (None, "new")]
+    expected = sorted((f for f in facts for title, text in pages for t, status in diff
+                       if title is not None and f[0] == title == t and f[2] is not None and text is not None and f[2] in text
+                       and status != "deleted" and (status == "unchanged") == (f[3] == "unchanged")), key=repr)
+    found = S.align_facts(
+        spark.createDataFrame(facts, FACTS + ", split string"), spark.createDataFrame(pages, "title string, text string"),
+        spark.createDataFrame(diff, "title string, status string"))
+    assert rows(found) == expected and expected
+
+
+def test_align_moves_texts_once(spark, capsys):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        pages = spark.range(9).select(F.col("id").cast("string").alias("title"), F.concat(F.lit("the "), "id").alias("text"))
+        diff = S.page_diff(pages, pages, "title")
+        facts = pages.select(F.col("title").alias("subject"), F.lit("r").alias("relation"), F.col("title").alias("object"),
+                             F.lit("unchanged").alias("split"))
+        found = S.align_facts(facts, pages, diff)
+        capsys.readouterr()
+        found.explain("formatted")
+        plan = capsys.readouterr().out
+        moved = [p for p in plan.split("\n\n") if "Exchange" in p.splitlines()[0] and "_text#" in p]
+        assert len(moved) == 1
+        assert found.count() == 9
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_plausible_facts(spark):
     facts = spark.createDataFrame(
         [("Paris", "r", "paris hilton"), ("New York City", "r", "new york"), ("a", "r", "one two three"), ("x", "r", "good one")], FACTS

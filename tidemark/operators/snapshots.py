@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,11 +13,14 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as T
 from tidemark.operators.ordinals import with_hash_position
 from tidemark.operators.sampling import order_hash
-from tidemark.session import materialize
+from tidemark.operators.skew import lookup_join
+from tidemark.session import bound_batches, materialize
 
 FACT = ["subject", "relation", "object"]
 # Spark trims ranked groups before the shuffle up to this rank (spark.sql.optimizer.windowGroupLimitThreshold).
 GROUP_LIMIT = 1_000
+OBJECTS = 1_000  # objects that meet a page's text together, give or take what hashing does
+_TOLD = pa.schema([("subject", pa.string()), ("split", pa.string()), ("object", pa.string())])
 
 
 def page_diff(prev: DataFrame, curr: DataFrame, key: str = "page_id", text: str = "text") -> DataFrame:
@@ -86,16 +93,49 @@ def fact_diff(prev: DataFrame, curr: DataFrame) -> DataFrame:
     return found.withColumn("split", F.when(F.col("status") == "unchanged", "unchanged").otherwise("changed"))
 
 
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Objects that a page's text holds. An automaton of the page's objects reads the text once, however many there are."""
+    for rows in batches:
+        subjects, splits, objects = [], [], []
+        columns = (rows.column(name).to_pylist() for name in ("subject", "split", "_objects", "_text"))
+        for subject, split, wanted, text in zip(*columns):
+            if text is None:
+                continue
+            words = ahocorasick.Automaton()
+            for word in filter(None, wanted):
+                words.add_word(word, word)
+            words.make_automaton()
+            found = {word for _, word in words.iter(text)} if len(words) else set()
+            found |= {"" for word in wanted if not word}  # every text holds the empty one
+            subjects += [subject] * len(found)
+            splits += [split] * len(found)
+            objects += found
+        yield pa.RecordBatch.from_pydict({"subject": subjects, "split": splits, "object": objects}, schema=_TOLD)
+
+
 def align_facts(facts: DataFrame, pages: DataFrame, diff: DataFrame, key: str = "title", text: str = "text") -> DataFrame:
     """Facts that a page of their kind tells.
 
     A changed fact needs a new or updated page, an unchanged fact an unchanged one, with the
-    subject as its title and the object in its text. ``facts`` has ``split``, ``diff`` has ``status``.
+    subject as its title and the object in its text. ``facts`` has ``split``, ``diff`` has ``status``. Facts without a subject or object, and
+    pages without a title or text, tell nothing; a fact told by several pages of one title comes once for each.
+
+    The objects of a subject travel in lists of about ``OBJECTS``, so a subject with most of the facts is many rows, and each list meets the
+    page's text once. Texts take part in one join by title, and in nothing else.
     """
+    bound_batches(pages.sparkSession)
+    wanted = facts.filter("object IS NOT NULL").select("subject", "split", F.col("object").cast("string").alias("object"))
+    wanted = materialize(wanted.distinct(), "objects")
+    large = wanted.groupBy("subject", "split").agg(F.count("*").alias("_n")).filter(F.col("_n") > OBJECTS)
+    placed = lookup_join(wanted, materialize(large, "large-subjects"), ["subject", "split"])
+    place = F.pmod(F.xxhash64("object"), F.ceil(F.coalesce("_n", F.lit(1)) / OBJECTS))
+    lists = placed.groupBy("subject", "split", place.alias("_place")).agg(F.collect_list("object").alias("_objects"))
     kind = F.when(F.col("status") == "unchanged", "unchanged").otherwise("changed")
-    kinds = diff.filter(F.col("status") != "deleted").select(key, kind.alias("split"))
-    told = pages.select(key, text).join(kinds, key).withColumnRenamed(key, "subject")
-    return facts.join(told, ["subject", "split"]).filter(F.contains(text, "object")).select(facts.columns)
+    kinds = diff.filter(F.col("status") != "deleted").select(F.col(key).alias("subject"), kind.alias("split"))
+    asked = lists.join(kinds, ["subject", "split"]).select("subject", "split", "_objects")
+    texts = pages.select(F.col(key).alias("subject"), F.col(text).alias("_text"))
+    told = texts.join(asked, "subject").mapInArrow(_told, "subject string, split string, object string")
+    return facts.join(told, ["subject", "split", "object"]).select(facts.columns)
 
 
 def plausible_facts(facts: DataFrame, max_object_words: int = 5) -> DataFrame:

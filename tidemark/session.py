@@ -47,6 +47,12 @@ def build_session(
     return builder.getOrCreate()
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session, so that long texts fit beside the executor's heap; one row is never cut."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 * 1024 * 1024))
+
+
 _local_scratch: dict[str, str] = {}
 
 
