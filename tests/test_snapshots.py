@@ -70,10 +70,11 @@ def test_align_facts(spark):
     assert rows(S.align_facts(facts, pages, diff)) == [("P", "r", "red", "changed"), ("Q", "r", "red", "unchanged")]
 
 
-@pytest.mark.parametrize("together", [1, 3, 1_000])
-def test_align_many_objects(spark, monkeypatch, together):
+@pytest.mark.parametrize(("together", "few"), [(1, 8), (3, 0), (1_000, 0), (1_000, 1)])
+def test_align_many_objects(spark, monkeypatch, together, few):
     """Objects inside one another, empty and missing ones, equal facts, pages that share a title; a subject with most facts, in lists of any length."""
     monkeypatch.setattr(S, "OBJECTS", together)
+    monkeypatch.setattr(S, "FEW_OBJECTS", few)
     names = ["he", "she", "hers", "his", "", None, "é", "a b", "zz"]
     facts = [("P", f"r{i}", o, split) for i, o in enumerate(names * 2) for split in ("changed", "unchanged")]
     facts += [("Q", "r", "his", "changed")] * 2 + [("R", "r", "he", "changed"), (None, "r", "he", "changed"), ("S", "r", "", "changed")]
@@ -100,7 +101,7 @@ def test_align_moves_texts_once(spark, capsys):
         capsys.readouterr()
         found.explain("formatted")
         plan = capsys.readouterr().out
-        moved = [p for p in plan.split("\n\n") if "Exchange" in p.splitlines()[0] and "_text#" in p]
+        moved = [p for p in plan.split("\n\n") if " Exchange" in p.splitlines()[0] and "_text#" in p]
         assert len(moved) == 1
         assert found.count() == 9
     finally:

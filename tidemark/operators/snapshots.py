@@ -20,6 +20,7 @@ FACT = ["subject", "relation", "object"]
 # Spark trims ranked groups before the shuffle up to this rank (spark.sql.optimizer.windowGroupLimitThreshold).
 GROUP_LIMIT = 1_000
 OBJECTS = 1_000  # objects that meet a page's text together, give or take what hashing does
+FEW_OBJECTS = 8  # so many are looked for one by one, which takes no Python
 _TOLD = pa.schema([("subject", pa.string()), ("split", pa.string()), ("object", pa.string())])
 
 
@@ -121,20 +122,22 @@ def align_facts(facts: DataFrame, pages: DataFrame, diff: DataFrame, key: str =
     pages without a title or text, tell nothing; a fact told by several pages of one title comes once for each.
 
     The objects of a subject travel in lists of about ``OBJECTS``, so a subject with most of the facts is many rows, and each list meets the
-    page's text once. Texts take part in one join by title, and in nothing else.
+    page's text once: lists of more than ``FEW_OBJECTS`` by an automaton, shorter ones object by object. Texts are moved once, for the join by title.
     """
     bound_batches(pages.sparkSession)
-    wanted = facts.filter("object IS NOT NULL").select("subject", "split", F.col("object").cast("string").alias("object"))
-    wanted = materialize(wanted.distinct(), "objects")
-    large = wanted.groupBy("subject", "split").agg(F.count("*").alias("_n")).filter(F.col("_n") > OBJECTS)
-    placed = lookup_join(wanted, materialize(large, "large-subjects"), ["subject", "split"])
+    facts = materialize(facts.filter("subject IS NOT NULL AND object IS NOT NULL"), "facts")
+    large = facts.groupBy("subject", "split").agg(F.count("*").alias("_n")).filter(F.col("_n") > OBJECTS)
+    placed = lookup_join(facts.select("subject", "split", "object"), materialize(large, "large-subjects"), ["subject", "split"])
     place = F.pmod(F.xxhash64("object"), F.ceil(F.coalesce("_n", F.lit(1)) / OBJECTS))
-    lists = placed.groupBy("subject", "split", place.alias("_place")).agg(F.collect_list("object").alias("_objects"))
+    lists = placed.groupBy("subject", "split", place.alias("_place")).agg(F.collect_set("object").alias("_objects"))
     kind = F.when(F.col("status") == "unchanged", "unchanged").otherwise("changed")
     kinds = diff.filter(F.col("status") != "deleted").select(F.col(key).alias("subject"), kind.alias("split"))
-    asked = lists.join(kinds, ["subject", "split"]).select("subject", "split", "_objects")
-    texts = pages.select(F.col(key).alias("subject"), F.col(text).alias("_text"))
-    told = texts.join(asked, "subject").mapInArrow(_told, "subject string, split string, object string")
+    asked = lists.join(kinds, ["subject", "split"]).select("subject", "split", "_objects", (F.size("_objects") > FEW_OBJECTS).alias("_many"))
+    met = pages.select(F.col(key).alias("subject"), F.col(text).alias("_text")).join(asked, "subject")
+    held = F.filter("_objects", lambda word: F.contains("_text", word))
+    few = met.filter(~F.col("_many")).select("subject", "split", F.explode(held).alias("object"))
+    many = met.filter("_many").mapInArrow(_told, "subject string, split string, object string")
+    told = few.unionByName(many)
     return facts.join(told, ["subject", "split", "object"]).select(facts.columns)
 
 
