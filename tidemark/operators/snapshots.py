@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -96,6 +95,8 @@ def fact_diff(prev: DataFrame, curr: DataFrame) -> DataFrame:
 
 def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Objects that a page's text holds. An automaton of the page's objects reads the text once, however many there are."""
+    import ahocorasick  # only tasks need it
+
     for rows in batches:
         subjects, splits, objects = [], [], []
         columns = (rows.column(name).to_pylist() for name in ("subject", "split", "_objects", "_text"))
