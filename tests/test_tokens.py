@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from tidemark.operators import ngrams, vocabulary, wordclass
+from tidemark.operators import ngrams, ordinals, perplexity, validation, vocabulary, wordclass
 from tidemark.plans import continual, evaluate
 from tidemark.session import materialize
 
@@ -206,3 +206,22 @@ def test_corpus_perplexity(spark, corpus):
         batch = [loss(v, t) for x in TEXTS[start:start + 2] for v, t in pairs(x)]
         means.append(sum(batch) / len(batch))
     assert row["all"] == pytest.approx(math.exp(sum(means) / len(means)))
+
+
+def test_perplexity_grid_writes_no_tokens(spark, monkeypatch):
+    """Every method and split equals scoring each token, a null split included, and what is written down are texts and batches."""
+    texts = [("changed", i, x) for i, x in enumerate([*TEXTS, None])] + [(None, 9, "The cat sat."), ("empty", 10, "")]
+    checked = spark.createDataFrame(texts, "split string, id int, text string")
+    first, more = (spark.createDataFrame([(x,) for x in part], "text string") for part in (TEXTS[:3], TEXTS[3:5]))
+    placed = continual.with_position(checked, ["id"], ["split"])
+    expected = set()
+    for method, model in (("a", ngrams.train(first)), ("b", ngrams.merge(ngrams.train(first), ngrams.train(more)))):
+        scored = ngrams.score_corpus(placed, "position", ngrams.scorer(model), 2, by=["split"])
+        expected |= {(method, r["split"], round(r["ppl"], 9)) for r in perplexity.perplexity(scored, ["split"]).collect()}
+    written = []
+    for module in (ngrams, validation, ordinals):
+        monkeypatch.setattr(module, "materialize", lambda df, label: written.append(label) or materialize(df, label))
+    found = continual.perplexity_grid([(first, ["a", "b"]), (more, ["b"])], checked, "id", 2)
+    assert {(r["method"], r["split"], round(r["ppl"], 9)) for r in found.collect()} == expected and len(expected) == 4
+    assert written == ["positions", "batch-sizes"]
+    assert continual.perplexity_grid([(first, ["a"])], checked.limit(0), "id", 2).count() == 0

@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import text as T
 from tidemark.operators.ngrams import BACKOFF, bigram_rows
 from tidemark.operators.ordinals import batch_of
-from tidemark.operators.skew import lookup_join
+from tidemark.operators.skew import fits_broadcast, lookup_join
 from tidemark.session import exists, materialize
 from tidemark.sources.tables import metric_rows
 
@@ -22,6 +23,31 @@ WORDS = "token string, step int"
 TOTALS = "split string, value double, unseen double, n_tokens long, n_words long, step int"
 
 
+def batch_sizes(texts: DataFrame, position: str, batch_size: int, text: str = "text", split: str = "split") -> DataFrame:
+    """``split, batch_id, weight``: what a token of each batch weighs, one over the tokens of its batch and the batches of its split.
+
+    Tokens are counted inside the text; batches without tokens weigh nothing and are left out.
+    """
+    counted = texts.select(F.col(split).alias("split"), batch_of(F.col(position), batch_size).alias("batch_id"),
+                           F.regexp_count(text, F.lit(T.TOKEN)).cast("long").alias("n"))
+    batches = materialize(counted.groupBy("split", "batch_id").agg(F.sum("n").alias("n")).filter("n > 0"), "batch-sizes")
+    splits = batches.groupBy(F.col("split").alias("_s")).agg(F.count("*").alias("batches"))
+    met = batches.join(F.broadcast(splits), F.col("split").eqNullSafe(F.col("_s")))
+    return met.select("split", "batch_id", (1 / (F.col("n") * F.col("batches"))).alias("weight"))
+
+
+def weighted_tokens(
+    texts: DataFrame, sizes: DataFrame, position: str, batch_size: int, text: str = "text", split: str = "split"
+) -> DataFrame:
+    """``split, weight, pos, prev, token`` of every token, with the weights of :func:`batch_sizes`."""
+    placed = texts.select(F.col(split).alias("split"), batch_of(F.col(position), batch_size).alias("batch_id"), F.col(text).alias("_text"))
+    sizes = sizes.select(F.col("split").alias("_split"), F.col("batch_id").alias("_batch"), "weight")
+    if fits_broadcast(sizes):
+        sizes = F.broadcast(sizes)
+    met = placed.join(sizes, F.col("split").eqNullSafe(F.col("_split")) & (F.col("batch_id") == F.col("_batch")))
+    return bigram_rows(met, ["split", "weight"], "_text")
+
+
 def start(texts: DataFrame, position: str, batch_size: int, folder: str, text: str = "text", split: str = "split") -> None:
     """Write down what is validated: the weight of every pair of tokens in each split, before any training.
 
@@ -29,15 +55,9 @@ def start(texts: DataFrame, position: str, batch_size: int, folder: str, text: s
     weights add up to 1 in a split and the weighted sum of losses is the mean over batches of each batch's mean loss. Texts without
     tokens weigh nothing, a null split is a split.
     """
-    placed = texts.select(F.col(split).alias("split"), batch_of(F.col(position), batch_size).alias("batch_id"), text)
-    counted = bigram_rows(placed, ["split", "batch_id"], text).groupBy("split", "batch_id", "prev", "token").agg(F.count("*").alias("n"))
-    counted = materialize(counted, "validated")
-    batches = counted.groupBy("split", "batch_id").agg(F.sum("n").alias("of_batch"))
-    splits = batches.groupBy("split").agg(F.count("*").alias("batches"))
-    sizes = batches.withColumnRenamed("split", "_s").join(splits, F.col("_s").eqNullSafe(F.col("split")))
-    sizes = sizes.select(F.col("_s").alias("_split"), F.col("batch_id").alias("_batch"), (F.col("of_batch") * F.col("batches")).alias("_of"))
-    met = counted.join(sizes, F.col("split").eqNullSafe(F.col("_split")) & (F.col("batch_id") == F.col("_batch")))
-    pairs = met.groupBy("split", "prev", "token").agg(F.sum(F.col("n") / F.col("_of")).alias("weight"))
+    sizes = batch_sizes(texts, position, batch_size, text, split)
+    weighted = weighted_tokens(texts, sizes, position, batch_size, text, split)
+    pairs = weighted.groupBy("split", "prev", "token").agg(F.sum("weight").alias("weight"))
     pairs.write.mode("overwrite").parquet(f"{folder}/pairs")
     spark = texts.sparkSession
     pairs = spark.read.parquet(f"{folder}/pairs")

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import ngrams
+from tidemark.operators import ngrams, validation
 from tidemark.operators.ordinals import with_position
-from tidemark.operators.perplexity import perplexity
 from tidemark.operators.sampling import replay_mix
 
 
@@ -32,16 +31,49 @@ def mix_review(model: DataFrame, diff: DataFrame, old: DataFrame, ids: list[str]
 
 
 def perplexity_grid(
-    models: dict[str, DataFrame], texts: DataFrame, example: str, batch_size: int, split: str = "split"
+    corpora: list[tuple[DataFrame, list[str]]], texts: DataFrame, example: str, batch_size: int, split: str = "split"
 ) -> DataFrame:
-    """``method, split, ppl`` of every model on every split of ``texts``.
+    """``method, split, ppl`` of count models on every split of ``texts``.
 
-    Numbering the texts writes them down once, in the order of their batches; each model then reads them there.
+    ``corpora`` has tables of texts, each with the methods whose models learn from it. All pairs of tokens, learnt or validated, are
+    counted in one pass with a column for each method and each split (of which there are few), so the models and the tokens are
+    never written down. The loss falls apart into terms by pair, context and token as in :mod:`tidemark.operators.validation`.
     """
+    methods = list(dict.fromkeys(m for _, names in corpora for m in names))
     placed = with_position(texts.select(split, example, "text"), [example], [split])
-    result = None
-    for method, model in models.items():
-        losses = ngrams.score_corpus(placed, "position", ngrams.scorer(model), batch_size, by=[split])
-        part = perplexity(losses, [split]).withColumn("method", F.lit(method))
-        result = part if result is None else result.unionByName(part)
-    return result
+    sizes = validation.batch_sizes(placed, "position", batch_size, split=split)
+    splits = [r["split"] for r in sizes.select("split").distinct().collect()]
+    if not splits:
+        return texts.select(F.lit("").alias("method"), split, F.lit(0.0).alias("ppl")).limit(0)
+    ns, ws = [f"_n{i}" for i in range(len(methods))], [f"_w{j}" for j in range(len(splits))]
+    pair = F.concat_ws(" ", "prev", "token").alias("_pair")  # no token holds a blank
+    rows = validation.weighted_tokens(placed, sizes, "position", batch_size, split=split).select(
+        pair, *[F.lit(0).alias(n) for n in ns],
+        *[F.when(F.col("split").eqNullSafe(F.lit(s)), F.col("weight")).otherwise(0.0).alias(w) for s, w in zip(splits, ws)])
+    for corpus, names in corpora:
+        rows = rows.unionByName(ngrams.bigram_rows(corpus, []).select(
+            pair, *[F.lit(int(m in names)).alias(n) for m, n in zip(methods, ns)], *[F.lit(0.0).alias(w) for w in ws]))
+    pairs = rows.groupBy("_pair").agg(*[F.sum(c).alias(c) for c in (*ns, *ws)])
+
+    # A seen pair weighs at its context, an unseen one at its token. Every pair is one row for either.
+    ends = F.array(F.struct(F.lit(True).alias("_context"), F.substring_index("_pair", " ", 1).alias("_key")),
+                   F.struct(F.lit(False).alias("_context"), F.substring_index("_pair", " ", -1).alias("_key")))
+    ends = pairs.select(F.explode(ends).alias("_end"), *ns, *ws).select("_end.*", *ns, *ws)
+    grid = [(n, w, f"{n}{w}") for n in ns for w in ws]
+    here = lambda n: F.col("_context") == (F.col(n) > 0)
+    sums = ends.groupBy("_context", "_key").agg(
+        *[F.sum(n).alias(n) for n in ns],
+        *[F.sum(F.when(here(n), F.col(w)).otherwise(0.0)).alias(x) for n, w, x in grid],
+        *[F.sum(F.when(F.col("_context") & (F.col(n) > 0), F.col(w) * F.log(n)).otherwise(0.0)).alias(f"{x}_pairs") for n, w, x in grid])
+    term = lambda n, x: F.when(~F.col("_context"), -F.col(x) * F.log(F.col(n) + 1)).otherwise(
+        F.when(F.col(n) > 0, F.col(x) * F.log(n)).otherwise(0.0) - F.col(f"{x}_pairs"))
+    of_token = lambda value: F.sum(F.when(F.col("_context"), 0).otherwise(value))
+    found = sums.agg(
+        *[F.sum(term(n, x)).alias(x) for n, _, x in grid], *[of_token(F.col(x)).alias(f"{x}_unseen") for _, _, x in grid],
+        *[F.log(of_token(F.col(n) + (F.col(n) > 0).cast("int")) + 1).alias(n) for n in ns])
+    kind = texts.schema[split].dataType
+    losses = [F.struct(F.lit(m).alias("method"), F.lit(s).cast(kind).alias(split),
+                       (F.col(f"{n}{w}") + F.col(f"{n}{w}_unseen") * (F.col(n) - F.log(F.lit(ngrams.BACKOFF)))).alias("loss"))
+              for m, n in zip(methods, ns) for s, w in zip(splits, ws)]
+    found = found.select(F.explode(F.array(*losses)).alias("_l"))
+    return found.select("_l.method", f"_l.{split}", F.exp("_l.loss").alias("ppl"))

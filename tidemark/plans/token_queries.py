@@ -340,13 +340,12 @@ def grid_part(method: str, counts_sql: str) -> str:
     )
 )
 def perplexity_grid(t):
-    prev, curr = t.snap_prev, t.snap_curr
+    prev, curr = materialize(t.snap_prev, "prev-pages"), materialize(t.snap_curr, "curr-pages")
     diff = snapshots.page_diff(prev, curr)
     kind = F.when(F.col("status") == "unchanged", "unchanged").otherwise("changed").alias("split")
     texts = curr.join(diff.select("page_id", kind), "page_id")
-    first = continual.initial(prev)
-    models = {"initial": first, "brute_force": continual.brute_force(curr), "subset": continual.subset(first, diff_texts(t))}
-    grid = continual.perplexity_grid(models, texts, "page_id", 4)
+    corpora = [(prev, ["initial", "subset"]), (curr, ["brute_force"]), (snapshots.diff_corpus(prev, curr), ["subset"])]
+    grid = continual.perplexity_grid(corpora, texts, "page_id", 4)
     return grid.select("method", "split", F.round("ppl", 4).alias("ppl"))
 
 
