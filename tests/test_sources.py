@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from conftest import rows
 from tidemark.operators import ngrams, snapshots
 from tidemark.operators.hooks import score_with
+from tidemark.plans import source_queries
 from tidemark.sources import catalog, manifest, tables
 from tidemark.streaming import feed, live
 
@@ -172,3 +173,17 @@ def test_score_with_loads_once_per_task(spark):
 
     found = score_with(spark.range(5).withColumnRenamed("id", "example_id"), scorer)
     assert [r["nll"] for r in found.collect()] == [0.5] * 5
+
+
+def test_chunks_that_are_folders(spark, tmp_path):
+    """A chunk of several files is one chunk, and no file of the chunk queries holds a whole language."""
+    for name in ("b", "a", "a-b"):
+        spark.range(4).selectExpr(f"concat('{name}', id) AS text").repartition(2).write.option("header", True).csv(str(tmp_path / "in" / f"part={name}"))
+    found = tables.read_chunks(spark, str(tmp_path / "in" / "*"), "GPT2", folders=True)
+    assert {(r["chunk_no"], r["text"][:-1]) for r in found.collect()} == {(0, "a"), (1, "a-b"), (2, "b")} and found.count() == 12
+
+    class Given:
+        documents = spark.range(100).selectExpr("'en' AS lang", "concat('text ', id) AS text").repartition(4)
+
+    source_queries._write_chunks(Given, str(tmp_path / "out"), F.col("text"))
+    assert len(list((tmp_path / "out" / "part=en").glob("*.csv"))) == 4

@@ -87,17 +87,17 @@ def chunk_schema(family: str) -> str:
     return TEXT if family == "GPT2" else PAIR
 
 
-def read_chunks(spark: SparkSession, folder: str, family: str) -> DataFrame:
+def read_chunks(spark: SparkSession, folder: str, family: str, folders: bool = False) -> DataFrame:
     """All chunk files of a folder with ``chunk_no``, their order by file name.
 
-    The names are counted, not the rows: the ranking runs over one row per file.
+    With ``folders`` a chunk is a folder of files, which as many tasks read, and folders are numbered by name. The names are counted, not
+    the rows: the ranking runs over one row per chunk.
     """
     schema = chunk_schema(family)
-    files = (
-        spark.read.format("binaryFile").load(folder).select(F.col("_metadata.file_path").alias("_path"))
-        .withColumn("chunk_no", F.row_number().over(W.orderBy("_path")) - 1)
-    )
-    rows = read_csv(spark, folder, schema).withColumn("_path", F.col("_metadata.file_path"))
+    name = lambda: F.regexp_replace("_metadata.file_path", "/[^/]*$", "") if folders else F.col("_metadata.file_path")
+    files = spark.read.format("binaryFile").load(folder).select(name().alias("_path")).distinct().withColumn(
+        "chunk_no", F.row_number().over(W.orderBy("_path")) - 1)
+    rows = read_csv(spark, folder, schema).withColumn("_path", name())
     if fits_broadcast(files):
         files = F.broadcast(files)
     return rows.join(files, "_path").drop("_path")
