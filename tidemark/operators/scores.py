@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
-from tidemark.functions.arrays import multiset_overlap
+from tidemark.functions.arrays import multiset_overlap, sorted_overlap
 
 # Texts of up to this many characters are counted inside the row, where the work is quadratic.
 IN_ROW_CHARS = 400
@@ -44,45 +44,31 @@ def token_f1(
 ) -> DataFrame:
     """``ids`` and ``f1`` of every pair; a missing side has no tokens. Pairs with equal ids stay rows of their own.
 
-    Short pairs are counted inside the row without a shuffle. Longer ones are exploded and counted
-    by token, which is linear in the text length.
+    Short pairs are counted as they stand, longer ones by their sorted words; either way inside the row, without a shuffle.
     """
-    none = F.array().cast("array<string>")
+    return _scored(pairs, ids, prediction, target, in_row_chars).drop("em")
 
-    def split(rows: DataFrame) -> DataFrame:
-        return rows.select(
-            *ids, F.coalesce(T.answer_tokens(F.col(prediction)), none).alias("_p"),
-            F.coalesce(T.answer_tokens(F.col(target)), none).alias("_t"),
-        )
 
+def _scored(pairs: DataFrame, ids: list[str], prediction: str, target: str, in_row_chars: int) -> DataFrame:
+    """``ids``, ``em`` and ``f1``; every text is normalised once. Words and normalised texts are the same when the others are."""
+    none = F.array().cast("array<string>")
     # Without either side there is no length: nothing is long.
-    is_short = F.coalesce(F.greatest(F.length(prediction), F.length(target)) <= in_row_chars, F.lit(True))
-    short = split(pairs.filter(is_short)).select(
-        *ids, f1_of(multiset_overlap(F.col("_p"), F.col("_t")), F.size("_p"), F.size("_t")).alias("f1")
-    )
-    side = lambda tokens, here: F.transform(
-        tokens, lambda w: F.struct(w.alias("token"), F.lit(here).alias("p"), F.lit(1 - here).alias("t"))
-    )
-    counted = (
-        split(pairs.filter(~is_short))
-        .withColumn("_row", F.monotonically_increasing_id())
-        .select(*ids, "_row", F.explode_outer(F.concat(side(F.col("_p"), 1), side(F.col("_t"), 0))).alias("x"))
-        .groupBy(*ids, "_row", "x.token")
-        .agg(F.sum("x.p").alias("p"), F.sum("x.t").alias("t"))
+    short = F.coalesce(F.greatest(F.length(prediction), F.length(target)) <= in_row_chars, F.lit(True))
+    split = pairs.select(
+        *ids, short.alias("_short"), (F.col(prediction).isNotNull() & F.col(target).isNotNull()).alias("_both"),
+        F.coalesce(T.answer_tokens(F.col(prediction)), none).alias("_p"), F.coalesce(T.answer_tokens(F.col(target)), none).alias("_t"),
     )
-    # Two long texts without any word still give one row, with a null token.
-    long = (
-        counted.groupBy(*ids, "_row")
-        .agg(F.coalesce(F.sum(F.least("p", "t")), F.lit(0)).alias("same"), F.sum("p").alias("p"), F.sum("t").alias("t"))
-        .select(*ids, f1_of(F.col("same"), F.col("p"), F.col("t")).alias("f1"))
+    same = F.when(F.col("_short"), multiset_overlap(F.col("_p"), F.col("_t"))).otherwise(sorted_overlap(F.col("_p"), F.col("_t")))
+    counted = split.select(
+        *ids, (F.col("_both") & (F.col("_p") == F.col("_t"))).cast("int").alias("em"),
+        same.alias("_same"), F.size("_p").alias("_np"), F.size("_t").alias("_nt"),
     )
-    return short.unionByName(long)
+    return counted.select(*ids, "em", f1_of(F.col("_same"), F.col("_np"), F.col("_nt")).alias("f1"))
 
 
 def score_answers(pairs: DataFrame, ids: list[str], prediction: str = "prediction", target: str = "target") -> DataFrame:
     """``ids``, ``em`` and ``f1`` of every pair."""
-    pairs = pairs.withColumn("em", exact_match(prediction, target))
-    return token_f1(pairs, [*ids, "em"], prediction, target)
+    return _scored(pairs, ids, prediction, target, IN_ROW_CHARS)
 
 
 def score_short_answers(pairs: DataFrame, prediction: str = "prediction", target: str = "target") -> DataFrame:
