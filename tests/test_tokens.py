@@ -225,3 +225,18 @@ def test_perplexity_grid_writes_no_tokens(spark, monkeypatch):
     assert {(r["method"], r["split"], round(r["ppl"], 9)) for r in found.collect()} == expected and len(expected) == 4
     assert written == ["positions", "batch-sizes"]
     assert continual.perplexity_grid([(first, ["a"])], checked.limit(0), "id", 2).count() == 0
+
+
+def test_decode_makes_its_sequences_once(spark, words):
+    """Also where the vocabulary is too large for a broadcast and the tokens are read several times."""
+    made = spark.sparkContext.accumulator(0)
+
+    def sequence(i):
+        made.add(1)
+        return [vocabulary.PAD, 5 + i % 3, 6]
+
+    given = spark.range(20).select("id", F.udf(sequence, "array<int>")("id").alias("input_ids"))
+    found = vocabulary.decode(given, ["id"], words, broadcast_rows=0)
+    token = {r["token_id"]: r["token"] for r in words.collect()}
+    assert rows(found) == sorted(((i, f"{token[5 + i % 3]} {token[6]}") for i in range(20)), key=repr)
+    assert made.value == 20

@@ -66,7 +66,9 @@ def decode(
     placed = F.transform(sequence, lambda t, i: F.struct(i.alias("pos"), t.cast("long").alias("token_id")))
     placed = F.filter(placed, lambda c: c["token_id"] >= len(RESERVED))
     flat = rows.select(*ids, F.explode_outer(placed).alias("_c")).select(*ids, "_c.pos", "_c.token_id")
-    found = lookup_join(flat, vocabulary.select("token_id", "token"), ["token_id"], broadcast_rows=broadcast_rows)
+    found = lookup_join(
+        flat, vocabulary.select("token_id", "token"), ["token_id"], broadcast_rows=broadcast_rows, costly=True
+    )
     cell = F.when(F.col("token_id") >= len(RESERVED), F.struct("pos", "token"))
     texts = found.groupBy(*ids).agg(F.array_sort(F.collect_list(cell)).alias("_cells"))
     return texts.select(*ids, F.trim(F.array_join(F.col("_cells.token"), " ")).alias(name))
