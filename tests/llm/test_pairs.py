@@ -103,6 +103,27 @@ def test_groups_near_the_threshold_write_few_pairs(spark, docs, monkeypatch):
     assert max(df.count() for label, df in wrote if label == "tile-pairs") < 2_475
 
 
+def test_groups_at_the_threshold_write_rows_by_member(spark, docs, monkeypatch):
+    """A hundred and twenty texts around the threshold, 7,140 pairs: what the join writes of them goes with the texts."""
+    draw = random.Random(9)
+    words = [f"w{i}" for i in range(3_000)]
+    base = [draw.choice(words) for _ in range(400)]
+
+    def changed(k):
+        text = list(base)
+        for at in draw.sample(range(400), k):
+            text[at] = draw.choice(words)
+        return " ".join(text)
+
+    rows = [(i, changed(draw.choice([4, 5, 5, 6]))) for i in range(120)]
+    wrote = []
+    real = ngram_join.materialize
+    monkeypatch.setattr(ngram_join, "materialize", lambda df, label: (found := real(df, label), wrote.append((label, found.count())))[0])
+    found = ngram_join.jaccard_components(docs(rows))
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found.collect()) == components(rows)
+    assert sum(n for label, n in wrote if label == "tile-pairs") < 120
+
+
 def test_bitmaps_bound_the_overlap():
     rng = np.random.default_rng(0)
     for _ in range(300):
