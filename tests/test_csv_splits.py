@@ -67,3 +67,16 @@ def test_starts_beyond_the_broadcast(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(csv_splits, "fits_broadcast", lambda df: False)
     whole = tables.read_csv(spark, str(tmp_path), SCHEMA)
     assert rows(csv_splits.split_csv(spark, str(tmp_path), SCHEMA, split_bytes=80)) == rows(whole)
+
+
+def test_small_splits_share_tasks(spark, tmp_path, monkeypatch):
+    """A file of over 200 splits is written down by 32 tasks, four for each core, with the same rows."""
+    write(tmp_path / "a.csv", odd_rows(300, 6), quoting=csv.QUOTE_ALL)
+    size = (tmp_path / "a.csv").stat().st_size // 200
+    with csv_splits._split_bytes(spark, size):
+        assert csv_splits._lines(spark, str(tmp_path / "a.csv")).rdd.getNumPartitions() >= 200
+    wrote, real = {}, csv_splits.materialize
+    monkeypatch.setattr(csv_splits, "materialize", lambda df, label: wrote.setdefault(label, real(df, label)))
+    got = csv_splits.split_csv(spark, str(tmp_path), SCHEMA, split_bytes=size)
+    assert rows(got) == rows(tables.read_csv(spark, str(tmp_path), SCHEMA))
+    assert wrote["csv-records"].select("_metadata.file_path").distinct().count() <= 4 * spark.sparkContext.defaultParallelism

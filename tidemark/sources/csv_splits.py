@@ -19,10 +19,11 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.ordinals import with_position
 from tidemark.operators.skew import fits_broadcast
-from tidemark.session import materialize
+from tidemark.session import TASK_BYTES, materialize
 
 WHOLE, HEAD, MIDDLE, TAIL = range(4)  # a record; the end of one begun in an earlier split; a split within one; the beginning of one
 BATCH_ROWS = 10_000
+SPLITS = 2_000  # read by one task at most, however small they are
 
 
 @contextmanager
@@ -47,6 +48,15 @@ def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
         "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
 
 
+def _together(lines: DataFrame, size: int) -> DataFrame:
+    """Lines of splits of ``size`` bytes, read by tasks that take several small ones, one after the other: a task and a file
+    for each would cost more than what is in them. At least four tasks for each core stay."""
+    splits = lines.rdd.getNumPartitions()
+    each = min(max(1, TASK_BYTES // 8 // size), SPLITS)
+    tasks = max(-(-splits // each), 4 * lines.sparkSession.sparkContext.defaultParallelism)
+    return lines.coalesce(tasks) if tasks < splits else lines
+
+
 def split_starts(lines: DataFrame) -> DataFrame:
     """``_file, _block, _inside``: whether a split begins inside quotes. One row per split, whatever the number of lines."""
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
@@ -104,7 +114,7 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def csv_records(spark: SparkSession, path: str | list[str], split_bytes: int | None = None) -> DataFrame:
     """``_file, _block, _seq, record``: every record of CSV files as text, headers included; its order in the file is that of the numbers."""
     with _split_bytes(spark, split_bytes):
-        lines = _lines(spark, path)
+        lines = _together(_lines(spark, path), split_bytes) if split_bytes else _lines(spark, path)
         starts = materialize(split_starts(lines), "split-starts")
         if fits_broadcast(starts):  # the lines stay where and as they are read
             placed = lines.join(F.broadcast(starts), ["_file", "_block"])
