@@ -83,3 +83,11 @@ def test_word_pieces_cost_of_blanks(one):
     assert [p["token"] for p in one(T.word_pieces(F.col("t")), t="a b")] == ["a", "b"]
     assert one(T.word_pieces(F.col("t")), t="  ") == []
     assert one(T.word_pieces(F.col("t")), t="") == []
+
+
+@pytest.mark.parametrize("text", ["  it's   so ", "a b", "  ", "", "a-b\t.  \n\n   c", "\n  x", "é, 漢字!  ok", "\u2003  \u2003"])
+def test_word_starts_stand_at_the_first_tokens(one, text):
+    pieces = one(T.word_pieces(F.col("t")), t=text)
+    starts = one(T.word_starts(F.col("t")), t=text)
+    assert [w and (w["word_pos"], w["word"], w["span"]) for w in starts] == [
+        (p["word_pos"], p["word"], p["span"]) if p["first"] else None for p in pieces]

@@ -122,6 +122,27 @@ def word_pieces(text: Column, pieces=tokens) -> Column:
             w["at"].alias("word_pos"), F.lit(False).alias("first"), F.lit(0).alias("span"),
             F.lit(None).cast("string").alias("word"), F.lit(" ").alias("token"),
         )
-        return F.concat(own, F.array_repeat(blank, w["extra"]))
+        # Few words have extra blanks; the others need no second array.
+        return F.when(w["extra"] > 0, F.concat(own, F.array_repeat(blank, w["extra"]))).otherwise(own)
 
     return F.flatten(F.transform(F.transform(found, take_apart), expand))
+
+
+def word_starts(text: Column) -> Column:
+    """An element for every token that :func:`word_pieces` gives: ``word_pos, word, span`` of a word at its first token, null at all others."""
+    found = F.regexp_extract_all(F.concat(text, F.lit(" ")), F.lit(WORD_WITH_BLANKS), F.lit(0))
+    kind = "struct<word_pos:int,word:string,span:int,extra:int>"
+
+    def take_apart(chunk, position):
+        word = F.rtrim(chunk)
+        return F.struct(
+            position.cast("int").alias("word_pos"), word.alias("word"), F.regexp_count(word, F.lit(TOKEN)).alias("span"),
+            F.greatest(F.length(chunk) - F.length(word) - 1, F.lit(0)).alias("extra"),
+        )
+
+    def spread(w):
+        first = F.when(w["span"] > 0, F.array(w)).otherwise(F.array().cast(f"array<{kind}>"))
+        others = F.array_repeat(F.lit(None).cast(kind), F.greatest(w["span"], F.lit(1)) - 1 + w["extra"])
+        return F.when((w["span"] == 1) & (w["extra"] == 0), F.array(w)).otherwise(F.concat(first, others))
+
+    return F.flatten(F.transform(F.transform(found, take_apart), spread))

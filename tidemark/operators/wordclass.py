@@ -68,9 +68,9 @@ def word_bigrams(rows: DataFrame, ids: list[str], text: str = "text", length: in
 
 def word_spans(rows: DataFrame, ids: list[str], text: str = "text") -> DataFrame:
     """``ids, word_pos, word, start, end``: the tokens ``start <= pos < end`` of each word."""
-    first = word_tokens(rows, ids, text).filter("first")
+    first = rows.select(*ids, F.posexplode(T.word_starts(F.col(text))).alias("pos", "_w")).filter("_w is not null")
     return first.select(
-        *ids, "word_pos", "word", F.col("pos").alias("start"), (F.col("pos") + F.col("span")).alias("end")
+        *ids, "_w.word_pos", "_w.word", F.col("pos").alias("start"), (F.col("pos") + F.col("_w.span")).alias("end")
     )
 
 
