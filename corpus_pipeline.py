@@ -32,7 +32,7 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     batches.bound(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = toxicity.train(toxicity.training_rows(docs, labels))
+    model = toxicity.learn(docs, labels)
     return docs.filter(toxicity.score_column(F.col("text"), model) < 0.5)
 
 

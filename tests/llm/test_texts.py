@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 import zlib
 from collections import defaultdict
@@ -175,6 +176,26 @@ def test_toxicity(spark, docs):
     assert {r["predicted"] for r in toxicity.detect_toxicity(docs(rows[:3]), table.limit(0)).collect()} == {0}
 
 
+def test_toxicity_is_learnt_in_a_task(spark, docs, monkeypatch):
+    """The driver neither trains nor sees the texts; the model is that of the sample's rows."""
+    rows = [(i, f"plain words number {i}. " + ("a vile grumblefoo here." if i % 2 else "a kind remark here.")) for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    expected = toxicity.train(toxicity.training_rows(docs(rows), labels))
+    assert expected
+
+    here, train = os.getpid(), toxicity.train
+
+    def elsewhere(found):
+        assert os.getpid() != here
+        return train(found)
+
+    monkeypatch.setattr(toxicity, "train", elsewhere)
+    assert toxicity.learn(docs(rows), labels) == expected
+    assert toxicity.learn(docs(rows), labels.limit(0)) == toxicity.learn(docs([]), labels) == {}
+    found = toxicity.detect_toxicity(docs(rows), labels)
+    assert {r["doc_id"] % 2: r["predicted"] for r in found.collect()} == {0: 0, 1: 1}
+
+
 def test_toxicity_never_learns_from_held_out_rows(spark, docs):
     rows, labels = toxic_corpus()
     flipped = [(i, 1 - y if zlib.crc32(str(i).encode()) % 5 == 0 else y) for i, y in labels]

@@ -8,7 +8,7 @@ document labels, so the sentences that make a text toxic are located without eve
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -22,7 +22,7 @@ from tidemark.llm.batches import Batches, batch, map_batches, texts
 
 BITS = 18  # hash buckets of words: 2 ** 18
 SAMPLE = 6_000  # labelled documents that the model is trained on, at most, in order of hash
-SAMPLE_CHARS = 10_000_000  # characters of them together, and a hundredth of it from one, so that long texts do not fill the driver
+SAMPLE_CHARS = 10_000_000  # characters of them together, and a hundredth of it from one, so that long texts do not fill the task that trains
 EPOCHS = 200
 RATE = 0.2
 DECAY = 1e-5  # pull of weights towards zero
@@ -53,11 +53,11 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0
 
 
-def training_rows(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[tuple[str, int]]:
-    """Texts and labels of at most ``sample`` labelled documents that are not held out; half of them toxic where there are enough.
+def _chosen(documents: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+    """``doc_id, _toxic, text`` of at most ``sample`` labelled documents that are not held out; half of them toxic where there are enough.
 
     The sample is taken in order of a hash of the id. Only ids are ordered; the texts of the sample meet them by broadcast. Of a text
-    beyond its share of the driver's memory, sentences are drawn by hash over the whole of it (for training, never for scoring).
+    beyond its share of the memory of training, sentences are drawn by hash over the whole of it (for training, never for scoring).
     Rows without id or label are left out; an id with several labels counts as toxic if one says so.
     """
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_toxic"))
@@ -71,15 +71,41 @@ def training_rows(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE)
     share = F.lit(1_000_000.0 * most) / F.length(text)
     drawn = F.filter(F.split(text, r"(?<=[.!?\n\r])"), lambda s: (F.pmod(F.xxhash64(s), F.lit(1_000_000)) < share) & (F.length(s) <= most))
     cut = F.when(F.length(text) <= most, text).otherwise(F.array_join(drawn, ""))
-    found = rows.groupBy("doc_id", "_toxic").agg(F.min(cut).alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    return rows.groupBy("doc_id", "_toxic").agg(F.min(cut).alias("text"))
+
+
+def _within(rows: Iterable[tuple[str, int]]) -> list[tuple[str, int]]:
+    """The first rows, up to the one that reaches SAMPLE_CHARS characters. The others are read and left out."""
     out, left = [], SAMPLE_CHARS
-    for r in found:
+    for text, toxic in rows:
         if left > 0:
-            out.append((r["text"], r["_toxic"]))
-            left -= len(r["text"])
+            out.append((text, toxic))
+            left -= len(text)
     return out
 
 
+def training_rows(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[tuple[str, int]]:
+    """Texts and labels that :func:`learn` trains on, in its order."""
+    found = _chosen(documents, labels, sample).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    return _within((r["text"], r["_toxic"]) for r in found)
+
+
+def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[int, float]:
+    """The model of :func:`train` on a bounded sample of ``documents`` and ``labels``.
+
+    A task trains it, so the driver holds neither the texts nor what training makes of them, only the weights.
+    """
+    schema = pa.schema([("bucket", pa.int32()), ("weight", pa.float64())])
+
+    def run(batches: Batches) -> Batches:
+        model = train(_within(row for rows in batches for row in zip(texts(rows.column(0)), rows.column(1).to_pylist())))
+        yield batch(schema, [list(model), list(model.values())])
+
+    rows = _chosen(documents, labels, sample).repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
+    found = map_batches(rows.select("text", "_toxic"), run, "bucket int, weight double").collect()
+    return {r["bucket"]: r["weight"] for r in found}
+
+
 def train(rows: list[tuple[str, int]], epochs: int = EPOCHS) -> dict[int, float]:
     """Weights of word buckets, by Adam steps on the mean log loss of a leaky noisy-or.
 
@@ -194,6 +220,6 @@ def score_documents(documents: DataFrame, model: dict[int, float]) -> DataFrame:
 def detect_toxicity(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Score every document by a model trained on ``labels`` (``doc_id, toxic``): the columns of :func:`score_documents`,
     ``held_out`` and ``predicted`` (1 from a score of 0.5). Without labels of both kinds every score is near 0."""
-    model = train(training_rows(documents, labels, sample))
+    model = learn(documents, labels, sample)
     return score_documents(documents, model).withColumns({
         "held_out": F.coalesce(held_out(F.col("doc_id")), F.lit(False)), "predicted": (F.col("score") >= 0.5).cast("int")})
