@@ -240,3 +240,17 @@ def test_decode_makes_its_sequences_once(spark, words):
     token = {r["token_id"]: r["token"] for r in words.collect()}
     assert rows(found) == sorted(((i, f"{token[5 + i % 3]} {token[6]}") for i in range(20)), key=repr)
     assert made.value == 20
+
+
+def test_training_deals_many_texts_over_more_tasks(spark, monkeypatch):
+    """Counts stay the same; texts beyond TASK_TEXT a core go to tasks of about that size."""
+    texts = [(f"a{i} b a{i} b . c{i % 3} " * 200,) for i in range(40)] + [(None,), ("",), ("same text",), ("same text",)]
+    corpus = spark.createDataFrame(texts, "text string").coalesce(1)
+    expected = rows(ngrams.train(corpus))
+    assert ngrams.dealt(corpus, "text", ngrams.TASK_TEXT).rdd.getNumPartitions() == 1
+    size = sum(len(t or "") for t, in texts)
+    assert ngrams.dealt(corpus, "text", size // 30).rdd.getNumPartitions() in (30, 31)
+    monkeypatch.setattr(ngrams, "TASK_TEXT", size // 30)
+    assert rows(ngrams.train(corpus)) == expected and expected
+    empty = spark.createDataFrame([], "text string")
+    assert rows(ngrams.train(empty)) == []

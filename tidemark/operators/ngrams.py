@@ -19,6 +19,7 @@ from tidemark.session import materialize
 from tidemark.sources.tables import write_bucketed
 
 START = "<s>"
+TASK_TEXT = 16 * 1024 * 1024  # bytes of text whose pairs one task counts
 BACKOFF = 0.4  # weight of the single-token estimate for an unseen pair
 
 
@@ -34,8 +35,21 @@ def bigram_rows(rows: DataFrame, ids: list[str], text: str = "text", length: int
     )
 
 
+def dealt(corpus: DataFrame, text: str, size: int) -> DataFrame:
+    """The texts alone, dealt over tasks of about ``size`` bytes where there are more of these than cores.
+
+    Most pairs are rare, so a task counts about as many different ones as its texts hold. Beyond its memory Spark sorts and spills them, which
+    costs more than to move the texts once.
+    """
+    corpus = corpus.select(text)
+    found = corpus.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    pieces = -(-found // size)
+    return corpus.repartition(pieces) if pieces > corpus.sparkSession.sparkContext.defaultParallelism else corpus
+
+
 def train(corpus: DataFrame, text: str = "text", length: int | None = None) -> DataFrame:
     """Bigram counts of a corpus."""
+    corpus = dealt(corpus, text, TASK_TEXT)
     return bigram_rows(corpus, [], text, length).groupBy("prev", "token").agg(F.count("*").alias("n"))
 
 
