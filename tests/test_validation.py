@@ -77,3 +77,25 @@ def test_metrics(spark):
     found = spark.createDataFrame([("changed", 2, 0.5, 1.5)], "split string, step int, loss double, ppl double")
     rows = validation.validation_metrics(found, "r1").orderBy("metric").collect()
     assert [tuple(r) for r in rows] == [("r1", "changed", 2, "loss", 0.5), ("r1", "changed", 2, "ppl", 1.5)]
+
+
+def test_a_pair_is_one_row_for_all_splits(spark, checked, steps, tmp_path):
+    folder = str(tmp_path / "wide")
+    validation.start(checked, "position", 2, folder)
+    pairs = spark.read.parquet(f"{folder}/pairs")
+    assert pairs.count() == pairs.select("prev", "token").distinct().count() > 0
+    sums = pairs.groupBy().sum(*[f"_w{j}" for j in range(3)]).first()
+    assert list(sums) == [pytest.approx(1.0)] * 3
+
+
+def test_a_step_joins_the_validated_pairs_once(spark, checked, steps, tmp_path, monkeypatch):
+    folder, scans, kept = str(tmp_path / "once"), [], validation.materialize
+    validation.start(checked, "position", 2, folder)
+
+    def seen(df, label):
+        scans.append(df._jdf.queryExecution().optimizedPlan().toString().count("parquet") if label == "step-pairs" else 0)
+        return kept(df, label)
+
+    monkeypatch.setattr(validation, "materialize", seen)
+    validation.advance(spark, folder, 1, spark.createDataFrame([("w0", "w1", 3)], "prev string, token string, n long"))
+    assert sum(scans) == 1

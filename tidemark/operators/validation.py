@@ -7,18 +7,19 @@ it raises. What no step can touch term by term, the size of the model, is one nu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators.ngrams import BACKOFF, bigram_rows
 from tidemark.operators.ordinals import batch_of
-from tidemark.operators.skew import fits_broadcast, lookup_join
+from tidemark.operators.skew import fits_broadcast
 from tidemark.session import exists, materialize
 from tidemark.sources.tables import metric_rows
 
 COUNTS = "kind string, prev string, token string, n long, step int"
-WEIGHTS = "split string, prev string, token string, weight double, step int"
 WORDS = "token string, step int"
 TOTALS = "split string, value double, unseen double, n_tokens long, n_words long, step int"
 
@@ -48,26 +49,39 @@ def weighted_tokens(
     return bigram_rows(met, ["split", "weight"], "_text")
 
 
+def split_weights(sizes: DataFrame) -> tuple[list, list[Column]]:
+    """The splits of :func:`batch_sizes`, of which there are few, and of :func:`weighted_tokens` the weight in each, as columns ``_w0, _w1, ...``."""
+    splits = [r["split"] for r in sizes.select("split").distinct().collect()]
+    return splits, [F.when(F.col("split").eqNullSafe(F.lit(s)), F.col("weight")).otherwise(0.0).alias(f"_w{j}") for j, s in enumerate(splits)]
+
+
 def start(texts: DataFrame, position: str, batch_size: int, folder: str, text: str = "text", split: str = "split") -> None:
     """Write down what is validated: the weight of every pair of tokens in each split, before any training.
 
     ``position`` counts the texts of a split from zero. A token weighs one over the tokens of its batch and the batches of its split, so
     weights add up to 1 in a split and the weighted sum of losses is the mean over batches of each batch's mean loss. Texts without
-    tokens weigh nothing, a null split is a split.
+    tokens weigh nothing, a null split is a split. There are few splits; each is a column.
     """
+    spark = texts.sparkSession
     sizes = batch_sizes(texts, position, batch_size, text, split)
+    splits, weights = split_weights(sizes)
+    names = [f"_w{j}" for j in range(len(splits))]
+    sums = lambda df, *keys: df.groupBy(*keys).agg(F.count("*").alias("_rows"), *[F.sum(w).alias(w) for w in names]).drop("_rows")
     weighted = weighted_tokens(texts, sizes, position, batch_size, text, split)
-    pairs = weighted.groupBy("split", "prev", "token").agg(F.sum("weight").alias("weight"))
-    pairs.write.mode("overwrite").parquet(f"{folder}/pairs")
-    spark = texts.sparkSession
-    pairs = spark.read.parquet(f"{folder}/pairs")
-    tokens = pairs.groupBy("split", F.lit(None).cast("string").alias("prev"), "token").agg(F.sum("weight").alias("weight"))
-    tokens.write.mode("overwrite").parquet(f"{folder}/unseen/step=0")
-    _empty(spark, "split string, prev string, weight double").write.mode("overwrite").parquet(f"{folder}/seen/step=0")
+    sums(weighted.select("prev", "token", *weights), "prev", "token").write.mode("overwrite").parquet(f"{folder}/pairs")
+    numbered = spark.createDataFrame(list(enumerate(splits)), "no int, split string")
+    numbered.coalesce(1).write.mode("overwrite").parquet(f"{folder}/splits")
+    pairs = spark.read.schema(_weights(names, "prev string, token string")).parquet(f"{folder}/pairs")
+    # Step 0 names every context and every token that is validated.
+    sums(pairs, "token").write.mode("overwrite").parquet(f"{folder}/unseen/step=0")
+    contexts = pairs.select("prev").distinct().select("prev", *[F.lit(0.0).alias(w) for w in names])
+    contexts.write.mode("overwrite").parquet(f"{folder}/seen/step=0")
     _empty(spark, "kind string, prev string, token string, n long").write.mode("overwrite").parquet(f"{folder}/counts/step=0")
     _empty(spark, "token string").write.mode("overwrite").parquet(f"{folder}/words/step=0")
-    totals = pairs.groupBy("split").agg(
-        F.lit(0.0).alias("value"), F.sum("weight").alias("unseen"), F.lit(0).cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("n_words"))
+    unseen = pairs.agg(*[F.sum(w).alias(w) for w in names]) if names else pairs.limit(0)
+    none = F.lit(0).cast("long")
+    totals = _by_split(unseen, {"unseen": names}, splits).select(
+        "split", F.lit(0.0).alias("value"), "unseen", none.alias("n_tokens"), none.alias("n_words"))
     totals.write.mode("overwrite").parquet(f"{folder}/totals/step=0")
 
 
@@ -75,6 +89,19 @@ def _empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
+def _weights(names: list[str], keys: str) -> str:
+    return ", ".join([keys, *[f"{w} double" for w in names]])
+
+
+def _by_split(one: DataFrame, values: dict[str, list[str]], splits: list) -> DataFrame:
+    """``split`` and ``values`` by name, a row per split, from a row with a column for each split."""
+    rows = [F.struct(F.lit(s).cast("string").alias("split"), *[F.col(names[j]).alias(v) for v, names in values.items()])
+            for j, s in enumerate(splits)]
+    if not rows:
+        return one.select(F.lit("").alias("split"), *[F.lit(0.0).alias(v) for v in values]).limit(0)
+    return one.select(F.explode(F.array(*rows)).alias("_s")).select("_s.*")
+
+
 def _read(spark: SparkSession, folder: str, name: str, schema: str, before: int) -> DataFrame:
     """Rows of a table of the folder that steps before ``before`` wrote; files of later steps are not opened."""
     return spark.read.schema(schema).parquet(f"{folder}/{name}").filter(F.col("step") < before)
@@ -83,75 +110,83 @@ def _read(spark: SparkSession, folder: str, name: str, schema: str, before: int)
 def advance(spark: SparkSession, folder: str, step: int, counts: DataFrame) -> DataFrame:
     """``split, step, loss, ppl`` after training step ``step`` (from 1, in order), which adds ``counts`` (``prev, token, n``) to the model.
 
-    Reads the step's counts, and of the earlier ones only what concerns its pairs, contexts and tokens; writes only what changed. Everything
+    The step's counts meet the validated pairs in one join, where the counts are made; contexts and tokens follow from that, each in one
+    aggregation with what is known of them. Only what changed is written. Everything
     follows from the steps before, so a step that is run again overwrites its own rows with the same. A step without counts
     changes nothing. Raises ``ValueError`` when the step before has not been taken.
     """
     if step < 1 or not exists(spark, f"{folder}/totals/step={step - 1}"):
         raise ValueError(f"step {step} needs step {step - 1} first")
-    pairs = spark.read.parquet(f"{folder}/pairs")
-    counts = materialize(counts.groupBy("prev", "token").agg(F.sum("n").cast("long").alias("n")), "step-counts")
-    tokens = materialize(counts.groupBy("token").agg(F.sum("n").alias("n")), "step-tokens")
-
-    # What of the step the validated texts know, by kind of count.
-    of_pairs = counts.join(pairs.select("prev", "token").distinct(), ["prev", "token"], "left_semi")
-    of_contexts = counts.groupBy("prev").agg(F.sum("n").alias("n")).join(pairs.select("prev").distinct(), "prev", "left_semi")
-    of_tokens = tokens.join(pairs.select("token").distinct(), "token", "left_semi")
-    none = F.lit(None).cast("string")
-    raised = of_pairs.select(F.lit("pair").alias("kind"), "prev", "token", "n").unionByName(
-        of_contexts.select(F.lit("context").alias("kind"), "prev", none.alias("token"), "n")).unionByName(
-        of_tokens.select(F.lit("token").alias("kind"), none.alias("prev"), "token", "n"))
-    raised.write.mode("overwrite").parquet(f"{folder}/counts/step={step}")
-    raised = spark.read.parquet(f"{folder}/counts/step={step}")
-
+    splits = [r["split"] for r in spark.read.parquet(f"{folder}/splits").orderBy("no").collect()]
+    names = [f"_w{j}" for j in range(len(splits))]
+    moves = [f"_m{j}" for j in range(len(splits))]  # weight of the pairs that the step sees first
     earlier = _read(spark, folder, "counts", COUNTS, step)
-
-    def both(kind: str, keys: list[str]) -> DataFrame:
-        """``keys, n0, n1``: the counts that the step raises, before and after it."""
-        now = raised.filter(F.col("kind") == kind).select(*keys, "n")
-        old = earlier.filter(F.col("kind") == kind).join(now.select(*keys), keys, "left_semi").groupBy(*keys).agg(F.sum("n").alias("n0"))
-        found = lookup_join(now, old, keys).withColumn("n0", F.coalesce("n0", F.lit(0).cast("long")))
-        return found.select(*keys, "n0", (F.col("n0") + F.col("n")).alias("n1"))
-
     ln = lambda n: F.when(n > 0, F.log(n)).otherwise(0.0)
-    met = materialize(pairs.join(both("pair", ["prev", "token"]), ["prev", "token"]), "raised-pairs")
-    by_pair = met.select("split", (-F.col("weight") * (ln(F.col("n1")) - ln(F.col("n0")))).alias("change"))
+    n0, n1 = F.col("_n0"), F.col("_n0") + F.col("n")
+
+    # Counts, validated pairs and earlier counts of pairs have one row per pair each.
+    counts = counts.groupBy("prev", "token").agg(F.sum("n").cast("long").alias("n"))
+    pairs = spark.read.schema(_weights(names, "prev string, token string")).parquet(f"{folder}/pairs")
+    known = pairs.withColumn("_known", F.lit(True))
+    if step > 1:
+        before = earlier.filter("kind = 'pair'").groupBy("prev", "token").agg(F.sum("n").alias("_n0"))
+        met = counts.join(known, ["prev", "token"], "left").join(before, ["prev", "token"], "left")
+    else:
+        met = counts.join(known, ["prev", "token"], "left").withColumn("_n0", F.lit(0).cast("long"))
+    met = materialize(met.withColumn("_n0", F.coalesce("_n0", F.lit(0).cast("long"))), "step-pairs")
+    raised = met.filter("_known")
+    first = F.col("_known") & (n0 == 0)
+
+    def ends(key: str, kind: str, name: str, extra: DataFrame | None = None) -> DataFrame:
+        """Each ``key`` of the step: counts, weights before it and moved by it, whether it is validated, whether an earlier step had it."""
+        zero, no = F.lit(0).cast("long"), F.lit(0)
+        def rows(df, n=zero, n0=zero, w=None, m=None, now=no, known=no, had=no):  # noqa: E306
+            return df.select(
+                key, n.alias("n"), n0.alias("_n0"), *[(F.col(x) if w else F.lit(0.0)).alias(x) for x in names],
+                *[(m(F.col(x)) if m else F.lit(0.0)).alias(y) for x, y in zip(names, moves)],
+                now.alias("_now"), known.alias("_known"), had.alias("_had"))
+
+        parts = [rows(met, n=F.col("n"), m=lambda w: F.when(first, w).otherwise(0.0), now=F.lit(1)),
+                 rows(earlier.filter(F.col("kind") == kind), n0=F.col("n")),
+                 rows(_read(spark, folder, name, _weights(names, f"{key} string") + ", step int", step), w=True,
+                      known=(F.col("step") == 0).cast("int"))]
+        if extra is not None:
+            parts.append(rows(extra, had=F.lit(1)))
+        found = reduce(DataFrame.unionByName, parts).groupBy(key).agg(
+            *[F.sum(c).alias(c) for c in ("n", "_n0", *names, *moves)], *[F.max(c).alias(c) for c in ("_now", "_known", "_had")])
+        return materialize(found.filter("_now = 1").drop("_now"), f"step-{kind}s")
+
+    contexts = ends("prev", "context", "seen")
+    tokens = ends("token", "token", "unseen", _read(spark, folder, "words", WORDS, step))
 
+    # What of the step the validated texts know, by kind of count.
+    none = F.lit(None).cast("string")
+    raised.select(F.lit("pair").alias("kind"), "prev", "token", "n").unionByName(
+        contexts.filter("_known = 1").select(F.lit("context").alias("kind"), "prev", none.alias("token"), "n")).unionByName(
+        tokens.filter("_known = 1").select(F.lit("token").alias("kind"), none.alias("prev"), "token", "n")
+    ).write.mode("overwrite").parquet(f"{folder}/counts/step={step}")
     # Pairs seen for the first time: their weight goes from their token to their context.
-    fresh = met.filter("n0 = 0")
-    moved_in = fresh.groupBy("split", "prev").agg(F.sum("weight").alias("weight"))
-    moved_in.write.mode("overwrite").parquet(f"{folder}/seen/step={step}")
-    moved_out = fresh.groupBy("split", none.alias("prev"), "token").agg((-F.sum("weight")).alias("weight"))
-    moved_out.write.mode("overwrite").parquet(f"{folder}/unseen/step={step}")
-
-    def weights(name: str, key: str, ns: DataFrame) -> DataFrame:
-        """``split, key, n0, n1, w0, w1``: weights at the raised counts, before and after the step."""
-        moved = F.when(F.col("step") < step, F.col("weight")).otherwise(0.0)
-        rows = _read(spark, folder, name, WEIGHTS, step + 1).join(ns.select(key), key, "left_semi")
-        sums = rows.groupBy("split", key).agg(F.sum(moved).alias("w0"), F.sum("weight").alias("w1"))
-        return lookup_join(sums, ns, [key])
-
-    contexts = weights("seen", "prev", materialize(both("context", ["prev"]), "raised-contexts"))
-    by_context = contexts.select("split", (F.col("w1") * ln(F.col("n1")) - F.col("w0") * ln(F.col("n0"))).alias("change"))
-    singles = weights("unseen", "token", materialize(both("token", ["token"]), "raised-tokens"))
-    by_token = singles.select(
-        "split", (F.col("w0") * F.log(F.col("n0") + 1) - F.col("w1") * F.log(F.col("n1") + 1)).alias("change"))
-    changes = by_pair.unionByName(by_context).unionByName(by_token).groupBy("split").agg(F.sum("change").alias("_change"))
-    left = moved_out.groupBy("split").agg(F.sum("weight").alias("_moved"))
+    moved = reduce(lambda a, b: a | b, [F.col(m) != 0 for m in moves], F.lit(False))
+    contexts.filter(moved).select("prev", *[F.col(m).alias(w) for w, m in zip(names, moves)]).write.mode("overwrite").parquet(f"{folder}/seen/step={step}")
+    tokens.filter(moved).select("token", *[(-F.col(m)).alias(w) for w, m in zip(names, moves)]).write.mode("overwrite").parquet(f"{folder}/unseen/step={step}")
+    tokens.filter("_had = 0").select("token").write.mode("overwrite").parquet(f"{folder}/words/step={step}")
+
+    # Terms by pair, context and token, and the weight that moves.
+    w, m = [F.col(x) for x in names], [F.col(x) for x in moves]
+    zeros = [F.lit(0.0).alias(x) for x in moves]
+    terms = raised.select(*[(-x * (ln(n1) - ln(n0))).alias(c) for x, c in zip(w, names)], *zeros).unionByName(
+        contexts.filter("_known = 1").select(*[((x + y) * ln(n1) - x * ln(n0)).alias(c) for x, y, c in zip(w, m, names)], *zeros)).unionByName(
+        tokens.filter("_known = 1").select(
+            *[(x * F.log(n0 + 1) - (x - y) * F.log(n1 + 1)).alias(c) for x, y, c in zip(w, m, names)], *moves))
+    changes = terms.agg(F.count("*").alias("_rows"), *[F.coalesce(F.sum(x), F.lit(0.0)).alias(x) for x in (*names, *moves)])
+    changes = _by_split(changes, {"_change": names, "_moved": moves}, splits).withColumnRenamed("split", "_split")
 
     # The size of the model: tokens, and different tokens.
-    new = tokens.select("token").join(_read(spark, folder, "words", WORDS, step).select("token"), "token", "left_anti")
-    new.write.mode("overwrite").parquet(f"{folder}/words/step={step}")
-    words = spark.read.schema("token string").parquet(f"{folder}/words/step={step}").agg(F.count("*")).scalar()
-    more = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long")).scalar()
-
+    size = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("more"), F.count(F.when(F.col("_had") == 0, 1)).alias("words")).first()
     totals = _read(spark, folder, "totals", TOTALS, step).filter(F.col("step") == step - 1).drop("step")
-    for part, name in ((changes, "_change"), (left, "_moved")):  # a row per split
-        part = part.withColumnRenamed("split", "_split")
-        totals = totals.join(part, F.col("split").eqNullSafe(F.col("_split")), "left").drop("_split").fillna(0.0, [name])
-    totals = totals.select(
-        "split", (F.col("value") + F.col("_change")).alias("value"), (F.col("unseen") + F.col("_moved")).alias("unseen"),
-        (F.col("n_tokens") + more).alias("n_tokens"), (F.col("n_words") + words).alias("n_words"))
+    totals = totals.join(F.broadcast(changes), F.col("split").eqNullSafe(F.col("_split"))).select(  # a row per split
+        "split", (F.col("value") + F.col("_change")).alias("value"), (F.col("unseen") - F.col("_moved")).alias("unseen"),
+        (F.col("n_tokens") + size["more"]).alias("n_tokens"), (F.col("n_words") + size["words"]).alias("n_words"))
     totals.write.mode("overwrite").parquet(f"{folder}/totals/step={step}")
     return validation(spark, folder).filter(F.col("step") == step)
 
