@@ -3,13 +3,14 @@
 import math
 import re
 from collections import Counter
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
 from tidemark.operators import ngrams, ordinals, perplexity, validation, vocabulary, wordclass
-from tidemark.plans import continual, evaluate
+from tidemark.plans import continual, evaluate, token_queries
 from tidemark.session import materialize
 
 TEXTS = [
@@ -89,6 +90,23 @@ def test_attach_spans_agrees(spark, corpus):
     assert rows(attached, "id", "pos", "word") == rows(tokens, "id", "pos", "word")
 
 
+def test_attached_spans_move_texts_and_no_tokens(spark):
+    texts = [(1, "The cat  sat."), (1, "a dog"), (None, "no id"), (2, ""), (3, None), (4, "mat. " * 50)]
+    t = SimpleNamespace(documents=spark.createDataFrame(texts, "doc_id long, text string"))
+    found = token_queries.attached_spans(t)
+    # Two texts of one id meet each other's spans; without an id there is no span.
+    assert sorted(map(tuple, found.filter("doc_id < 4 or doc_id is null").collect()), key=repr) == [
+        (1, 0, 4), (1, 1, 4), (1, 2, 2), (1, None, 1), (None, None, 2)]
+    assert found.filter("doc_id = 4").agg(F.sum("tokens")).first()[0] == 101
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = token_queries.attached_spans(t)._jdf.queryExecution().sparkPlan().toString()
+        whole = token_queries.attached_spans(t)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and whole.count("Exchange") == 2 and "REPARTITION_BY_NUM" in whole
+
+
 def test_word_classes(spark):
     df = spark.createDataFrame([(1, "The Paris mayor is running 3 times, and Tom jumped.")], "id int, text string")
     found = wordclass.classed_tokens(df, ["id"], wordclass.lexicon(spark)).orderBy("pos").collect()
@@ -208,7 +226,7 @@ def test_corpus_perplexity(spark, corpus):
     assert row["all"] == pytest.approx(math.exp(sum(means) / len(means)))
 
 
-def test_perplexity_grid_writes_no_tokens(spark, monkeypatch):
+def test_perplexity_grid_writes_no_tokens(spark):
     """Every method and split equals scoring each token, a null split included, and what is written down are texts and batches."""
     texts = [("changed", i, x) for i, x in enumerate([*TEXTS, None])] + [(None, 9, "The cat sat."), ("empty", 10, "")]
     checked = spark.createDataFrame(texts, "split string, id int, text string")

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.functions.predicates import word_class
-from tidemark.operators.ngrams import START
+from tidemark.operators.ngrams import START, TASK_TEXT
 from tidemark.operators.skew import lookup_join
+from tidemark.session import join_in_place
 
 # A small English lexicon of function words. Pass a larger table for other work.
 LEXICON = {
@@ -52,6 +53,17 @@ def tag_by_shape(bare: Column, word_pos: Column) -> Column:
     )
 
 
+def dealt_by(rows: DataFrame, ids: list[str], text: str = "text", size: int = TASK_TEXT // 2) -> DataFrame:
+    """``ids`` and text of every row, dealt by ``ids`` over tasks of about ``size`` bytes of text.
+
+    Tokens and spans made of it lie together, so that :func:`attach_spans` and groups by ``ids`` move no token.
+    """
+    join_in_place(rows.sparkSession)
+    rows = rows.select(*ids, text)
+    found = rows.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-found // size)), *ids)
+
+
 def word_tokens(rows: DataFrame, ids: list[str], text: str = "text") -> DataFrame:
     """One row per token with its position and its word. All inside the row, without a shuffle."""
     return rows.select(*ids, F.posexplode(T.word_pieces(F.col(text))).alias("pos", "_w")).select(*ids, "pos", "_w.*")
@@ -97,7 +109,7 @@ def attach_spans(tokens: DataFrame, spans: DataFrame, ids: list[str]) -> DataFra
     """Left join of tokens to the span that holds them, for spans that come as a table of their own.
 
     Each span is spread over its positions, which makes the interval join an equi join. Spans of
-    one example do not overlap.
+    one example do not overlap. Nothing is shuffled when both sides come from texts of one :func:`dealt_by`.
     """
     spread = spans.filter(F.col("end") > F.col("start")).withColumn(
         "pos", F.explode(F.sequence(F.col("start"), F.col("end") - 1))

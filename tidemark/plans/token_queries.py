@@ -171,8 +171,9 @@ def token_classes(t):
         UNION ALL SELECT doc_id, NULL, CAST(sum(extra) AS BIGINT) FROM pieces GROUP BY doc_id HAVING sum(extra) > 0"""
 )
 def attached_spans(t):
-    tokens = wordclass.word_tokens(t.documents, ["doc_id"]).select("doc_id", "pos")
-    spans = wordclass.word_spans(t.documents, ["doc_id"]).drop("word")
+    texts = wordclass.dealt_by(t.documents, ["doc_id"])
+    tokens = wordclass.word_tokens(texts, ["doc_id"]).select("doc_id", "pos")
+    spans = wordclass.word_spans(texts, ["doc_id"]).drop("word")
     found = wordclass.attach_spans(tokens, spans, ["doc_id"])
     return found.groupBy("doc_id", "word_pos").agg(F.count("*").alias("tokens"))
 
