@@ -226,7 +226,7 @@ def test_corpus_perplexity(spark, corpus):
     assert row["all"] == pytest.approx(math.exp(sum(means) / len(means)))
 
 
-def test_perplexity_grid_writes_no_tokens(spark):
+def test_perplexity_grid_writes_no_tokens(spark, monkeypatch):
     """Every method and split equals scoring each token, a null split included, and what is written down are texts and batches."""
     texts = [("changed", i, x) for i, x in enumerate([*TEXTS, None])] + [(None, 9, "The cat sat."), ("empty", 10, "")]
     checked = spark.createDataFrame(texts, "split string, id int, text string")
@@ -272,3 +272,14 @@ def test_training_deals_many_texts_over_more_tasks(spark, monkeypatch):
     assert rows(ngrams.train(corpus)) == expected and expected
     empty = spark.createDataFrame([], "text string")
     assert rows(ngrams.train(empty)) == []
+
+
+def test_a_corpus_meets_the_model_by_pair(spark, monkeypatch):
+    model = ngrams.scorer(ngrams.train(spark.createDataFrame([(t,) for t in TRAIN], "text string")))
+    placed = spark.createDataFrame([(i, t) for i, t in enumerate(["the cat " * 40, "the cat sat", None, "Unheard 7"])], "position long, text string")
+    sizes, loss = [], ngrams.weighted_loss
+    monkeypatch.setattr(ngrams, "weighted_loss", lambda rows, *a: sizes.append(rows.count()) or loss(rows, *a))
+    got = evaluate.corpus_perplexity(placed, "position", model, wordclass.lexicon(spark), 2).first()
+    assert sizes == [6]
+    want = perplexity.class_perplexity(evaluate.corpus_class_losses(placed, "position", model, wordclass.lexicon(spark), 2)).first()
+    assert got.asDict() == {k: v if v is None else pytest.approx(v) for k, v in want.asDict().items()}

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as T
 from tidemark.operators.ordinals import batch_of
 from tidemark.operators.skew import BROADCAST_ROWS, fits_broadcast, heavy_hitters, lookup_join, rows_of
-from tidemark.session import materialize
+from tidemark.session import discard, materialize
 from tidemark.sources.tables import write_bucketed
 
 START = "<s>"
@@ -35,13 +35,13 @@ def bigram_rows(rows: DataFrame, ids: list[str], text: str = "text", length: int
     )
 
 
-def dealt(corpus: DataFrame, text: str, size: int) -> DataFrame:
-    """The texts alone, dealt over tasks of about ``size`` bytes where there are more of these than cores.
+def dealt(corpus: DataFrame, text: str, size: int, others: list[str] = ()) -> DataFrame:
+    """The texts, alone or with ``others``, dealt over tasks of about ``size`` bytes where there are more of these than cores.
 
     Most pairs are rare, so a task counts about as many different ones as its texts hold. Beyond its memory Spark sorts and spills them, which
     costs more than to move the texts once.
     """
-    corpus = corpus.select(text)
+    corpus = corpus.select(text, *others)
     found = corpus.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
     pieces = -(-found // size)
     return corpus.repartition(pieces) if pieces > corpus.sparkSession.sparkContext.defaultParallelism else corpus
@@ -83,8 +83,10 @@ def scorer(model: DataFrame, backoff: float = BACKOFF, broadcast_rows: int = BRO
     size = singles.agg(F.log(F.coalesce(F.sum("n"), F.lit(0)) + F.count("*") + 1).alias("ln_size"))
     weight = F.log(F.lit(backoff))
     pairs = lookup_join(model, materialize(contexts, "contexts"), ["prev"], broadcast_rows=broadcast_rows)
+    pairs = materialize(pairs.select("prev", "token", "n", (F.log("n_prev") - F.log("n")).alias("pair_nll")), "pair-losses")
+    discard(model)  # the losses hold them too
     return Scorer(
-        materialize(pairs.select("prev", "token", "n", (F.log("n_prev") - F.log("n")).alias("pair_nll")), "pair-losses"),
+        pairs,
         materialize(
             singles.select("token", "n", (size.scalar() - F.log(F.col("n") + 1) - weight).alias("single_nll")),
             "token-losses",
@@ -150,6 +152,21 @@ def score_corpus(
     return score_tokens(bigram_rows(placed, ids, text, length), model, broadcast_rows=broadcast_rows)
 
 
+def weighted_loss(weighted: DataFrame, model: Scorer, weights: list[str]) -> DataFrame:
+    """One row: for each of ``weights`` the sum of weight times loss over ``weighted``, which has a row per pair (``prev, token``).
+
+    A pair meets the losses of pairs once, however many tokens it stands for. The loss of an unseen pair is that of its token, so the weights
+    of unseen pairs are added up by token, in tasks first, before they meet the losses of tokens.
+    """
+    seen = F.col("pair_nll").isNotNull()
+    found = weighted.join(model.pairs.select("prev", "token", "pair_nll"), ["prev", "token"], "left").groupBy("token").agg(
+        *[F.sum(F.when(seen, F.col(w) * F.col("pair_nll")).otherwise(0.0)).alias(f"_seen_{w}") for w in weights],
+        *[F.sum(F.when(seen, 0.0).otherwise(F.col(w))).alias(f"_unseen_{w}") for w in weights])
+    found = found.join(model.singles.select("token", "single_nll"), "token", "left")  # a row per token on both sides
+    nll = F.coalesce("single_nll", model.unknown.scalar())
+    return found.agg(*[F.sum(F.col(f"_seen_{w}") + F.col(f"_unseen_{w}") * nll).alias(w) for w in weights])
+
+
 def continuations(model: Scorer, top: int) -> DataFrame:
     """The ``top`` best next tokens of every context: ``prev, token, pair_nll``.
 

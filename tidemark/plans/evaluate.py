@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
-from tidemark.functions.predicates import word_class
+from tidemark.functions.predicates import WORD_CLASSES, word_class
 from tidemark.operators import ngrams, perplexity, prompts, scores, wordclass
 from tidemark.operators.ordinals import batch_of, with_position
+from tidemark.operators.skew import fits_broadcast
+from tidemark.session import materialize
 
 
 def answer_scores(probes: DataFrame, predictions: DataFrame, keys: list[str], by: list[str] = ()) -> DataFrame:
@@ -55,5 +57,26 @@ def corpus_perplexity(
     corpus: DataFrame, position: str, model: ngrams.Scorer, lexicon: DataFrame, batch_size: int, text: str = "text",
     length: int | None = None,
 ) -> DataFrame:
-    """One row: perplexity of all tokens and of names, nouns, verbs and numbers."""
-    return perplexity.class_perplexity(corpus_class_losses(corpus, position, model, lexicon, batch_size, text, length))
+    """One row: perplexity of all tokens and of names, nouns, verbs and numbers.
+
+    The mean over batches of a batch's mean loss is a sum of losses, each times one over the tokens of its batch and the batches, of its class. So
+    a first pass counts classes by batch, a second adds up the weights of each pair of tokens, and only pairs meet the model: no token is written or shuffled.
+    """
+    names = ["all", *WORD_CLASSES]
+    ws = [f"_w_{c}" for c in names]
+    placed = corpus.withColumn("batch_id", batch_of(F.col(position), batch_size)).select("batch_id", text)
+    of = lambda c: F.lit(True) if c == "all" else F.col("word_class") == c
+
+    def tagged(part: DataFrame, ids: list[str]) -> DataFrame:
+        return wordclass.tag_words(wordclass.word_bigrams(part, ids, text, length), lexicon).withColumn("word_class", word_class(F.col("tag")))
+
+    counted = tagged(placed, ["batch_id"]).groupBy("batch_id").agg(*[F.count(F.when(of(c), 1)).alias(c) for c in names])
+    counted = materialize(counted, "batch-classes")
+    batches = counted.agg(*[F.count(F.when(F.col(c) > 0, 1)).alias(c) for c in names]).first()
+    sizes = counted.select(
+        "batch_id", *[F.when(F.col(c) > 0, 1 / (F.col(c) * F.lit(batches[c]))).otherwise(0.0).alias(w) for c, w in zip(names, ws)])
+    if fits_broadcast(sizes):
+        sizes = F.broadcast(sizes)
+    rows = tagged(placed.join(sizes, "batch_id").select(text, *ws), ws)
+    pairs = rows.groupBy("prev", "token").agg(*[F.sum(F.when(of(c), F.col(w)).otherwise(0.0)).alias(w) for c, w in zip(names, ws)])
+    return ngrams.weighted_loss(pairs, model, ws).select(*[F.when(F.lit(batches[c] > 0), F.exp(w)).alias(c) for c, w in zip(names, ws)])
