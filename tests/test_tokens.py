@@ -274,6 +274,17 @@ def test_training_deals_many_texts_over_more_tasks(spark, monkeypatch):
     assert rows(ngrams.train(empty)) == []
 
 
+def test_a_grid_counts_equal_texts_once_and_keeps_nothing_else(spark, monkeypatch):
+    kept = {}
+    monkeypatch.setattr(continual, "materialize", lambda df, label: kept.setdefault(label, materialize(df, label)))
+    first = spark.createDataFrame([("a b",), ("a b",), ("b a",), (None,)], "text string")
+    checked = spark.createDataFrame([("x", 1, "a b"), ("y", 2, "a b"), (None, 3, "c")], "split string, id long, text string")
+    found = continual.perplexity_grid([(first, ["m"]), (first, ["n"])], checked, "id", 2)
+    texts = {r["_text"]: (r["_n0"], r["_n1"]) for r in kept["grid-texts"].collect()}
+    assert texts == {"a b": (2, 2), "b a": (1, 1), None: (1, 1), "c": (0, 0)} and kept["grid-texts"].count() == 4
+    assert {(r["method"], r["split"]) for r in found.collect()} == {(m, s) for m in "mn" for s in ("x", "y", None)}
+
+
 def test_a_corpus_meets_the_model_by_pair(spark, monkeypatch):
     model = ngrams.scorer(ngrams.train(spark.createDataFrame([(t,) for t in TRAIN], "text string")))
     placed = spark.createDataFrame([(i, t) for i, t in enumerate(["the cat " * 40, "the cat sat", None, "Unheard 7"])], "position long, text string")

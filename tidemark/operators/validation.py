@@ -37,16 +37,22 @@ def batch_sizes(texts: DataFrame, position: str, batch_size: int, text: str = "t
     return met.select("split", "batch_id", (1 / (F.col("n") * F.col("batches"))).alias("weight"))
 
 
-def weighted_tokens(
+def weighted_texts(
     texts: DataFrame, sizes: DataFrame, position: str, batch_size: int, text: str = "text", split: str = "split"
 ) -> DataFrame:
-    """``split, weight, pos, prev, token`` of every token, with the weights of :func:`batch_sizes`."""
+    """``split, weight`` and ``_text`` of every text that holds tokens, with the weight of each of them from :func:`batch_sizes`."""
     placed = texts.select(F.col(split).alias("split"), batch_of(F.col(position), batch_size).alias("batch_id"), F.col(text).alias("_text"))
     sizes = sizes.select(F.col("split").alias("_split"), F.col("batch_id").alias("_batch"), "weight")
     if fits_broadcast(sizes):
         sizes = F.broadcast(sizes)
-    met = placed.join(sizes, F.col("split").eqNullSafe(F.col("_split")) & (F.col("batch_id") == F.col("_batch")))
-    return bigram_rows(met, ["split", "weight"], "_text")
+    return placed.join(sizes, F.col("split").eqNullSafe(F.col("_split")) & (F.col("batch_id") == F.col("_batch"))).select("split", "weight", "_text")
+
+
+def weighted_tokens(
+    texts: DataFrame, sizes: DataFrame, position: str, batch_size: int, text: str = "text", split: str = "split"
+) -> DataFrame:
+    """``split, weight, pos, prev, token`` of every token, with the weights of :func:`batch_sizes`."""
+    return bigram_rows(weighted_texts(texts, sizes, position, batch_size, text, split), ["split", "weight"], "_text")
 
 
 def split_weights(sizes: DataFrame) -> tuple[list, list[Column]]:

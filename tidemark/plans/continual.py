@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import ngrams, validation
 from tidemark.operators.ordinals import with_position
 from tidemark.operators.sampling import replay_mix
+from tidemark.session import discard, materialize
 
 
 def initial(prev: DataFrame) -> DataFrame:
@@ -35,25 +36,28 @@ def perplexity_grid(
 ) -> DataFrame:
     """``method, split, ppl`` of count models on every split of ``texts``.
 
-    ``corpora`` has tables of texts, each with the methods whose models learn from it. All pairs of tokens, learnt or validated, are
-    counted in one pass with a column for each method and each split (of which there are few), so the models and the tokens are
-    never written down. The loss falls apart into terms by pair, context and token as in :mod:`tidemark.operators.validation`.
+    ``corpora`` has tables of texts, each with the methods whose models learn from it. Equal texts, learnt or validated, become one row that knows
+    how often each method learns from it and what its tokens weigh in each split, and this table is written down. All pairs of tokens are
+    counted in one pass over it with a column for each method and each split (of which there are few), so the models and the tokens are
+    never written down, and nothing else is read later. The loss falls apart into terms by pair, context and token as in :mod:`tidemark.operators.validation`.
     """
     methods = list(dict.fromkeys(m for _, names in corpora for m in names))
     placed = with_position(texts.select(split, example, "text"), [example], [split])
     sizes = validation.batch_sizes(placed, "position", batch_size, split=split)
-    splits = [r["split"] for r in sizes.select("split").distinct().collect()]
+    splits, weights = validation.split_weights(sizes)
     if not splits:
         return texts.select(F.lit("").alias("method"), split, F.lit(0.0).alias("ppl")).limit(0)
     ns, ws = [f"_n{i}" for i in range(len(methods))], [f"_w{j}" for j in range(len(splits))]
-    pair = F.concat_ws(" ", "prev", "token").alias("_pair")  # no token holds a blank
-    rows = validation.weighted_tokens(placed, sizes, "position", batch_size, split=split).select(
-        pair, *[F.lit(0).alias(n) for n in ns],
-        *[F.when(F.col("split").eqNullSafe(F.lit(s)), F.col("weight")).otherwise(0.0).alias(w) for s, w in zip(splits, ws)])
+    rows = validation.weighted_texts(placed, sizes, "position", batch_size, split=split).select(
+        "_text", *[F.lit(0).alias(n) for n in ns], *weights)
     for corpus, names in corpora:
-        rows = rows.unionByName(ngrams.bigram_rows(corpus, []).select(
-            pair, *[F.lit(int(m in names)).alias(n) for m, n in zip(methods, ns)], *[F.lit(0.0).alias(w) for w in ws]))
-    pairs = rows.groupBy("_pair").agg(*[F.sum(c).alias(c) for c in (*ns, *ws)])
+        rows = rows.unionByName(corpus.select(
+            F.col("text").alias("_text"), *[F.lit(int(m in names)).alias(n) for m, n in zip(methods, ns)], *[F.lit(0.0).alias(w) for w in ws]))
+    once = materialize(rows.groupBy("_text").agg(*[F.sum(c).alias(c) for c in (*ns, *ws)]), "grid-texts")
+    discard(placed)
+    pair = F.concat_ws(" ", "prev", "token").alias("_pair")  # no token holds a blank
+    pairs = ngrams.bigram_rows(ngrams.dealt(once, "_text", ngrams.TASK_TEXT, [*ns, *ws]), [*ns, *ws], "_text").select(pair, *ns, *ws)
+    pairs = pairs.groupBy("_pair").agg(*[F.sum(c).alias(c) for c in (*ns, *ws)])
 
     # A seen pair weighs at its context, an unseen one at its token. Every pair is one row for either.
     ends = F.array(F.struct(F.lit(True).alias("_context"), F.substring_index("_pair", " ", 1).alias("_key")),

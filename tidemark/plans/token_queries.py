@@ -12,7 +12,7 @@ from tidemark.plans import continual, evaluate
 from tidemark.plans.registry import query
 from tidemark.plans.snapshot_queries import NOVEL
 from tidemark.plans.text_queries import LONG_SCORES
-from tidemark.session import materialize, new_path
+from tidemark.session import discard, materialize, new_path
 from tidemark.sources import tables
 
 TOKEN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
@@ -345,8 +345,10 @@ def perplexity_grid(t):
     diff = snapshots.page_diff(prev, curr)
     kind = F.when(F.col("status") == "unchanged", "unchanged").otherwise("changed").alias("split")
     texts = curr.join(diff.select("page_id", kind), "page_id")
-    corpora = [(prev, ["initial", "subset"]), (curr, ["brute_force"]), (snapshots.diff_corpus(prev, curr), ["subset"])]
-    grid = continual.perplexity_grid(corpora, texts, "page_id", 4)
+    more = materialize(snapshots.diff_corpus(prev, curr), "diff-corpus")
+    grid = continual.perplexity_grid([(prev, ["initial", "subset"]), (curr, ["brute_force"]), (more, ["subset"])], texts, "page_id", 4)
+    for table in (prev, curr, more):
+        discard(table)
     return grid.select("method", "split", F.round("ppl", 4).alias("ppl"))
 
 
