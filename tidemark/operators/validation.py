@@ -16,7 +16,7 @@ from tidemark.functions import text as T
 from tidemark.operators.ngrams import BACKOFF, bigram_rows
 from tidemark.operators.ordinals import batch_of
 from tidemark.operators.skew import fits_broadcast
-from tidemark.session import exists, materialize
+from tidemark.session import discard, exists, materialize, short_shuffles
 from tidemark.sources.tables import metric_rows
 
 COUNTS = "kind string, prev string, token string, n long, step int"
@@ -74,7 +74,8 @@ def start(texts: DataFrame, position: str, batch_size: int, folder: str, text: s
     names = [f"_w{j}" for j in range(len(splits))]
     sums = lambda df, *keys: df.groupBy(*keys).agg(F.count("*").alias("_rows"), *[F.sum(w).alias(w) for w in names]).drop("_rows")
     weighted = weighted_tokens(texts, sizes, position, batch_size, text, split)
-    sums(weighted.select("prev", "token", *weights), "prev", "token").write.mode("overwrite").parquet(f"{folder}/pairs")
+    with short_shuffles(spark):
+        sums(weighted.select("prev", "token", *weights), "prev", "token").write.mode("overwrite").parquet(f"{folder}/pairs")
     numbered = spark.createDataFrame(list(enumerate(splits)), "no int, split string")
     numbered.coalesce(1).write.mode("overwrite").parquet(f"{folder}/splits")
     pairs = spark.read.schema(_weights(names, "prev string, token string")).parquet(f"{folder}/pairs")
@@ -194,6 +195,8 @@ def advance(spark: SparkSession, folder: str, step: int, counts: DataFrame) -> D
         "split", (F.col("value") + F.col("_change")).alias("value"), (F.col("unseen") - F.col("_moved")).alias("unseen"),
         (F.col("n_tokens") + size["more"]).alias("n_tokens"), (F.col("n_words") + size["words"]).alias("n_words"))
     totals.write.mode("overwrite").parquet(f"{folder}/totals/step={step}")
+    for table in (met, contexts, tokens):
+        discard(table)
     return validation(spark, folder).filter(F.col("step") == step)
 
 
